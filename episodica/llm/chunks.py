@@ -1,0 +1,25 @@
+"""Cutting a text where a byte-level BPE never has a token across the cut.
+
+The usual split pattern starts a new match at an ASCII blank that follows a
+character other than white space and precedes another such character. Texts
+can so be encoded chunk by chunk, and repeated chunks once.
+"""
+
+from __future__ import annotations
+
+import re
+
+#: White space in any reading of \s, but for the blank; U+001C to U+001F count in some only.
+_ASCII = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BESIDE = tuple(x for c in _ASCII for x in (f" {c}", f"{c} "))
+_SAFE = re.compile(r"[^\s\x1c-\x1f] (?=[^\s\x1c-\x1f])")
+
+
+def cut(text: str) -> list[str]:
+    """Chunks whose concatenation is text; each is encoded on its own."""
+    parts = text.split(" ")
+    if "" in parts or any(x in text for x in _BESIDE) or not text.isascii() and _OTHER.search(text):
+        at = [m.end() - 1 for m in _SAFE.finditer(text)]
+        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
+    return [parts[0], *[" " + x for x in parts[1:]]]
