@@ -199,7 +199,7 @@ def _added(b: pa.RecordBatch, schema: pa.Schema, *columns) -> pa.RecordBatch:
 def _arrow(df: DataFrame, *more: tuple[str, pa.DataType]) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(df.schema, timezone=df.sparkSession.conf.get("spark.sql.session.timeZone"))
+    schema = to_arrow_schema(df.schema)
     for name, kind in more:
         schema = schema.append(pa.field(name, kind))
     return schema
