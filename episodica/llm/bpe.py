@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks
-from .common import Memo, batch_of, col, slices, table
+from .common import Memo, added, arrow_schema, batch_of, col, runs, spark_schema, table
 
 LONG, DEPTH, BLOCK = 256, 16, 20_000
 #: Entries of each memo of a worker.
@@ -179,54 +179,28 @@ def _codec(ranks_path: str, pattern: str) -> Codec:
     return _CODECS[ranks_path, pattern]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Pieces of the batches with up to `most` characters or bytes in all (one row at least)."""
-    for b in slices(batches):
-        values, start, held = b.column(column).to_pylist(), 0, 0
-        for k, v in enumerate(values):
-            if held and held + len(v or "") > most:
-                yield b.slice(start, k - start), values[start:k]
-                start, held = k, 0
-            held += len(v or "")
-        yield b.slice(start), values[start:]
-
-
-def _added(b: pa.RecordBatch, schema: pa.Schema, *columns) -> pa.RecordBatch:
-    n = len(schema) - len(columns)
-    return batch_of(schema, *[b.column(k).cast(schema.field(k).type) for k in range(n)], *columns)
-
-
-def _arrow(df: DataFrame, *more: tuple[str, pa.DataType]) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(df.schema)
-    for name, kind in more:
-        schema = schema.append(pa.field(name, kind))
-    return schema
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs and a binary column of its texts' ids (little-endian unsigned 32-bit)."""
-    schema, at = _arrow(docs, (ids, pa.binary())), docs.columns.index(text)
+    schema, at = arrow_schema(docs, (ids, pa.binary())), docs.columns.index(text)
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b, texts in _runs(batches, at):
-            yield _added(b, schema, codec.encode(texts))
+        for b, texts in runs(batches, at):
+            yield added(b, schema, codec.encode(texts))
 
-    return docs.mapInArrow(run, _spark(docs, (ids, "binary")))
+    return docs.mapInArrow(run, spark_schema(docs, (ids, "binary")))
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs and a binary column of the bytes that its ids stand for (null: none)."""
-    schema, at = _arrow(docs, (decoded, pa.binary())), docs.columns.index(ids)
+    schema, at = arrow_schema(docs, (decoded, pa.binary())), docs.columns.index(ids)
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b, values in _runs(batches, at):
-            yield _added(b, schema, codec.decode([v or b"" for v in values]))
+        for b, values in runs(batches, at):
+            yield added(b, schema, codec.decode([v or b"" for v in values]))
 
-    return docs.mapInArrow(run, _spark(docs, (decoded, "binary")))
+    return docs.mapInArrow(run, spark_schema(docs, (decoded, "binary")))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -240,25 +214,19 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     at, rest = kept.columns.index(text), [c for c in kept.columns if c != text]
     shape = kept.select([col(kept, c) for c in rest])
     more = (("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
-    schema = _arrow(shape, ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
+    schema = arrow_schema(shape, ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for b, texts in _runs(batches, at):
+        for b, texts in runs(batches, at):
             ids = codec.encode(texts)
             raw = codec.decode(ids)
             own = [b.column(k) for k in range(b.num_columns) if k != at]
             own = [c.cast(f.type) for c, f in zip(own, schema)]
             yield batch_of(schema, *own, [len(x) // 4 for x in ids], list(map(digest, ids)), list(map(digest, raw)))
 
-    return kept.mapInArrow(run, _spark(shape, *more))
-
-
-def _spark(df: DataFrame, *more: tuple[str, str]):
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    return StructType([*df.schema.fields, *[StructField(n, _parse_datatype_string(k)) for n, k in more]])
+    return kept.mapInArrow(run, spark_schema(shape, *more))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -93,3 +93,35 @@ class Memo(dict):
                 del self[k]
         if new := list({k for k in keys if k not in self}):
             self.update(zip(new, compute(new)))
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Pieces of the batches with up to `most` characters or bytes in all (one row at least)."""
+    for b in slices(batches):
+        values, start, held = b.column(column).to_pylist(), 0, 0
+        for k, v in enumerate(values):
+            if held and held + len(v or "") > most:
+                yield b.slice(start, k - start), values[start:k]
+                start, held = k, 0
+            held += len(v or "")
+        yield b.slice(start), values[start:]
+
+
+def added(b: pa.RecordBatch, schema: pa.Schema, *columns) -> pa.RecordBatch:
+    n = len(schema) - len(columns)
+    return batch_of(schema, *[b.column(k).cast(schema.field(k).type) for k in range(n)], *columns)
+
+
+def arrow_schema(df: DataFrame, *more: tuple[str, pa.DataType]) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    for name, kind in more:
+        schema = schema.append(pa.field(name, kind))
+    return schema
+
+
+def spark_schema(df: DataFrame, *more: tuple[str, str]):
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    return StructType([*df.schema.fields, *[StructField(n, _parse_datatype_string(k)) for n, k in more]])

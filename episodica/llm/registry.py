@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, tokenfile
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op9_token_files": tokenfile.op9_token_files,
 }
 
 #: Only where DuckDB can express the whole query.
