@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, tokenfile
+from . import bpe, langid, tokenfile
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op10_language_id": langid.op10_language_id,
     "op9_token_files": tokenfile.op9_token_files,
 }
 
