@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, tokenfile
+from . import bpe, langid, tokenfile, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op10_language_id": langid.op10_language_id,
+    "op5_warc": warc.op5_warc,
     "op9_token_files": tokenfile.op9_token_files,
 }
 
 #: Only where DuckDB can express the whole query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
+}
