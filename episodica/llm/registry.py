@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, tokenfile, warc
+from . import bpe, decontaminate, langid, simhash, tokenfile, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op10_language_id": langid.op10_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_warc": warc.op5_warc,
+    "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokenfile.op9_token_files,
 }
 
