@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, simhash, tokenfile, warc
+from . import bpe, decontaminate, langid, maxscore, simhash, tokenfile, warc
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op10_language_id": langid.op10_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_maxscore": maxscore.op4_maxscore,
     "op5_warc": warc.op5_warc,
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokenfile.op9_token_files,
@@ -15,5 +16,6 @@ QUERIES = {
 
 #: Only where DuckDB can express the whole query.
 ORACLE_SQL: dict[str, str] = {
+    "op4_maxscore": maxscore.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
 }
