@@ -145,13 +145,13 @@ class Codec:
     def _encode_chunks(self, new: list[str]) -> list[bytes]:
         split = [[c] if c.isascii() and (c[1:] if c[0] == " " else c).isalpha() else self.find(c) for c in new]
         self.words.fill(chain.from_iterable(split), self.encode_words)
-        return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        return [b"".join(map(self.words.of, s)) for s in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [chunks.cut(t) if t else [] for t in texts]
         self.chunks.fill(chain.from_iterable(cut), self._encode_chunks)
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+        return [b"".join(map(self.chunks.of, c)) for c in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each text's ids."""

@@ -80,19 +80,20 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-class Memo(dict):
+class Memo:
     """A bounded memo; what was added first goes first and is computed again when met."""
 
     def __init__(self, size: int):
-        self.size = size
+        self.size, self.map = size, {}
+        self.of = self.map.__getitem__
 
     def fill(self, keys: Iterable, compute: Callable[[list], Iterable]) -> None:
-        """Afterwards all of keys are present, however many there are."""
-        if len(self) > self.size:
-            for k in list(islice(self, len(self) - self.size // 2)):
-                del self[k]
-        if new := list({k for k in keys if k not in self}):
-            self.update(zip(new, compute(new)))
+        """Afterwards `of` knows all of keys, however many there are."""
+        if len(self.map) > self.size:
+            for k in list(islice(self.map, len(self.map) - self.size * 3 // 4)):
+                del self.map[k]
+        if new := list(set(keys).difference(self.map)):
+            self.map.update(zip(new, compute(new)))
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -38,7 +38,7 @@ def grams(word: str) -> np.ndarray:
 
 
 class _Words(Memo):
-    def of(self, words) -> None:
+    def add(self, words) -> None:
         self.fill(words, lambda new: [grams(w) for w in new])
 
 
@@ -54,11 +54,11 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
         memo, total, n = _Words(MEMO), np.zeros(BUCKETS, np.int64), 0
         for _, texts in runs(batches, 0):
             own = [set(_words(t)) for t in texts]
-            memo.of(chain.from_iterable(own))
+            memo.add(chain.from_iterable(own))
             for words in own:
                 n += 1
                 if words:
-                    total[np.unique(np.concatenate([memo[w] for w in words]))] += 1
+                    total[np.unique(np.concatenate([memo.of(w) for w in words]))] += 1
         at = np.flatnonzero(total)
         yield batch_of(schema, np.append(at, -1).astype(np.int32), np.append(total[at], n))
 
@@ -87,8 +87,8 @@ def sample(docs: DataFrame, per_label: int, key: str, text: str, label: str) ->
         memo = _Words(MEMO)
         for b, texts in runs(batches, 1):
             own = [_words(t) for t in texts]
-            memo.of(chain.from_iterable(own))
-            found = [np.unique(np.concatenate([memo[w] for w in words]), return_counts=True) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for words in own]
+            memo.add(chain.from_iterable(own))
+            found = [np.unique(np.concatenate([memo.of(w) for w in words]), return_counts=True) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for words in own]
             yield batch_of(schema, b.column(0), b.column(2), [x.astype("<i4").tobytes() for x, _ in found], [c.astype("<i4").tobytes() for _, c in found])
 
     rows = picked.mapInArrow(run, "label string, h bigint, buckets binary, counts binary").limit(2 * per_label * len(counts)).collect()
@@ -108,7 +108,7 @@ class Model:
 
     def logits(self, words: list[str], memo: Memo) -> np.ndarray:
         parts = (words[k : k + 50_000] for k in range(0, len(words), 50_000))
-        total = np.sum([np.sum([memo[w] for w in part], axis=0) for part in parts], axis=0)
+        total = np.sum([np.sum([memo.of(w) for w in part], axis=0) for part in parts], axis=0)
         return total[:-1] / max(total[-1], 1.0) + self.bias
 
     def word(self, word: str) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import Memo, batch_of, col, files_of, runs, shared_dir, table, text_or_empty
 
-MAGIC, EVERY, BLOCK, MOST = b"EFTOK001", 256, 512, 250_000
+MAGIC, EVERY, BLOCK, MOST = b"EFTOK001", 256, 512, 800_000
 
 
 def ef_build(values: np.ndarray) -> bytes:
@@ -124,7 +124,7 @@ class Encoder:
             return self._each(texts)
         cut = [chunks.cut(t) if t else [] for t in texts]
         self.chunks.fill(chain.from_iterable(cut), self._fresh)
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+        return [b"".join(map(self.chunks.of, c)) for c in cut]
 
 
 _ENCODERS: dict = {}
