@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, maxscore, simhash, tokenfile, warc
+from . import bpe, decontaminate, langid, linededup, maxscore, simhash, tokenfile, warc
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op10_language_id": langid.op10_language_id,
     "op3_decontaminate": decontaminate.op3_decontaminate,
@@ -16,6 +17,7 @@ QUERIES = {
 
 #: Only where DuckDB can express the whole query.
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": linededup.OP1_SQL,
     "op4_maxscore": maxscore.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
 }
