@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, maxscore, simhash, tokenfile, warc
+from . import bpe, decontaminate, langid, linededup, maxscore, simhash, substrings, tokenfile, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_maxscore": maxscore.op4_maxscore,
     "op5_warc": warc.op5_warc,
+    "op6_substring_dedup": substrings.op6_substring_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokenfile.op9_token_files,
 }
