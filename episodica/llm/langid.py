@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression.
 
-Features are TF-IDF weights of hashed character n-grams of words with their
-ends marked. Document frequencies are counted over all documents that may be
+Features are TF-IDF weights of hashed character n-grams, with the ends of
+words marked. Document frequencies are counted over all documents that may be
 learned from. The weights are fitted on at most about PER_LABEL documents a
 label (chosen by a hash of the id) with follow-the-regularised-leader updates
 and elastic-net penalties, and a temperature is then calibrated on a part of
@@ -14,36 +14,55 @@ Only the text decides a prediction; other columns are kept as they are.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, added, arrow_schema, batch_of, col, runs, spark_schema, table
+from .common import added, arrow_schema, batch_of, col, runs, spark_schema, table
 
-#: Sampling bound for the fit, per label; n-gram lengths; hash buckets of n-grams.
-PER_LABEL, LENGTHS, BUCKETS = 800, (1, 2, 3), 1 << 18
-MEMO, LETTERS = 100_000, re.compile(r"[^\W\d_]+")
+#: Sampling bound for the fit, per label; n-grams have 1 to LENGTH characters; hash buckets of n-grams.
+PER_LABEL, LENGTH, BUCKETS = 800, 3, 1 << 16
+#: Characters that are looked at together, and a 32-bit odd multiplier.
+PIECE, _MULTIPLIER = 1 << 18, np.uint32(0x9E3779B1)
 
 
-def grams(word: str) -> np.ndarray:
-    """Buckets of the word's character n-grams, repeats included."""
-    w = f"<{word}>"
-    return np.fromiter((crc32(w[i : i + n].encode()) % BUCKETS for n in LENGTHS for i in range(len(w) - n + 1)), np.int32)
+def _letters() -> np.ndarray:
+    """Which of the first 65,536 code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
 
 
-class _Words(Memo):
-    def add(self, words) -> None:
-        self.fill(words, lambda new: [grams(w) for w in new])
+_LETTER: list[np.ndarray] = []
 
 
-def _words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+def grams(text: str | None):
+    """Buckets of the text's n-grams, repeats included, in arrays; none if there is no letter.
+
+    Characters are lowered; each run of other characters than letters, and
+    each end of the text, counts as one boundary character.
+    """
+    if not text:
+        return
+    if not _LETTER:
+        _LETTER.append(_letters())
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _LETTER[0][np.minimum(points, 0xFFFF)]
+    for k in np.flatnonzero(points > 0xFFFF).tolist():
+        letter[k] = chr(points[k]).isalpha()
+    if not letter.any():
+        return
+    c = np.concatenate([[np.uint32(0)], np.where(letter, points, np.uint32(0)), [np.uint32(0)]]).astype(np.uint32)
+    c = c[np.concatenate([[True], (c[1:] | c[:-1]) != 0])]
+    for k in range(0, len(c), PIECE):
+        part = c[k : k + PIECE + LENGTH - 1]
+        h = np.zeros(len(part), np.uint32)
+        for n in range(LENGTH):
+            h = (h[: len(part) - n] + part[n:] + np.uint32(n)) * _MULTIPLIER
+            # The n-grams that start in this piece.
+            yield ((h ^ (h >> np.uint32(15))) & np.uint32(BUCKETS - 1))[:PIECE]
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
@@ -51,14 +70,14 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        memo, total, n = _Words(MEMO), np.zeros(BUCKETS, np.int64), 0
+        total, n, met = np.zeros(BUCKETS, np.int64), 0, np.zeros(BUCKETS, np.int8)
         for _, texts in runs(batches, 0):
-            own = [set(_words(t)) for t in texts]
-            memo.add(chain.from_iterable(own))
-            for words in own:
-                n += 1
-                if words:
-                    total[np.unique(np.concatenate([memo.of(w) for w in words]))] += 1
+            n += len(texts)
+            for text in texts:
+                met[:] = 0
+                for part in grams(text):
+                    met[part] = 1
+                total += met
         at = np.flatnonzero(total)
         yield batch_of(schema, np.append(at, -1).astype(np.int32), np.append(total[at], n))
 
@@ -84,12 +103,15 @@ def sample(docs: DataFrame, per_label: int, key: str, text: str, label: str) ->
     schema = pa.schema([("label", pa.string()), ("h", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
-        memo = _Words(MEMO)
         for b, texts in runs(batches, 1):
-            own = [_words(t) for t in texts]
-            memo.add(chain.from_iterable(own))
-            found = [np.unique(np.concatenate([memo.of(w) for w in words]), return_counts=True) if words else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for words in own]
-            yield batch_of(schema, b.column(0), b.column(2), [x.astype("<i4").tobytes() for x, _ in found], [c.astype("<i4").tobytes() for _, c in found])
+            found = []
+            for text in texts:
+                counts = np.zeros(BUCKETS, np.int64)
+                for part in grams(text):
+                    counts += np.bincount(part, minlength=BUCKETS)
+                at = np.flatnonzero(counts)
+                found.append((at.astype("<i4").tobytes(), counts[at].astype("<i4").tobytes()))
+            yield batch_of(schema, b.column(0), b.column(2), [x for x, _ in found], [x for _, x in found])
 
     rows = picked.mapInArrow(run, "label string, h bigint, buckets binary, counts binary").limit(2 * per_label * len(counts)).collect()
     rows.sort(key=lambda r: (r.h, r.label, r.buckets))
@@ -98,23 +120,20 @@ def sample(docs: DataFrame, per_label: int, key: str, text: str, label: str) ->
 
 @dataclass
 class Model:
-    """labels; per bucket idf times the weights, scaled; bias; temperature."""
+    """labels; per bucket the scaled idf times the weights; bias; temperature."""
 
     labels: list[str]
-    slot: np.ndarray  # bucket -> row of weights, the last row for unknown ones
-    weights: np.ndarray
+    table: np.ndarray  # BUCKETS rows, a column for each label
     bias: np.ndarray
     temperature: float
 
-    def logits(self, words: list[str], memo: Memo) -> np.ndarray:
-        parts = (words[k : k + 50_000] for k in range(0, len(words), 50_000))
-        total = np.sum([np.sum([memo.of(w) for w in part], axis=0) for part in parts], axis=0)
-        return total[:-1] / max(total[-1], 1.0) + self.bias
-
-    def word(self, word: str) -> np.ndarray:
-        """The word's share of the logits, and its number of n-grams."""
-        at = grams(word)
-        return np.append(self.weights[self.slot[at]].sum(axis=0), len(at))
+    def probabilities(self, text: str | None) -> np.ndarray | None:
+        """None if the text has no letter."""
+        total, n = np.zeros(len(self.labels)), 0
+        for part in grams(text):
+            total += self.table[part].sum(axis=0)
+            n += len(part)
+        return _softmax((total / n + self.bias) / self.temperature) if n else None
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -159,12 +178,9 @@ def fit(rows, n_docs: int, df: np.ndarray, epochs: int = 4, alpha: float = 0.3,
     truth = np.array([y for y, _, _ in held])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean()
     temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
-    scaled = np.vstack([w[:m] * (scale * idf)[:, None], np.zeros((1, c))])
-    used = np.abs(scaled).sum(axis=1) > 0
-    used[m] = True
-    place = np.cumsum(used) - 1
-    slot = np.where(used[slot], place[slot], used.sum() - 1).astype(np.int32)
-    return Model(labels, slot, scaled[used], w[m], temperature)
+    table = np.zeros((BUCKETS, c), np.float32)
+    table[known] = w[:m] * (scale * idf)[:, None]
+    return Model(labels, table, w[m], temperature)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = PER_LABEL) -> Model | None:
@@ -178,24 +194,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str
     """docs with the predicted label and its probability."""
     schema = arrow_schema(docs, (pred, pa.string()), (score, pa.float64()))
     at = docs.columns.index(text)
-    # The model has at most BUCKETS rows, a float for each label.
+    # The model has BUCKETS rows, a float for each label.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model, memo = shared.value, Memo(MEMO * 2)
+        model = shared.value
         for b, texts in runs(batches, at):
-            own = [_words(t) if model else [] for t in texts]
-            memo.fill(chain.from_iterable(own), lambda new: [model.word(w) for w in new])
-            names, scores = [], []
-            for words in own:
-                if not words:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                p = _softmax(model.logits(words, memo) / model.temperature)
-                names.append(model.labels[k := int(p.argmax())])
-                scores.append(float(p[k]))
-            yield added(b, schema, names, scores)
+            found = [model.probabilities(t) if model else None for t in texts]
+            best = [None if p is None else int(p.argmax()) for p in found]
+            yield added(b, schema, ["und" if k is None else model.labels[k] for k in best], [0.0 if k is None else float(p[k]) for p, k in zip(found, best)])
 
     return docs.mapInArrow(run, spark_schema(docs, (pred, "string"), (score, "double")))
 
