@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, maxscore, simhash, substrings, tokenfile, warc
+from . import bpe, decontaminate, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_maxscore": maxscore.op4_maxscore,
     "op5_warc": warc.op5_warc,
     "op6_substring_dedup": substrings.op6_substring_dedup,
+    "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokenfile.op9_token_files,
 }
