@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import sequences, sets
+
+QUERIES = {**sequences.QUERIES, **sets.QUERIES}
+ORACLE_SQL = {**sequences.SQL, **sets.SQL}
