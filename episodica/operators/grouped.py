@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 
 from episodica.functions import text as T
 
+def _sided(rows: pd.DataFrame, *columns: str) -> pd.DataFrame:
+    """A cogroup's side; one without rows comes without columns."""
+    return rows.reindex(columns=columns) if rows.empty else rows
+
+
+def _own(df: DataFrame) -> DataFrame:
+    """df with columns of its own, for a cogroup with another part of the same frame."""
+    return df.select([F.col(c).alias(c, metadata={}) for c in df.columns])
+
+
 def _parsed(df: DataFrame, key: str) -> DataFrame:
     """Lines with their normal form and flattened coordinates, found by SQL expressions."""
     at = F.flatten(F.transform(T.coords(T.without_evidence(F.col("line"))), lambda p: F.array(p["r"], p["c"])))
@@ -29,6 +39,7 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
     """
 
     def run(k, truths: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        truths, lines = (_sided(x, "t", "ord", "form", "at") for x in (truths, lines))
         free: dict[str, list] = {}
         for x in lines.sort_values(["t", "ord"]).itertuples(index=False):
             free.setdefault(x.form, []).append((int(x.t), np.asarray(x.at)))
@@ -42,7 +53,7 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
         return pd.DataFrame(out, columns=[key, "t_truth", "t_said", "lag"]).astype({"t_said": "Int64", "lag": "Int64"})
 
     kind = dict(truth.dtypes)[key]
-    both = _parsed(truth, key).groupBy(key).cogroup(_parsed(said, key).groupBy(key))
+    both = _parsed(truth, key).groupBy(key).cogroup(_own(_parsed(said, key)).groupBy(key))
     return both.applyInPandas(run, f"{key} {kind}, t_truth bigint, t_said bigint, lag bigint")
 
 
@@ -53,6 +64,7 @@ def assign(left: DataFrame, right: DataFrame, key: list[str], radius: float) ->
     """
 
     def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sided(a, "name", "r", "c"), _sided(b, "ord", "r", "c")
         here, there = list(zip(a["name"], a["r"], a["c"])), list(zip(b["ord"], b["r"], b["c"]))
         pairs = sorted((((r - u) ** 2 + (c - v) ** 2) ** 0.5, n, int(o)) for n, r, c in here for o, u, v in there)
         names, ords, out = set(), set(), []
@@ -65,7 +77,7 @@ def assign(left: DataFrame, right: DataFrame, key: list[str], radius: float) ->
 
     types = dict(left.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in key) + f", a {types['name']}, b bigint, d double"
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, shape)
+    return left.groupBy(*key).cogroup(_own(right).groupBy(*key)).applyInPandas(run, shape)
 
 
 def bind_stages(plan: DataFrame, stages: DataFrame, key: str) -> DataFrame:
@@ -75,6 +87,7 @@ def bind_stages(plan: DataFrame, stages: DataFrame, key: str) -> DataFrame:
     """
 
     def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sided(a, "ord", "kind"), _sided(b, "pos", "kind")
         queue, out = list(b.sort_values("pos").itertuples(index=False)), []
         for x in a.sort_values("ord").itertuples(index=False):
             taken = queue.pop(0).pos if queue and queue[0].kind == x.kind else None
@@ -84,7 +97,7 @@ def bind_stages(plan: DataFrame, stages: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame(out, columns=[key, "ord", "stage", "complete"]).astype({"stage": "Int64"})
 
     kind = dict(plan.dtypes)[key]
-    return plan.groupBy(key).cogroup(stages.groupBy(key)).applyInPandas(run, f"{key} {kind}, ord bigint, stage bigint, complete boolean")
+    return plan.groupBy(key).cogroup(_own(stages).groupBy(key)).applyInPandas(run, f"{key} {kind}, ord bigint, stage bigint, complete boolean")
 
 
 def chained_events(df: DataFrame, key: str, step: str, value: str, phases: list[tuple[str, float]]) -> DataFrame:

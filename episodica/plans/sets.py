@@ -235,9 +235,9 @@ def first_wins_union(spark, d):
     return readers.first_source([n, r], ["k"])
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 10 = 0)")
 def anti_missing(spark, d):
-    have = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    have = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return readers.missing(table(spark, d, "customer").select("c_custkey"), have, ["c_custkey"])
 
 
