@@ -150,8 +150,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [chunks.cut(t) if t else [] for t in texts]
-        self.chunks.fill(chain.from_iterable(cut), self._encode_chunks)
-        return [b"".join(map(self.chunks.of, c)) for c in cut]
+        return self.chunks.joined(cut, self._encode_chunks)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each text's ids."""

@@ -9,17 +9,25 @@ from __future__ import annotations
 
 import re
 
-#: White space in any reading of \s, but for the blank; U+001C to U+001F count in some only.
-_ASCII = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_OTHER = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BESIDE = tuple(x for c in _ASCII for x in (f" {c}", f"{c} "))
+#: White space in any reading of \s, but for blanks and line feeds (U+001C to U+001F count in some only), and NUL.
+_RARE = re.compile("[\\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"[^\s\x1c-\x1f] (?=[^\s\x1c-\x1f])")
 
 
+#: Letters, then a character that surely is none; a match of the split pattern ends between them.
+_STEM = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-@\[-`{-~].*)", re.DOTALL)
+
+
 def cut(text: str) -> list[str]:
     """Chunks whose concatenation is text; each is encoded on its own."""
-    parts = text.split(" ")
-    if "" in parts or any(x in text for x in _BESIDE) or not text.isascii() and _OTHER.search(text):
+    # A blank beside other white space may belong to a longer run of it.
+    if text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or _RARE.search(text):
         at = [m.end() - 1 for m in _SAFE.finditer(text)]
         return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
-    return [parts[0], *[" " + x for x in parts[1:]]]
+    return text.replace(" ", "\0 ").split("\0")
+
+
+def stem(chunk: str) -> tuple[str, str]:
+    """The chunk in two parts, to be encoded on their own; the second may be empty."""
+    m = _STEM.fullmatch(chunk)
+    return m.groups() if m else (chunk, "")

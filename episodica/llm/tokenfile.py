@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from . import chunks
 from .common import Memo, batch_of, col, files_of, runs, shared_dir, table, text_or_empty
 
-MAGIC, EVERY, BLOCK, MOST = b"EFTOK001", 256, 512, 800_000
+MAGIC, EVERY, BLOCK = b"EFTOK001", 256, 512
+#: Entries of a worker's memos of chunks and of their parts.
+CHUNKS, PARTS = 1_100_000, 600_000
 
 
 def ef_build(values: np.ndarray) -> bytes:
@@ -92,25 +94,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.chunks = Memo(MOST)
+        self.chunks, self.parts = Memo(CHUNKS), Memo(PARTS)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocab.values()) + 1, bool)
         self.blank[[i for piece, i in vocab.items() if piece[0] == "\u0120"]] = True  # how these vocabularies write a blank
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pre = json.loads(self.tokenizer.to_str())
         # Only for this kind of tokenizer a cut at a blank is known to change nothing.
         self.plain = pre.get("normalizer") is None and (pre.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not pre["pre_tokenizer"]["add_prefix_space"]
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, new: list[str]) -> list[bytes]:
-        """Ids of chunks. Those with one blank, at their start, are encoded as one text: its
-        tokens that start with a blank start the chunks."""
-        joined = [c for c in new if len(c) > 1 and c[0] == " " and c.count(" ") == 1 and not c[1].isspace() and not c[-1].isspace()]
+    def _parts(self, new: list[str]) -> list[bytes]:
+        """Ids of parts of chunks. Those with one blank, at their start, are encoded as one text:
+        its tokens that start with a blank start the parts."""
+        joined = [c for c in new if c[0] == " " and c.count(" ") == 1 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
         found = {}
         for at in range(0, len(joined), 20_000):
             part = joined[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
             first = np.flatnonzero(self.blank[ids])
             if len(first) == len(part):
                 raw, ends = ids.tobytes(), (np.append(first, len(ids)) * self.width).tolist()
@@ -119,12 +122,22 @@ class Encoder:
         found.update(zip(others, self._each(others)))
         return [found[c] for c in new]
 
+    def _fresh(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks: of their letters and of what follows these."""
+        split = list(map(chunks.stem, new))
+        self.parts.fill(chain((a for a, _ in split), (b for _, b in split if b)), self._parts)
+        of = self.parts.of
+        return [of(a) + of(b) if b else of(a) for a, b in split]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return self._each(texts)
-        cut = [chunks.cut(t) if t else [] for t in texts]
-        self.chunks.fill(chain.from_iterable(cut), self._fresh)
-        return [b"".join(map(self.chunks.of, c)) for c in cut]
+        # A special token in a text has letters of its own, so such a text isn't cut.
+        special = {k for k, t in enumerate(texts) for x in self.special if x in t}
+        out = self.chunks.joined([[] if k in special or not t else chunks.cut(t) for k, t in enumerate(texts)], self._fresh)
+        for k in special:
+            (out[k],) = self._each([texts[k]])
+        return out
 
 
 _ENCODERS: dict = {}
