@@ -139,7 +139,8 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     found = kept.select(col(kept, key).alias("k"), F.xxhash64(own).alias("t"), own.alias("text")).withColumn("base", base_spans(F.col("text")))
     terms = written(disclosing(found)).withColumn("h", F.xxhash64("term"))
     words = found.select("k", "t", F.explode(F.transform(terms_of(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
-    listed = words.distinct().join(terms, "h").groupBy("k", "t").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms_")).withColumnsRenamed({"k": "k_", "t": "t_"})
+    # The disclosing terms are a written table, so that they are broadcast only if they are small.
+    listed = words.join(terms, "h").select("k", "t", "term", "share").distinct().groupBy("k", "t").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms_")).withColumnsRenamed({"k": "k_", "t": "t_"})
     joined = kept.join(listed, col(kept, key).eqNullSafe(listed["k_"]) & (F.xxhash64(own) == listed["t_"]), "left")
     # Terms are letters only, so they need no quoting.
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("terms_"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
