@@ -209,3 +209,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+n as (select item_id, w, least(len(w), {WINDOW}) as n from b where len(w) > 0),
+win as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as s from n, unnest(range(1, len(w) - n + 2)) as r(i)),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as s from d, (select distinct n from win), unnest(range(1, len(w) - n + 2)) as r(i)),
+h as (select doc_id, i, dw.n, item_id from dw join win on win.s = dw.s and win.n = dw.n),
+p as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join p on d.doc_id = p.doc_id left join t on d.doc_id = t.doc_id
+"""

@@ -20,6 +20,8 @@ QUERIES = {
 #: Only where DuckDB can express the whole query.
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": linededup.OP1_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_maxscore": maxscore.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op6_substring_dedup": substrings.OP6_SQL,
 }

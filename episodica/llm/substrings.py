@@ -327,3 +327,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as s from d, unnest(range(1, len(w) - {WINDOW - 2})) as r(i)),
+f as (select s, min(doc_id) as m from win group by s),
+g as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + {WINDOW})) as p from win join f using (s) where f.m < doc_id)),
+k as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+x as (select k.doc_id, count(*) as n, count(g.p) as gone, string_agg(word, ' ' order by k.p) filter (g.p is null) as kept
+  from k left join g on k.doc_id = g.doc_id and k.p = g.p group by k.doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join x on d.doc_id = x.doc_id
+"""
