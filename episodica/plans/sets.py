@@ -301,3 +301,79 @@ def smoke_pricing(spark, d):
     return x.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+
+
+@query(f"""with {EV}, m as (select *, case when lag(sg) over w is distinct from sg or step = 0 then 1 else 0 end as ch from ev window w as (partition by ep order by step)),
+r as (select *, (sum(ch) over (partition by ep order by step) - 1)::bigint as run from m) select ep, step, case when run % 3 <> 2 then run end as run from r""")
+def segment_lookup(spark, d):
+    from episodica.operators import joins, ordered
+
+    e = episodes(spark, d)
+    s = ordered.run_segments(e, ["ep"], ["step"], "sg", "step").filter("run % 3 <> 2")
+    s = s.select("ep", F.col("start"), (F.col("end") + 1).alias("stop"), "run")
+    return joins.segment_of(e.select("ep", "step"), s, "ep", "step", "start", "stop", ["run"])
+
+
+@query("""with o as (select o_custkey, o_orderstatus, count(*) as n from orders group by 1, 2), w as (select o_custkey, count(*) // 3 as wanted from orders group by 1)
+select o_custkey, arg_min(o_orderstatus, (abs(n - wanted), o_orderstatus)) as o_orderstatus from o join w using (o_custkey) group by o_custkey""")
+def best_occurrence(spark, d):
+    from episodica.operators import joins
+
+    o = table(spark, d, "orders")
+    have = o.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("length"))
+    wanted = o.groupBy("o_custkey").agg(F.floor(F.count("*") / 3).alias("wanted"))
+    return joins.closest_length(have, wanted, ["o_custkey"], "o_orderstatus")
+
+
+@query("""with l as (select user_id as ep, event_id, ['red', 'green', 'blue'][(event_id % 3 + 1)::int] as color, event_id % 200 as r, event_id % 90 as c from events where event_id % 4 <> 3)
+select ep, color, arg_max(r, event_id)::int as r, arg_max(c, event_id)::int as c from l group by ep, color""")
+def folded_places(spark, d):
+    from episodica.operators import joins
+
+    n = F.col("event_id")
+    color = F.get(F.array(F.lit("red"), F.lit("green"), F.lit("blue")), (n % 3).cast("int"))
+    at = F.format_string("<%d, %d>", n % 200, n % 90)
+    moved = F.concat(F.lit("the "), color, F.lit(" cube container moved from <1, 2> to "), at)
+    covered = F.concat(F.lit("containers were placed over the cubes: "), color, F.lit("_cube_container"), at)
+    line = F.when(n % 4 == 0, covered).when(n % 4 == 3, "nothing").otherwise(moved)
+    lines = table(spark, d, "events").select(F.col("user_id").alias("ep"), "event_id", line.alias("line"))
+    return joins.latest_places(lines, "ep", ["event_id"], "line")
+
+
+@query("""with a as (select c_custkey, c_nationkey from customer where c_custkey % 7 <> 0), b as (select c_custkey, case when c_custkey % 11 = 0 then -1 else c_nationkey end as c_nationkey from customer where c_custkey % 5 <> 0)
+select coalesce(a.c_custkey, b.c_custkey) as c_custkey, a.c_nationkey as a_, b.c_nationkey as b_ from a full join b on a.c_custkey = b.c_custkey where a.c_nationkey is distinct from b.c_nationkey""")
+def parity_check(spark, d):
+    from episodica.operators import joins
+
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    other = c.filter("c_custkey % 5 <> 0").withColumn("c_nationkey", F.when(F.col("c_custkey") % 11 == 0, -1).otherwise(F.col("c_nationkey")))
+    return joins.mismatches(c.filter("c_custkey % 7 <> 0"), other, ["c_custkey"], "c_nationkey")
+
+
+@query(f"""with {EV}, f as (select *, value < 50 as hid from ev), b as (select *, sum(case when hid then 0 else 1 end) over (partition by ep order by step) as g from f),
+r as (select ep, g, count(*) filter (hid) as n from b group by ep, g), t as (select ep, max(g) as g from b group by ep)
+select t.ep, (select max(n) from r where r.ep = t.ep)::int as longest, (select n from r where r.ep = t.ep and r.g = t.g)::int as trailing from t""")
+def absence_runs(spark, d):
+    from episodica.operators import evidence, folds
+
+    rows = folds.ordered_rows(episodes(spark, d), ["ep"], ["step"], ["value"])
+    hid = F.transform("rows_", lambda x: x["value"] < 50)
+    return rows.select("ep", evidence.longest_run(hid).alias("longest"), evidence.trailing_run(hid).alias("trailing"))
+
+
+@query(f"""with {PT}, b as (select label, id // 10 as frame, max(score) as best from pt group by 1, 2) select label, round(avg(best), 6) as mean_best, round(avg(case when best >= 0.15 then 1.0 else 0.0 end), 6) as hit_rate, count(*) as frames from b group by label""")
+def phrase_scores(spark, d):
+    from episodica.operators import joins
+
+    p = points(spark, d).withColumn("frame", F.floor(F.col("id") / 10))
+    return joins.best_scores(p, ["label"], "frame", "score").withColumns({"mean_best": F.round("mean_best", 6), "hit_rate": F.round("hit_rate", 6)})
+
+
+@query()
+def plan_completions(spark, d):
+    from episodica.operators import predicates
+
+    v = table(spark, d, "embeddings").withColumnRenamed("label", "ep")
+    v = v.select("ep", F.col("vec_id").alias("step"), F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double")).alias("s"))
+    plan = v.select("ep").distinct().select("ep", F.posexplode(F.array(F.lit("pick"), F.lit("place"), F.lit("open"))).alias("ord", "kind"), F.lit("drawer").alias("what"))
+    return predicates.completions(v, plan, "ep")

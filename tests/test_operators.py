@@ -160,3 +160,41 @@ def test_sinks(spark, tmp_path):
 def test_rest_segments(spark):
     rows = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(v).cast("double").alias("v")) for t, v in ((0, 5), (1, 5), (30, 5), (31, None), (45, None), (46, 5))])
     assert [(r.start, r.end) for r in one(spark, folds.rests(rows, 6, 12, 20))] == [(0, 30)]
+
+
+def test_frame_evidence(spark):
+    from episodica.operators import evidence
+
+    def frames(*names):
+        one_ = lambda ns: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(10).alias("r"), F.lit(10).alias("c")) for n in ns]) if ns else F.array().cast("array<struct<name:string,r:int,c:int>>")
+        return F.array(*map(one_, names)) if names else F.array().cast("array<array<struct<name:string,r:int,c:int>>>")
+
+    at = (F.lit(12), F.lit(10))
+    gone = frames(["arm"], ["arm"], ["button"])
+    assert one(spark, evidence.pressed(gone, *at)) and not one(spark, evidence.pressed(frames(["arm"], ["button"], ["arm"]), *at))
+    assert one(spark, evidence.absent(gone, *at, "cube")) and not one(spark, evidence.absent(frames(["cube"], []), *at, "cube"))
+    assert one(spark, evidence.lifted(frames(["cube"]), frames([], []), *at, "cube")) and not one(spark, evidence.lifted(frames(), frames([], []), *at, "cube"))
+    assert one(spark, evidence.placed(frames(["cube"], ["cube"]), *at, "cube", True)) and not one(spark, evidence.placed(frames(["cube", "arm"]), *at, "cube", False))
+    assert one(spark, evidence.visited(frames(["arm"]), frames([]), *at)) and not one(spark, evidence.placed(frames(), *at, "cube", True))
+
+
+def test_plan_predicates(spark):
+    from episodica.operators import predicates
+
+    # Open, grasp at z = 0, lift, carry for 30 steps, release.
+    q = [0.04] * 5 + [0.02] * 45 + [0.04] * 5
+    z = [0.0] * 15 + [0.05] * 40
+    rows = [(1, i, [0.0, 0.0, z[i], 3.14159, 0.0, 0.0, q[i]]) for i in range(len(q))]
+    states = spark.createDataFrame(rows, "ep int, step int, s array<double>")
+    plan = spark.createDataFrame([(1, 0, "pick", "mug"), (1, 1, "place", "mug"), (1, 2, "close", "drawer")], "ep int, ord int, kind string, what string")
+    assert [r.t for r in predicates.completions(states, plan, "ep").orderBy("ord").collect()] == [15, 52, None]
+
+
+def test_lookups(spark):
+    from episodica.operators import joins
+
+    a = spark.createDataFrame([(1, "red mug")], "k int, name string")
+    b = spark.createDataFrame([(1, "mug", 1), (1, "red", 0), (1, "pan", 2)], "k int, other string, ord int")
+    assert joins.either_contains(a, b, "k", "name", "other", "ord").first().other == "red"
+    bank = F.array(F.lit("picked cube at <10, 10>"))
+    assert one(spark, joins.duplicates_claim(bank, F.lit("picked cube at <17, 17>"))) and not one(spark, joins.duplicates_claim(bank, F.lit("picked cube at <18, 17>")))
