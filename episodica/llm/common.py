@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -21,7 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is unset (local tests), /tmp/checkpoints is used.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{uuid.uuid4().hex}"
+    name = uuid.uuid4().hex
+    if not base:
+        base = "file:///tmp/checkpoints"
+        # Results may be read until the end; only folders of our own are removed.
+        atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}"
 
 
 def cut(df: DataFrame) -> DataFrame:
