@@ -57,6 +57,49 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
     return both.applyInPandas(run, f"{key} {kind}, t_truth bigint, t_said bigint, lag bigint")
 
 
+def _hits(truths: list, lines: list, tolerance: int) -> int:
+    """Truths that find a free line, in order; both are (form, coordinates)."""
+    free: dict[str, list] = {}
+    for form, at in lines:
+        free.setdefault(form, []).append(at)
+    n = 0
+    for form, at in truths:
+        same = free.get(form, [])
+        k = next((k for k, y in enumerate(same) if len(y) == len(at) and (np.abs(y - at) <= tolerance).all()), None)
+        if k is not None:
+            same.pop(k)
+            n += 1
+    return n
+
+
+def state_quality(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12) -> DataFrame:
+    """(key, precision, recall, final_recall, divergence) of what is known at each tick.
+
+    Precision and recall are means over the ticks at which either side adds a
+    line; divergence is the first tick with a recall under 1, or -1.
+    """
+
+    def run(k, truths: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for rows in (truths, lines):
+            rows = _sided(rows, "t", "ord", "form", "at").sort_values(["t", "ord"])
+            sides.append([(int(t), form, np.asarray(at)) for t, form, at in zip(rows["t"], rows["form"], rows["at"])])
+        precision, recall, divergence = [], [], -1
+        for tick in sorted({t for side in sides for t, _, _ in side}):
+            g, p = ([x[1:] for x in side if x[0] <= tick] for side in sides)
+            hits = _hits(g, p, tolerance)
+            recall.append(hits / max(len(g), 1))
+            precision.append(hits / len(p) if p else float(not g))
+            if divergence < 0 and g and hits < len(g):
+                divergence = tick
+        mean = lambda x: float(np.mean(x)) if x else None
+        return pd.DataFrame([(k[0], mean(precision), mean(recall), recall[-1] if recall else None, divergence)], columns=[key, "precision", "recall", "final_recall", "divergence"])
+
+    kind = dict(truth.dtypes)[key]
+    both = _parsed(truth, key).groupBy(key).cogroup(_own(_parsed(said, key)).groupBy(key))
+    return both.applyInPandas(run, f"{key} {kind}, precision double, recall double, final_recall double, divergence bigint")
+
+
 def assign(left: DataFrame, right: DataFrame, key: list[str], radius: float) -> DataFrame:
     """(key..., a, b, d): one-to-one pairs of names a and ordinals b, nearest first, ties by name and ordinal.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.functions import text as T
+
 from . import ordered
 
 
@@ -94,3 +96,38 @@ def best_per_column(df: DataFrame, candidate: Column, columns: list[str]) -> Dat
     joined = df.join(F.broadcast(best), F.lit(True), "left")
     flags = [(candidate & (F.col(c) == F.col(f"{c}_best_"))).alias(f"{c}_is_best") for c in columns]
     return joined.select(*df.columns, *flags)
+
+
+def target_rates(df: DataFrame, by: list[str], truth: Column, said: Column, near: tuple[int, int] = (8, 30)) -> DataFrame:
+    """Rates of exact texts, of texts equal but for coordinates, and of first coordinates within two radii.
+
+    By all groups and in total (grouping sets); pairs without coordinates on
+    both sides don't count for the radii.
+    """
+    p, q = F.get(T.coords(truth), 0), F.get(T.coords(said), 0)
+    d = F.sqrt(((p["r"] - q["r"]) * (p["r"] - q["r"]) + (p["c"] - q["c"]) * (p["c"] - q["c"])).cast("double"))
+    flags = df.select(*by, (T.plain(truth) == T.plain(said)).alias("exact_"), (T.without_at(T.plain(truth)) == T.without_at(T.plain(said))).alias("form_"), d.alias("d_"))
+    rate = lambda c: F.avg(c.cast("double"))
+    columns = [rate(F.col("exact_")).alias("exact"), rate(F.col("form_")).alias("same_form"), *[rate(F.col("d_") <= r).alias(f"within_{r}") for r in near]]
+    return flags.groupingSets([[F.col(c) for c in by], []], *by).agg(F.count("*").alias("n"), *columns, F.grouping_id().cast("bigint").alias("level"))
+
+
+def completion_precision(truth: DataFrame, said: DataFrame, key: str, within: int = 16) -> DataFrame:
+    """Per key: completion lines that were said, and those that a true one of the same form and about the same time bears out."""
+    done = lambda df: df.filter(F.col("line").contains("completed:")).select(key, "t", T.blank_coords(F.col("line")).alias("form"))
+    a = done(said)
+    b = done(truth).select(F.col(key).alias("k_"), F.col("t").alias("t_"), F.col("form").alias("f_"))
+    close = (a[key] == b["k_"]) & (a["form"] == b["f_"]) & (F.abs(a["t"] - b["t_"]) <= within)
+    good = a.join(b, close, "left_semi").groupBy(key).agg(F.count("*").alias("right_"))
+    return a.groupBy(key).agg(F.count("*").alias("said")).join(good, key, "left").select(key, "said", F.coalesce("right_", F.lit(0)).alias("right"))
+
+
+def stall_mechanism(behind: Column, claims: Column, refused: Column, least: int = 8) -> Column:
+    """Why an episode stalled; null where its longest run behind is short."""
+    return F.when(behind < least, None).when(claims == 0, "SILENT").when(refused > 0, "HELD").otherwise("admitted but behind")
+
+
+def size_estimate(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
+    """Bytes of each column by its mean length, for the table's rows or a planned number of them."""
+    n = F.count("*") if rows is None else F.lit(rows)
+    return df.agg(*[F.ceil(F.coalesce(F.avg(F.octet_length(c)), F.lit(0)) * n).alias(c) for c in columns])

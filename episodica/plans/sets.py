@@ -377,3 +377,37 @@ def plan_completions(spark, d):
     v = v.select("ep", F.col("vec_id").alias("step"), F.transform(F.slice("embedding", 1, 7), lambda x: x.cast("double")).alias("s"))
     plan = v.select("ep").distinct().select("ep", F.posexplode(F.array(F.lit("pick"), F.lit("place"), F.lit("open"))).alias("ord", "kind"), F.lit("drawer").alias("what"))
     return predicates.completions(v, plan, "ep")
+
+
+_PAIR = f"{_LN}, pr as (select event_id, ep, line, lag(line) over (partition by ep order by event_id) as said from ln)"
+
+
+def _pairs(spark, d):
+    return _lines(spark, d).withColumn("said", F.lag("line").over(Window.partitionBy("ep").orderBy("event_id"))).filter("said is not null")
+
+
+@query(f"""with {_PAIR}, x as (select ep, rtrim(lower(trim(line)), '.') as a, rtrim(lower(trim(said)), '.') as b from pr where said is not null),
+y as (select *, regexp_replace(a, '\\s*at\\s*<[^>]*>', '', 'g') = regexp_replace(b, '\\s*at\\s*<[^>]*>', '', 'g') as form, regexp_extract(a, '<\\s*(\\d+)\\s*,\\s*(\\d+)\\s*>', ['r', 'c']) as p, regexp_extract(b, '<\\s*(\\d+)\\s*,\\s*(\\d+)\\s*>', ['r', 'c']) as q from x),
+z as (select *, sqrt((try_cast(p.r as double) - try_cast(q.r as double)) ** 2 + (try_cast(p.c as double) - try_cast(q.c as double)) ** 2) as d from y)
+select ep, count(*) as n, avg((a = b)::int) as exact, avg(form::int) as same_form, avg((d <= 8)::int) as within_8, avg((d <= 30)::int) as within_30, grouping(ep)::bigint as level from z group by grouping sets ((ep), ())""")
+def target_rates(spark, d):
+    return quality.target_rates(_pairs(spark, d), ["ep"], F.col("line"), F.col("said"))
+
+
+@query(f"""with {_LN}, x as (select ep, event_id as t, lower(trim(regexp_replace(split_part(replace(regexp_replace(line, '<[^>]*>', '<>', 'g'), '[event]', ''), '  [sam]', 1), '\\s+', ' ', 'g'))) as form from ln where line like '%completed:%'),
+s as (select * from x where t % 2 = 0), g as (select * from x where t % 2 = 1)
+select ep, count(*) as said, count(*) filter (exists (select 1 from g where g.ep = s.ep and g.form = s.form and abs(g.t - s.t) <= 60)) as "right" from s group by ep""")
+def completion_precision(spark, d):
+    x = _lines(spark, d).withColumn("t", F.col("event_id"))
+    return quality.completion_precision(x.filter("t % 2 = 1"), x.filter("t % 2 = 0"), "ep", 60)
+
+
+@query("select ceil(avg(strlen(text)) * count(*))::bigint as text, ceil(avg(strlen(lang)) * count(*))::bigint as lang from documents")
+def size_estimate(spark, d):
+    return quality.size_estimate(table(spark, d, "documents"), ["text", "lang"])
+
+
+@query()
+def state_quality(spark, d):
+    x = _lines(spark, d).filter("event_id < 500").select("ep", F.floor(F.col("event_id") / 16).alias("t"), F.col("event_id").alias("ord"), "line")
+    return grouped.state_quality(x.filter("ord % 2 = 0"), x, "ep")

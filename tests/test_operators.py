@@ -198,3 +198,15 @@ def test_lookups(spark):
     assert joins.either_contains(a, b, "k", "name", "other", "ord").first().other == "red"
     bank = F.array(F.lit("picked cube at <10, 10>"))
     assert one(spark, joins.duplicates_claim(bank, F.lit("picked cube at <17, 17>"))) and not one(spark, joins.duplicates_claim(bank, F.lit("picked cube at <18, 17>")))
+
+
+def test_state_quality(spark):
+    truth = spark.createDataFrame([(1, 0, 0, "a at <1, 1>"), (1, 16, 0, "b")], "ep int, t int, ord int, line string")
+    said = spark.createDataFrame([(1, 0, 0, "a at <9, 9>"), (1, 16, 0, "c")], "ep int, t int, ord int, line string")
+    r = grouped.state_quality(truth, said, "ep").first()
+    assert (r.precision, r.recall, r.final_recall, r.divergence) == (0.75, 0.75, 0.5, 16)
+
+
+def test_stall_mechanism(spark):
+    kinds = [one(spark, quality.stall_mechanism(F.lit(b), F.lit(c), F.lit(r))) for b, c, r in ((3, 0, 0), (9, 0, 0), (9, 2, 1), (9, 2, 0))]
+    assert kinds == [None, "SILENT", "HELD", "admitted but behind"]
