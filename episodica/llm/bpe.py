@@ -180,6 +180,7 @@ def _codec(ranks_path: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs and a binary column of its texts' ids (little-endian unsigned 32-bit)."""
+    docs = docs.select([col(docs, c) for c in docs.columns if c == text or c.lower() != ids.lower()])
     schema, at = arrow_schema(docs, (ids, pa.binary())), docs.columns.index(text)
 
     def run(batches):
@@ -192,6 +193,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs and a binary column of the bytes that its ids stand for (null: none)."""
+    docs = docs.select([col(docs, c) for c in docs.columns if c == ids or c.lower() != decoded.lower()])
     schema, at = arrow_schema(docs, (decoded, pa.binary())), docs.columns.index(ids)
 
     def run(batches):

@@ -191,7 +191,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted label and its probability."""
+    """docs with the predicted label and its probability; columns of these names are replaced."""
+    docs = docs.select([col(docs, c) for c in docs.columns if c == text or c.lower() not in (pred.lower(), score.lower())])
     schema = arrow_schema(docs, (pred, pa.string()), (score, pa.float64()))
     at = docs.columns.index(text)
     # The model has BUCKETS rows, a float for each label.

@@ -58,10 +58,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str =
     own = col(kept, text)
     joined = kept.join(gone, col(kept, key).eqNullSafe(gone["k_"]) & (F.xxhash64(own) == gone["t_"]), "left")
     parts = F.split(own, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_"))
+    places = gone["gone_"]  # by frame: docs may have a column of any name
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), places)
     short = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    columns = [F.when(F.col("gone_").isNull(), own).otherwise(short).alias(c) if c == text else col(kept, c) for c in kept.columns]
-    return joined.select(*columns, F.when(own.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("bigint").alias("n_lines"), F.when(F.col("gone_").isNull(), F.lit(0)).otherwise(F.size("gone_")).cast("bigint").alias("n_removed"))
+    columns = [F.when(places.isNull(), own).otherwise(short).alias(c) if c == text else col(kept, c) for c in kept.columns]
+    return joined.select(*columns, F.when(own.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("bigint").alias("n_lines"), F.when(places.isNull(), F.lit(0)).otherwise(F.size(places)).cast("bigint").alias("n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, table, text_or_empty, written
+from .common import col, free_name, table, text_or_empty, written
 
 REACH, MIN_LETTERS, MIN_CONTEXTS = 60, 4, 3
 MIN_SHARE, MIN_BITS, MIN_REMOVED = 0.5, 6.0, 0.9
@@ -137,17 +137,21 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     kept = docs.select([col(docs, c) for c in docs.columns if c.lower() not in ("spans", "sanitised")])
     own = text_or_empty(col(kept, text))
     found = kept.select(col(kept, key).alias("k"), F.xxhash64(own).alias("t"), own.alias("text")).withColumn("base", base_spans(F.col("text")))
+    # A written table, so that the terms are broadcast only if they are small.
     terms = written(disclosing(found)).withColumn("h", F.xxhash64("term"))
     words = found.select("k", "t", F.explode(F.transform(terms_of(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
-    # The disclosing terms are a written table, so that they are broadcast only if they are small.
-    listed = words.join(terms, "h").select("k", "t", "term", "share").distinct().groupBy("k", "t").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms_")).withColumnsRenamed({"k": "k_", "t": "t_"})
-    joined = kept.join(listed, col(kept, key).eqNullSafe(listed["k_"]) & (F.xxhash64(own) == listed["t_"]), "left")
+    # Names that docs don't have, whatever columns they come with.
+    k, t, listed_terms = (free_name(kept, n) for n in ("k_", "t_", "terms_"))
+    listed = words.join(terms, "h").select("k", "t", "term", "share").distinct().groupBy("k", "t")
+    listed = listed.agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(listed_terms)).withColumnsRenamed({"k": k, "t": t})
+    joined = kept.join(listed, col(kept, key).eqNullSafe(listed[k]) & (F.xxhash64(own) == listed[t]), "left")
+    held = F.col(f"`{listed_terms}`")
     # Terms are letters only, so they need no quoting.
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("terms_"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    term = F.when(F.col("terms_").isNotNull(), F.transform(matches(own, pattern, len(PATTERNS)), lambda s: s.withField("share", F.col("terms_")[F.lower(s["value"])])))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys(held), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    term = F.when(held.isNotNull(), F.transform(matches(own, pattern, len(PATTERNS)), lambda s: s.withField("share", held[F.lower(s["value"])])))
     base = F.transform(base_spans(own), lambda s: s.withField("share", F.lit(None).cast("double")))
     spans = F.concat(base, F.coalesce(term, F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,share:double>>")))
-    joined = joined.withColumn("spans", spans).drop("k_", "t_", "terms_")
+    joined = joined.withColumn("spans", spans).drop(k, t, listed_terms)
     return joined.withColumn("sanitised", F.when(F.size("spans") > 0, sanitised(own, F.col("spans"))).otherwise(own))
 
 

@@ -183,7 +183,7 @@ def test_anchors_cover():
 
 def test_pii(spark, docs):
     texts = [t for _, t in odd(docs)] + ["a@b.c_d@e.f x@y", "😀 é@x a.b+c@d-e.fr.com.@z 1.2.3.4.5.6.7.8", "999.1.1.1 001.002.003.0255", "+1 (988) 555-2485 +12 +1-2 ++33 4567 8901.", "4111 1111 1111 1111, 4111-1111-1111-1112", "1" * 20_000, "a" * 20_000 + "@", "a@b." * 300 + "c", "x a@b.cd y " * 700]
-    df = frame(spark, list(enumerate(texts))).withColumn("Spans", F.lit(1)).withColumn("k", F.lit(1)).withColumn("base", F.lit(1))
+    df = frame(spark, list(enumerate(texts))).withColumn("Spans", F.lit(1)).withColumn("k", F.lit(1)).withColumn("base", F.lit(1)).withColumn("terms_", F.lit(1)).withColumn("k_", F.lit(1))
     for r in pii.detect(df).collect():
         got = [f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in r.spans if s.kind < len(pii.PATTERNS)]
         assert got == brute.pii(r.text), r.doc_id
@@ -207,7 +207,7 @@ def test_disclosing_terms(spark):
 def test_line_dedup(spark, docs):
     rows = [(d, t, f"s{k % 4}" if k % 9 else None) for k, (d, t) in enumerate(odd(docs))]
     rows += [(8000 + i, f"menu\nhome {i % 2}\n \n \nbody {i}\nmenu", f"s{i % 5}") for i in range(20)] + [(8000, "menu", "s1"), (None, "menu\nbody 1", "s2")]
-    df = frame(spark, rows, "doc_id bigint, text string, source string").withColumn("N_lines", F.lit(1)).withColumn("h", F.lit(1)).withColumn("pos", F.lit(1))
+    df = frame(spark, rows, "doc_id bigint, text string, source string").withColumn("N_lines", F.lit(1)).withColumn("h", F.lit(1)).withColumn("pos", F.lit(1)).withColumn("gone_", F.lit(1)).withColumn("k_", F.lit(1))
     for least in (2, 3, 5):
         got = [(r.doc_id, r.text, r.n_removed) for r in linededup.dedup(df, min_sites=least).collect()]
         assert sorted(got, key=repr) == sorted(brute.line_dedup(rows, least), key=repr)
@@ -277,7 +277,7 @@ def test_language_id(spark):
 def test_language_id_odd_rows(spark, docs):
     rows = [(i, f"{'the and of' if i % 2 else 'der und die'} {i}", "en" if i % 2 else "de") for i in range(60)]
     model = langid.train(frame(spark, rows, "doc_id bigint, text string, lang string"))
-    df = frame(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "der"), (5, "THE 漢"), (None, "🙂 𝒜"), (6, "und " * 200_000)]).withColumn("total", F.lit(1))
+    df = frame(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "der"), (5, "THE 漢"), (None, "🙂 𝒜"), (6, "und " * 200_000)]).withColumn("total", F.lit(1)).withColumn("Score", F.lit(1)).withColumn("lang_pred", F.lit("x"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == got[6][0] == "de" and got[5][0] == "en"
     assert all(0 <= s <= 1 for _, s in got.values())
