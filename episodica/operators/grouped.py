@@ -6,6 +6,9 @@ expresses; an episode's rows are bounded, so a group fits in a task.
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,19 +60,33 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
     return both.applyInPandas(run, f"{key} {kind}, t_truth bigint, t_said bigint, lag bigint")
 
 
-def _hits(truths: list, lines: list, tolerance: int) -> int:
-    """Truths that find a free line, in order; both are (form, coordinates)."""
-    free: dict[str, list] = {}
-    for form, at in lines:
-        free.setdefault(form, []).append(at)
-    n = 0
-    for form, at in truths:
-        same = free.get(form, [])
-        k = next((k for k, y in enumerate(same) if len(y) == len(at) and (np.abs(y - at) <= tolerance).all()), None)
-        if k is not None:
-            same.pop(k)
-            n += 1
-    return n
+class _Free:
+    """Lines without a partner, by form and cells of the tolerance; take() gives the first one that agrees."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.size, self.places = tolerance, tolerance + 1, {}
+
+    def _cell(self, at: tuple) -> tuple:
+        return tuple(x // self.size for x in at[:2])
+
+    def add(self, n: int, form: str, at: tuple) -> None:
+        """Lines are added in order, so those of one place stay in it."""
+        cells = self.places.setdefault((form, len(at)), {})
+        cells.setdefault(self._cell(at), {}).setdefault(at, deque()).append(n)
+
+    def take(self, form: str, at: tuple) -> bool:
+        cells, best = self.places.get((form, len(at)), {}), None
+        for cell in product(*[(x - 1, x, x + 1) for x in self._cell(at)]):
+            for y, held in cells.get(cell, {}).items():
+                if (best is None or held[0] < best[0]) and all(abs(u - v) <= self.tolerance for u, v in zip(y, at)):
+                    best = (held[0], cell, y)
+        if best is None:
+            return False
+        _, cell, y = best
+        cells[cell][y].popleft()
+        if not cells[cell][y]:
+            del cells[cell][y]
+        return True
 
 
 def state_quality(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12) -> DataFrame:
@@ -83,14 +100,24 @@ def state_quality(truth: DataFrame, said: DataFrame, key: str, tolerance: int =
         sides = []
         for rows in (truths, lines):
             rows = _sided(rows, "t", "ord", "form", "at").sort_values(["t", "ord"])
-            sides.append([(int(t), form, np.asarray(at)) for t, form, at in zip(rows["t"], rows["form"], rows["at"])])
+            sides.append([(int(t), form, tuple(at)) for t, form, at in zip(rows["t"], rows["form"], rows["at"])])
+        # Both sides prefer the other's lines in order, so a line that comes later than all others of its side
+        # takes the first free one that agrees and moves no earlier pair: a tick only adds its own lines.
+        free, seen, hits = (_Free(tolerance), _Free(tolerance)), [0, 0], 0
         precision, recall, divergence = [], [], -1
         for tick in sorted({t for side in sides for t, _, _ in side}):
-            g, p = ([x[1:] for x in side if x[0] <= tick] for side in sides)
-            hits = _hits(g, p, tolerance)
-            recall.append(hits / max(len(g), 1))
-            precision.append(hits / len(p) if p else float(not g))
-            if divergence < 0 and g and hits < len(g):
+            for n, side in enumerate(sides):
+                while seen[n] < len(side) and side[seen[n]][0] <= tick:
+                    _, form, at = side[seen[n]]
+                    if free[1 - n].take(form, at):
+                        hits += 1
+                    else:
+                        free[n].add(seen[n], form, at)
+                    seen[n] += 1
+            g, p = seen
+            recall.append(hits / max(g, 1))
+            precision.append(hits / p if p else float(not g))
+            if divergence < 0 and hits < g:
                 divergence = tick
         mean = lambda x: float(np.mean(x)) if x else None
         return pd.DataFrame([(k[0], mean(precision), mean(recall), recall[-1] if recall else None, divergence)], columns=[key, "precision", "recall", "final_recall", "divergence"])

@@ -409,5 +409,5 @@ def size_estimate(spark, d):
 
 @query()
 def state_quality(spark, d):
-    x = _lines(spark, d).filter("event_id < 500").select("ep", F.floor(F.col("event_id") / 16).alias("t"), F.col("event_id").alias("ord"), "line")
+    x = _lines(spark, d).select("ep", F.floor(F.col("event_id") / 16).alias("t"), F.col("event_id").alias("ord"), "line")
     return grouped.state_quality(x.filter("ord % 2 = 0"), x, "ep")

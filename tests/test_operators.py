@@ -1,6 +1,7 @@
 """Small cases worked out by hand: ties, rounding, empty inputs and order."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -210,3 +211,45 @@ def test_state_quality(spark):
 def test_stall_mechanism(spark):
     kinds = [one(spark, quality.stall_mechanism(F.lit(b), F.lit(c), F.lit(r))) for b, c, r in ((3, 0, 0), (9, 0, 0), (9, 2, 1), (9, 2, 0))]
     assert kinds == [None, "SILENT", "HELD", "admitted but behind"]
+
+
+def test_state_quality_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    line = lambda: r.choice(["a", "a at <{0}, {1}>", "b at <{0}, {1}> to <{2}, {0}>"]).format(*(r.randrange(60) for _ in range(3)))
+    sides = [[(ep, r.randrange(40), n, line()) for ep in range(8) for n in range(r.choice((0, 15, 60)))] for _ in range(2)]
+    form = lambda x: (re.sub("<.*?>", "<>", x), [int(v) for v in re.findall(r"\d+", x)])
+
+    def want(ep):
+        g, p = ([(t, *form(x)) for e, t, _, x in sorted(side, key=lambda x: x[:3]) if e == ep] for side in sides)
+        precision, recall, divergence = [], [], -1
+        for tick in sorted({x[0] for x in g + p}):
+            truths, free = [x for x in g if x[0] <= tick], [x for x in p if x[0] <= tick]
+            said, hits = len(free), 0
+            for _, f, at in truths:
+                k = next((k for k, (_, h, y) in enumerate(free) if h == f and all(abs(u - v) <= 12 for u, v in zip(at, y))), None)
+                if k is not None:
+                    free.pop(k)
+                    hits += 1
+            recall.append(hits / max(len(truths), 1))
+            precision.append(hits / said if said else float(not truths))
+            divergence = tick if divergence < 0 and hits < len(truths) else divergence
+        return (sum(precision) / len(precision), sum(recall) / len(recall), recall[-1], divergence)
+
+    found = grouped.state_quality(*(spark.createDataFrame(s, "ep int, t int, ord int, line string") for s in sides), "ep").collect()
+    assert {x.ep for x in found} == {x[0] for s in sides for x in s}
+    for x in found:
+        assert all(abs(u - v) < 1e-9 for u, v in zip((x.precision, x.recall, x.final_recall, x.divergence), want(x.ep)))
+
+
+def test_state_quality_takes_all_events(spark):
+    from episodica.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    eps = {r.user_id for r in spark.read.parquet(f"{folder}/events.parquet").select("user_id").collect()}
+    got = registry.QUERIES["state_quality"](spark, folder).collect()
+    lines = spark.read.parquet(f"{folder}/events.parquet").groupBy("user_id").max("event_id").collect()
+    assert {r.ep for r in got} == eps and max(x[1] for x in lines) >= 500
+    # The even events alone are true and all are said, so every truth is found, and half of the lines are right.
+    assert all(r.final_recall == 1 for r in got)
