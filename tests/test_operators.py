@@ -253,3 +253,33 @@ def test_state_quality_takes_all_events(spark):
     assert {r.ep for r in got} == eps and max(x[1] for x in lines) >= 500
     # The even events alone are true and all are said, so every truth is found, and half of the lines are right.
     assert all(r.final_recall == 1 for r in got)
+
+
+def test_assignment_against_all_pairs(spark):
+    import random
+
+    from episodica.plans import registry
+
+    def want(here, there, radius):
+        names, ords, out = set(), set(), []
+        for d, n, o in sorted((((r - u) ** 2 + (c - v) ** 2) ** 0.5, n, o) for n, r, c in here for o, u, v in there):
+            if d <= radius and n not in names and o not in ords:
+                names.add(n)
+                ords.add(o)
+                out.append((n, o, d))
+        return out
+
+    x = random.Random(5)
+    for n, wide, radius in ((0, 5, 3), (30, 3, 2), (60, 12, 4), (60, 60, 20), (40, 6, 0), (50, 9, 2.5)):
+        at = lambda: (x.randrange(-wide, wide), x.randrange(-wide, wide))
+        here, there = [(str(x.randrange(50)), *at()) for _ in range(n)], [(x.randrange(50), *at()) for _ in range(n)]
+        assert sorted(grouped._nearest_first(here, there, radius)) == sorted(want(here, there, radius))
+    # Many copies of one place are paired in order.
+    assert len(grouped._nearest_first([(str(i), 1, 1) for i in range(20_000)], [(i, 1, 2) for i in range(20_000)], 5)) == 20_000
+    folder = "/root/testdata/sf0.001"
+    points = [(r.label, r.vec_id, *(math.floor(v * 256) for v in r.embedding[:2])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    pairs = []
+    for label in {p[0] for p in points}:
+        sides = [[p[1:] for p in points if p[0] == label and p[1] % 2 == k] for k in (0, 1)]
+        pairs += [(label, *y) for y in want([(str(n), r, c) for n, r, c in sides[0]], sides[1], 20)]
+    assert sorted(map(tuple, registry.QUERIES["assign_points"](spark, folder).collect())) == sorted(pairs)
