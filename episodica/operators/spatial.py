@@ -62,6 +62,24 @@ def snap(points: Column, r: Column, c: Column, radius: float) -> Column:
     return F.when(best["d"] <= radius * radius, F.struct(best["r"].alias("r"), best["c"].alias("c"))).otherwise(F.struct(r.alias("r"), c.alias("c")))
 
 
+def snap_points(points: DataFrame, anchors: DataFrame, group: str, radius: float) -> DataFrame:
+    """points with r, c of the nearest anchor of their group within the radius, the smallest id of several; else their own.
+
+    anchors have group, id, r, c. Places of both sides are compared once,
+    however many rows stand there; a cell's anchors are one row, which holds
+    no more places than the cell has (the radius squared for whole pixels).
+    """
+    places = _cells(points.select(group, "r", "c").distinct(), "r", "c", radius, True)
+    held = _cells(anchors.groupBy(group, "r", "c").agg(F.min("id").alias("id")), "r", "c", radius, False)
+    held = held.groupBy(group, "cell_r_", "cell_c_").agg(F.collect_list(F.struct("id", "r", "c")).alias("pts_"))
+    ranked = F.transform("pts_", lambda p: F.struct(geometry.squared(p["r"], p["c"], F.col("r"), F.col("c")).alias("d"), p["id"].alias("id"), p["r"].alias("r"), p["c"].alias("c")))
+    near = places.join(held, [group, "cell_r_", "cell_c_"]).withColumn("at_", F.array_min(ranked)).filter(F.col("at_.d") <= radius * radius)
+    best = near.groupBy(*[F.col(c).alias(f"{c}_") for c in (group, "r", "c")]).agg(F.min("at_").alias("best_"))
+    own = (points[group] == best[f"{group}_"]) & (points["r"] == best["r_"]) & (points["c"] == best["c_"])
+    at = lambda c: F.coalesce(F.col(f"best_.{c}"), points[c]).alias(c)
+    return points.join(best, own, "left").select(*[at(c) if c in ("r", "c") else points[c] for c in points.columns])
+
+
 def clusters(points: Column, radius: float, least: int) -> Column:
     """Anchors of points that, in order, lie within an L1 radius of the first one; those met `least` times."""
     state = "array<struct<r:double,c:double,n:int>>"

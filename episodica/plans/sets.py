@@ -142,10 +142,16 @@ n as (select q.id, q.r, q.c, b.r as br, b.c as bc, (q.r - b.r) * (q.r - b.r) + (
 select id, case when d2 <= 225 then br else r end as r, case when d2 <= 225 then bc else c end as c from n where k = 1""")
 def nearest_snap(spark, d):
     p = points(spark, d)
-    held = p.filter("id % 5 = 1").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "r", "c"))).alias("pts"))
-    q = p.filter("id % 5 = 0").join(held, "label", "left")
-    at = spatial.snap(F.coalesce("pts", F.array().cast("array<struct<id:bigint,r:bigint,c:bigint>>")), F.col("r"), F.col("c"), 15)
-    return q.select("id", F.coalesce(at["r"], F.col("r")).alias("r"), F.coalesce(at["c"], F.col("c")).alias("c"))
+    return spatial.snap_points(p.filter("id % 5 = 0"), p.filter("id % 5 = 1"), "label", 15).select("id", "r", "c")
+
+
+@query(f"""with {PT}, q as (select * from pt where id % 5 <> 1), b as (select * from pt where id % 5 = 1),
+n as (select q.id, q.r, q.c, b.r as br, b.c as bc, (q.r - b.r) * (q.r - b.r) + (q.c - b.c) * (q.c - b.c) as d2, row_number() over (partition by q.id order by (q.r - b.r) * (q.r - b.r) + (q.c - b.c) * (q.c - b.c), b.id) as k from q left join b on b.label = q.label)
+select id, case when d2 <= 225 then br else r end as r, case when d2 <= 225 then bc else c end as c from n where k = 1""")
+def nearest_snap_all(spark, d):
+    """As nearest_snap, with every row: those that are no anchor are snapped."""
+    p = points(spark, d)
+    return spatial.snap_points(p.filter("id % 5 <> 1"), p.filter("id % 5 = 1"), "label", 15).select("id", "r", "c")
 
 
 @query("""select l_returnflag, l_linestatus, count(l_quantity) as n, quantile_cont(l_extendedprice, 0.5) as median, quantile_cont(l_extendedprice, 0.1) as p10, quantile_cont(l_extendedprice, 0.9) as p90,

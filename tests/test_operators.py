@@ -283,3 +283,15 @@ def test_assignment_against_all_pairs(spark):
         sides = [[p[1:] for p in points if p[0] == label and p[1] % 2 == k] for k in (0, 1)]
         pairs += [(label, *y) for y in want([(str(n), r, c) for n, r, c in sides[0]], sides[1], 20)]
     assert sorted(map(tuple, registry.QUERIES["assign_points"](spark, folder).collect())) == sorted(pairs)
+
+
+def test_snapping_takes_every_row(spark):
+    from episodica.plans import registry
+
+    p = spark.createDataFrame([("x", 1, 0, 0), ("x", 2, 0, 0), ("x", 3, 100, 0), ("y", 4, 1, 1), (None, 5, 1, 1), ("x", 6, None, 1)], "label string, id bigint, r bigint, c bigint")
+    a = spark.createDataFrame([("x", 9, 9, 12), ("x", 8, 12, 9), ("x", 7, -20, 0), ("x", 11, 100, 16), (None, 1, 1, 2)], "label string, id bigint, r bigint, c bigint")
+    got = {r.id: (r.r, r.c) for r in spatial.snap_points(p, a, "label", 15).collect()}
+    assert got == {1: (12, 9), 2: (12, 9), 3: (100, 0), 4: (1, 1), 5: (1, 1), 6: (None, 1)}
+    folder = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.id for r in registry.QUERIES["nearest_snap_all"](spark, folder).collect()} == {i for i in ids if i % 5 != 1}
