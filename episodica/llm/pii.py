@@ -3,12 +3,17 @@
 Base: e-mail and IP addresses, card and phone numbers, leftmost without
 overlap for each kind; matches that fail their kind's test are dropped.
 
-Method: the base values are the protected entities. Terms (words of MIN_LETTERS
-or more letters, lowered) that stand within REACH characters of an entity's
-occurrences co-occur with it. Over the whole corpus, a term discloses an
-entity if P(entity | term), estimated as documents with both over documents
-with the term, is MIN_SHARE or more, their pointwise mutual information is
-MIN_BITS or more, and the pair is met in MIN_CONTEXTS different contexts, so
+Method: the base values are the protected entities. Terms are words of three or
+more letters, of two if they are capitalised or of a script without case,
+lowered; words inside base values don't count. A term co-occurs with an entity
+in every document that holds both, wherever they stand. Over the whole corpus,
+a term discloses an entity if P(entity | term), estimated as documents with
+both over documents with the term, is MIN_SHARE or more, their pointwise mutual
+information is MIN_RELATIVE or more of -log2 P(entity), which is all that a
+term can tell, the divergence of P(entity | term) from P(entity) over the
+term's documents is MIN_EVIDENCE bits or more, and the pair is met in
+MIN_CONTEXTS different contexts (REACH characters around the entity and
+NEIGHBOURS words around the term), so
 that copies of one text alone are no evidence. All occurrences of such terms
 become spans, in every document. In the sanitised text base spans and terms
 become placeholders of their kind; terms that are as good as the entity
@@ -27,8 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import col, free_name, table, text_or_empty, written
 
-REACH, MIN_LETTERS, MIN_CONTEXTS = 60, 4, 3
-MIN_SHARE, MIN_BITS, MIN_REMOVED = 0.5, 6.0, 0.9
+REACH, NEIGHBOURS, MIN_CONTEXTS = 60, 4, 3
+MIN_SHARE, MIN_REMOVED = 0.5, 0.9
+#: Three documents with both and 6 bits each, a share of MIN_SHARE, give 15 bits; a frequent entity reaches them with more documents.
+MIN_RELATIVE, MIN_EVIDENCE = 0.5, 15.0
+_BREAK, _TERM, _NAMED = r"[^\p{L}\p{N}]+", r"^\p{L}{2,}$", r"^(?:\p{L}{3,}|\p{Lo}{2}|\p{Lu}\p{L})$"
 #: As in the contract; possessive and anchored so that no text makes them backtrack far.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -102,30 +110,61 @@ def base_spans(text: Column) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    """The distinct terms of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(rf"^\p{{L}}{{{MIN_LETTERS},}}$")))
+    """The distinct words of a text that may be terms, whatever their case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), _BREAK), lambda w: w.rlike(_TERM)))
+
+
+def _named(words: Column) -> Column:
+    """array<struct<term, c>> of the terms among a text's words, a stored column; c is a hash of the words around."""
+    around = lambda i: F.slice(words, F.greatest(i - NEIGHBOURS + 1, F.lit(1)), F.lit(2 * NEIGHBOURS + 1))
+    placed = F.transform(words, lambda w, i: F.when(w.rlike(_NAMED), F.struct(F.lower(w).alias("term"), F.xxhash64(F.lower(F.array_join(around(i), " "))).alias("c"))))
+    return F.filter(placed, lambda s: s.isNotNull())
+
+
+def _entities(text: Column, spans: Column) -> Column:
+    """array<struct<e, c>> of each base span in order of e; c is a hash of what stands around."""
+
+    def one(s):
+        first = F.greatest(s["start"] - REACH, F.lit(0))
+        # A word that the reach cuts through is left out.
+        left = F.regexp_replace(F.substring(text, (first + 1).cast("int"), (s["start"] - first).cast("int")), r"^[\p{L}\p{N}]+", "")
+        right = F.regexp_replace(F.substring(text, (s["end"] + 1).cast("int"), F.lit(REACH)), r"[\p{L}\p{N}]+$", "")
+        return F.struct(F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])).alias("e"), F.xxhash64(left, right).alias("c"))
+
+    return F.array_sort(F.transform(spans, one))
 
 
 def disclosing(found: DataFrame) -> DataFrame:
     """(term, share): terms that disclose an entity, from rows (k, t, text, base)."""
-    n = found.agg(F.count("*").alias("n")).first().n
-    near = found.filter(F.size("base") > 0).select("k", "t", "text", F.explode("base").alias("s"))
-    left = F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)).cast("int") + 1, (F.col("s.start") - F.greatest(F.col("s.start") - REACH, F.lit(0))).cast("int"))
-    right = F.substring("text", F.col("s.end").cast("int") + 1, F.lit(REACH))
-    # A word that the reach cuts through is no term.
-    left, right = F.regexp_replace(left, r"^[\p{L}\p{N}]+", ""), F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")
-    near = near.select("k", "t", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("e"), F.concat(left, F.lit(" "), right).alias("around"))
-    near = written(near)
-    entities = near.select("k", "t", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = near.select("k", "t", "e", F.xxhash64("around").alias("c"), F.explode(terms_of(F.col("around"))).alias("term"))
-    pairs = pairs.groupBy("k", "t", "e", "term").agg(F.min("c").alias("c")).groupBy("e", "term", "c").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("e", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    n = F.lit(float(found.agg(F.count("*").alias("n")).first().n))
+    spans = F.transform("base", lambda s: s.withField("share", F.lit(None).cast("double")))
+    outside = F.when(F.size("base") > 0, sanitised(F.col("text"), spans, " ")).otherwise(F.col("text"))
+    near = found.filter(F.size("base") > 0).select(outside.alias("text"), _entities(F.col("text"), F.col("base")).alias("all"))
+    near = near.select("text", F.filter("all", lambda s, i: (i == 0) | (F.get("all", i - 1)["e"] != s["e"])).alias("es"))
+    near = written(near.withColumn("row", F.monotonically_increasing_id()))
+    links = near.select("row", F.inline("es"))
+    # One in fewer documents has no terms.
+    entities = links.groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= MIN_CONTEXTS)
+    links = links.join(entities, "e").groupBy("row").agg(F.collect_list(F.struct("e", "c", "n_e")).alias("es"))
+    # Words are stored, since a function of an element that refers to them would split the text for each one.
+    held = written(near.select("row", F.split("text", _BREAK).alias("words")).join(links, "row"))
+    # Counted by entity and term before anything is joined, so that a frequent entity is no large group.
+    terms = held.select("es", F.explode(F.array_distinct(F.transform(F.filter("words", lambda w: w.rlike(_NAMED)), F.lower))).alias("term"))
+    pairs = terms.select("term", F.inline("es")).groupBy("e", "n_e", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= MIN_CONTEXTS)
     # Document frequencies are counted over all words of all documents, by hash.
-    words = found.select(F.explode(F.transform(terms_of(F.col("text")), lambda w: F.xxhash64(w))).alias("h"))
-    counts = words.groupBy("h").agg(F.count("*").alias("n_t"))
-    scored = pairs.withColumn("h", F.xxhash64("term")).join(counts, "h").join(entities, "e")
-    share, bits = F.col("n_both") / F.col("n_t"), F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    return scored.filter((share >= MIN_SHARE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(share).alias("share"))
+    words = found.select(F.explode(F.transform(terms_of(outside), lambda w: F.xxhash64(w))).alias("h"))
+    counts = words.groupBy("h").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= MIN_CONTEXTS)
+    scored = pairs.withColumn("h", F.xxhash64("term")).join(counts, "h")
+    share, p = F.col("n_both") / F.col("n_t"), F.col("n_e") / n
+    bits = F.log2(share / p)
+    evidence = F.col("n_both") * bits + F.when(share < 1, (F.col("n_t") - F.col("n_both")) * F.log2((1 - share) / (1 - p))).otherwise(F.lit(0.0))
+    scored = scored.filter((share >= MIN_SHARE) & (bits >= -MIN_RELATIVE * F.log2(p)) & (evidence >= MIN_EVIDENCE))
+    scored = written(scored.select("e", "term", share.alias("share")))
+    met = held.select("row", F.transform("es", lambda s: s.dropFields("n_e")).alias("es"), F.explode(_named(F.col("words"))).alias("w")).join(scored.select("term").distinct().withColumnRenamed("term", "term_"), F.col("w.term") == F.col("term_"), "left_semi")
+    met = met.groupBy("row", "es", F.col("w.term").alias("term")).agg(F.min("w.c").alias("c_t")).select("row", "term", "c_t", F.inline("es"))
+    met = met.join(scored, ["e", "term"]).select("e", "term", "share", F.xxhash64("c", "c_t").alias("c")).distinct()
+    met = met.groupBy("e", "term", "share").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    return met.groupBy("term").agg(F.max("share").alias("share"))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,11 +194,11 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return joined.withColumn("sanitised", F.when(F.size("spans") > 0, sanitised(own, F.col("spans"))).otherwise(own))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with placeholders; of overlapping spans the first one's kind counts."""
+def sanitised(text: Column, spans: Column, mark: str | None = None) -> Column:
+    """The text with placeholders, or the mark; of overlapping spans the first one's kind counts."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["share"].alias("share"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    tag = lambda s: F.when(s["share"] >= MIN_REMOVED, F.lit("")).otherwise(F.get(names, s["kind"]))
+    tag = lambda s: F.lit(mark) if mark else F.when(s["share"] >= MIN_REMOVED, F.lit("")).otherwise(F.get(names, s["kind"]))
     cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(cut(a["at"], s["start"]), tag(s)))).otherwise(a["out"]).alias("out"))

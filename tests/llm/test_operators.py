@@ -201,6 +201,22 @@ def test_disclosing_terms(spark):
     assert found[700].sanitised == "copied quintely text by [EMAIL]"
 
 
+def test_disclosing_terms_anywhere(spark):
+    far = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    # Far from the address; short names; CJK; near it in few documents; no name: in others' documents too.
+    rows = [(i, f"Quandle Bo Xi\u4e00 \u738b\u4e94 common{i} {far(i)} so write to zed@site.com") for i in range(6)]
+    rows += [(i, f"so to write common text {far(i)}") for i in range(10, 600)] + [(900, "quandle, Bo and \u738b\u4e94; to zed")]
+    # An entity in a third of the documents.
+    rows += [(1000 + i, f"Hotname {i} {far(i)} so write to often@site.com") for i in range(300)] + [(2000, "hotname")]
+    # Three documents can't tell more than chance about a frequent entity.
+    rows += [(3000 + i, f"Chancy {far(i)} so to write to often@site.com {i}") for i in range(3)]
+    found = {r.doc_id: r for r in pii.detect(frame(spark, rows)).filter("size(spans) > 0").collect()}
+    shown = lambda d: {s.value.lower() for s in found[d].spans if s.kind == len(pii.PATTERNS)} if d in found else set()
+    assert shown(900) == {"quandle", "bo", "\u738b\u4e94"}
+    assert shown(2000) == {"hotname"}
+    assert shown(3000) == set() and shown(11) == set()
+
+
 # Line deduplication
 
 
