@@ -31,13 +31,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """One document of each group of near duplicates: the smallest id, then the least hash of the row.
 
-    Rows that are equal in every column count once; null ids of a group that
-    has no other are kept.
+    Null ids come last. Rows that are equal in every column count once.
     """
-    found = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_"]), "left_semi").dropDuplicates()
+    # Ids may repeat, so a row is known by its id and what it holds.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("h"))
+    found = simhash.near_duplicates(docs.select(key.alias("key_"), "text"), "key_").select(F.col("component_id").alias("kept_")).distinct()
+    same = docs["doc_id"].eqNullSafe(found["kept_.doc_id"]) & (F.xxhash64(*[docs[c] for c in docs.columns]) == found["kept_.h"])
+    return docs.join(found, same, "left_semi").dropDuplicates()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

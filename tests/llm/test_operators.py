@@ -339,3 +339,14 @@ def test_pipeline_stages_take_odd_rows(spark):
             out = stage(spark, df, SF)
             assert out.columns == df.columns and out.count() <= len(given)
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == len(given)
+
+
+def test_near_dedup_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    near = text(1) + " more"
+    rows = [(1, text(0)), (2, text(0)), (2, text(1)), (3, near), (1, text(2)), (None, text(3)), (None, text(3)), (5, text(4)), (5, text(4) + " more"), (6, text(4)), (None, text(4))]
+    df = frame(spark, rows).withColumn("lang", F.lit("en"))
+    got = sorted(((r.doc_id, r.text.split()[0]) for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, SF).collect()), key=repr)
+    assert got == sorted([(1, "word0x0"), (2, "word1x0"), (1, "word2x0"), (None, "word3x0"), (5, "word4x0")], key=repr)
