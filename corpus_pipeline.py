@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 from episodica.llm import bpe, decontaminate, langid, linededup, simhash
 from episodica.llm.common import table, written
 
-#: Documents with a lower probability of their language go, as do those without letters.
-MIN_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter or of unclear language go."""
+    """Documents whose language is recognised; where nothing is there to learn from, those with a letter."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model, pred="pred_", score="score_")
-    return found.filter((F.col("pred_") != "und") & (F.col("score_") >= MIN_SCORE)).drop("pred_", "score_")
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return langid.predict(docs, model, pred="pred_", score="score_").filter(F.col("pred_") != "und").drop("pred_", "score_")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

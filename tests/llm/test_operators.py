@@ -350,3 +350,15 @@ def test_near_dedup_with_repeated_ids(spark):
     df = frame(spark, rows).withColumn("lang", F.lit("en"))
     got = sorted(((r.doc_id, r.text.split()[0]) for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, SF).collect()), key=repr)
     assert got == sorted([(1, "word0x0"), (2, "word1x0"), (1, "word2x0"), (None, "word3x0"), (5, "word4x0")], key=repr)
+
+
+def test_language_stage_keeps_what_has_letters(spark):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    words = {"en": "the house and the river", "de": "das haus und der fluss", "fr": "la maison et le fleuve", "es": "la casa y el rio"}
+    rows = [(i, f"{w} {i}", lang) for i in range(40) for lang, w in words.items()]
+    odd_ = [(900, "the das la y", "en"), (901, "zzz", None), (902, "123 ...", None), (903, None, None)]
+    schema = "doc_id bigint, text string, lang string"
+    assert {r.doc_id for r in stage(spark, frame(spark, rows + odd_, schema), SF).collect()} == {*range(40), 900, 901}
+    assert {r.doc_id for r in stage(spark, frame(spark, [(d, t, None) for d, t, _ in rows[:4] + odd_], schema), SF).collect()} == {0, 900, 901}
