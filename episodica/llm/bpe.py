@@ -4,17 +4,19 @@ Encoding: every word (a match of the split pattern) starts as one token a
 byte. A recursive query turns the words into (word, position, token) rows,
 joins adjacent tokens with the merge table, and contracts each word's leftmost
 pair of minimum rank, until no word has a pair in the table. Decoding: the
-ids become (document, position, id) rows, join the vocabulary, and an ordered
-aggregation concatenates the pieces.
+ids become (position, id) rows, join the vocabulary, and an ordered
+aggregation concatenates the pieces, which are then cut by their lengths.
 
-A word that is met again is looked up in a bounded memo. Words longer than
+A word that is met again is looked up in a bounded memo. So is, in decoding, a
+run of ids from one that starts with a blank to the next. Words longer than
 LONG bytes take a form of the query that contracts all occurrences of the
 minimum-rank pair at once where that can't change the result, and that runs
 at most DEPTH rounds before it starts anew from the last state, so that it
 keeps few states in memory.
 
-Nulls and empty texts have no tokens; rows, ties and further columns are kept
-as they are.
+Nulls and empty texts have no tokens; an empty table gives an empty table;
+rows, ties and further columns are kept as they are. Very long texts are taken
+on their own, in arrays of some 60 bytes a character.
 """
 
 from __future__ import annotations
@@ -22,18 +24,18 @@ from __future__ import annotations
 import base64
 import hashlib
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks
 from .common import Memo, added, arrow_schema, batch_of, col, runs, spark_schema, table
+from .pattern import PATTERN, Distinct, Powers, Splitter, joined
 
 LONG, DEPTH, BLOCK = 256, 16, 20_000
-#: Entries of each memo of a worker.
-MOST = 250_000
+#: Entries of a worker's memos of words and of runs of ids.
+WORDS, RUNS = 700_000, 500_000
+#: Texts that are taken at a time, at most.
+ROWS = 2048
 
 ENCODE = """
 with recursive t(w, toks) as (
@@ -69,11 +71,7 @@ with recursive t(step, w, i, tok) as (
 select w, i, tok from t where (w, step) in (select w, max(step) from t group by w)
 """
 
-DECODE = """
-select d, string_agg(piece, '' order by i) as piece
-from (select d, unnest(ids) as id, unnest(range(len(ids))) as i from docs) join vocab using (id)
-group by d
-"""
+DECODE = "select string_agg(piece, '' order by i) as text from flat join vocab using (id)"
 
 
 class Codec:
@@ -83,8 +81,9 @@ class Codec:
         import duckdb
         import regex
 
-        self.find = regex.compile(pattern).findall
-        self.words, self.chunks = Memo(MOST), Memo(MOST)
+        self.find = None if pattern == PATTERN else regex.compile(pattern).findall
+        self.split = Splitter().words if pattern == PATTERN else self._found
+        self.words, self.runs, self.powers = Memo(WORDS), Memo(RUNS), Powers()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         pairs, new, first = [], [], {}
         for x, r in ranks.items():
@@ -102,6 +101,17 @@ class Codec:
             self.db.execute(f"create table {name} as from given")
             self.db.unregister("given")
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.length, self.blank = np.zeros(max(ranks.values()) + 1, np.int32), np.zeros(max(ranks.values()) + 1, bool)
+        self.length[list(ranks.values())] = list(map(len, ranks))
+        self.blank[[r for x, r in ranks.items() if x[:1] == b" "]] = True
+
+    def _found(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As Splitter.words, for any pattern."""
+        number, codes, ends = {}, [], []
+        for t in texts:
+            codes += [number.setdefault(w, len(number)) for w in self.find(t)]
+            ends.append(len(codes))
+        return list(number), np.array(codes, np.int64), np.array(ends, np.int64)
 
     def _query(self, name: str, data: pa.Table, sql: str, **values) -> pa.Table:
         self.db.register(name, data)
@@ -142,25 +152,28 @@ class Codec:
             out[k] = ids
         return out
 
-    def _encode_chunks(self, new: list[str]) -> list[bytes]:
-        split = [[c] if c.isascii() and (c[1:] if c[0] == " " else c).isalpha() else self.find(c) for c in new]
-        self.words.fill(chain.from_iterable(split), self.encode_words)
-        return [b"".join(map(self.words.of, s)) for s in split]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [chunks.cut(t) if t else [] for t in texts]
-        return self.chunks.joined(cut, self._encode_chunks)
+        words, codes, ends = self.split([t or "" for t in texts])
+        return joined(self.words.values(words, self.encode_words), codes, ends)
+
+    def _decode_runs(self, keys: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int32)
+        ends = np.cumsum(self.length[ids])[np.cumsum([len(k) // 4 for k in keys]) - 1].tolist()
+        (text,) = self._query("flat", pa.table({"i": np.arange(len(ids)), "id": ids}), DECODE)["text"].to_pylist()
+        raw = text.encode("latin-1")
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each text's ids."""
-        ends = np.cumsum([0, *[len(x) // 4 for x in ids]], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-        found = self._query("docs", pa.table({"d": np.arange(len(ids), dtype=np.int32), "ids": lists}), DECODE)
-        out = [b""] * len(ids)
-        for d, piece in zip(found["d"].to_pylist(), found["piece"].to_pylist()):
-            out[d] = piece.encode("latin-1")
-        return out
+        raw = b"".join(ids)
+        flat, ends = np.frombuffer(raw, "<u4"), np.cumsum([len(x) // 4 for x in ids])
+        start = self.blank[flat]
+        start[[a for a in [0, *ends.tolist()] if a < len(flat)]] = True
+        starts = np.flatnonzero(start)
+        own = Distinct(flat, starts, np.append(starts[1:], len(flat))[: len(starts)], self.powers)
+        keys = [raw[a:b] for a, b in zip((own.starts * 4).tolist(), (own.ends * 4).tolist())]
+        return joined(self.runs.values(keys, self._decode_runs), own.codes, np.searchsorted(starts, ends))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,7 +198,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b, texts in runs(batches, at):
+        for b, texts in runs(batches, at, rows=ROWS):
             yield added(b, schema, codec.encode(texts))
 
     return docs.mapInArrow(run, spark_schema(docs, (ids, "binary")))
@@ -198,7 +211,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", dec
 
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        for b, values in runs(batches, at):
+        for b, values in runs(batches, at, rows=ROWS):
             yield added(b, schema, codec.decode([v or b"" for v in values]))
 
     return docs.mapInArrow(run, spark_schema(docs, (decoded, "binary")))
@@ -220,7 +233,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     def run(batches):
         codec = _codec(ranks_path, pattern)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for b, texts in runs(batches, at):
+        for b, texts in runs(batches, at, rows=ROWS):
             ids = codec.encode(texts)
             raw = codec.decode(ids)
             own = [b.column(k) for k in range(b.num_columns) if k != at]

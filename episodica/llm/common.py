@@ -20,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor can reach.
 
-    Where the setting is unset (local tests), /tmp/checkpoints is used.
+    Where the setting is unset, /tmp/checkpoints serves a local master; on any
+    other it is an error, since executors would write to disks of their own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     name = uuid.uuid4().hex
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file:///tmp/checkpoints"
         # Results may be read until the end; only folders of our own are removed.
         atexit.register(shutil.rmtree, f"/tmp/checkpoints/{name}", ignore_errors=True)
@@ -109,6 +113,19 @@ class Memo:
         self.forget()
         self.add(list(set(keys).difference(self.map)), compute)
 
+    def values(self, keys: list, compute: Callable[[list], Iterable], longest: int = 256) -> list:
+        """The value of each key (None can't be one); longer keys are computed, but not kept."""
+        out = list(map(self.map.get, keys))
+        if None in out:
+            gaps = [k for k, v in enumerate(out) if v is None]
+            new = list(dict.fromkeys([keys[k] for k in gaps]))
+            found = dict(zip(new, compute(new)))
+            for k in gaps:
+                out[k] = found[keys[k]]
+            self.map.update(found if max(map(len, new)) <= longest else {k: v for k, v in found.items() if len(k) <= longest})
+            self.forget()
+        return out
+
     def joined(self, lists: list[list], compute: Callable[[list], Iterable]) -> list[bytes]:
         """For each list, its keys' values (bytes) in a row; what is missing is computed once."""
         self.forget()
@@ -121,9 +138,9 @@ class Memo:
         return list(map(b"".join, found))
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Pieces of the batches with up to `most` characters or bytes in all (one row at least)."""
-    for b in slices(batches):
+    for b in slices(batches, rows):
         values, start, held = b.column(column).to_pylist(), 0, 0
         for k, v in enumerate(values):
             if held and held + len(v or "") > most:
