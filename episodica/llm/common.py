@@ -96,22 +96,6 @@ class Memo:
 
     def __init__(self, size: int):
         self.size, self.map = size, {}
-        self.of = self.map.__getitem__
-
-    def add(self, new: list, compute: Callable[[list], Iterable]) -> None:
-        """Compute new keys, all of them, however many there are; afterwards `of` knows them."""
-        if new:
-            self.map.update(zip(new, compute(new)))
-
-    def forget(self) -> None:
-        if len(self.map) > self.size:
-            for k in list(islice(self.map, len(self.map) - self.size * 3 // 4)):
-                del self.map[k]
-
-    def fill(self, keys: Iterable, compute: Callable[[list], Iterable]) -> None:
-        """Afterwards `of` knows all of keys."""
-        self.forget()
-        self.add(list(set(keys).difference(self.map)), compute)
 
     def values(self, keys: list, compute: Callable[[list], Iterable], longest: int = 256) -> list:
         """The value of each key (None can't be one); longer keys are computed, but not kept."""
@@ -123,20 +107,11 @@ class Memo:
             for k in gaps:
                 out[k] = found[keys[k]]
             self.map.update(found if max(map(len, new)) <= longest else {k: v for k, v in found.items() if len(k) <= longest})
-            self.forget()
+            if len(self.map) > self.size:
+                for k in list(islice(self.map, len(self.map) - self.size * 3 // 4)):
+                    del self.map[k]
         return out
 
-    def joined(self, lists: list[list], compute: Callable[[list], Iterable]) -> list[bytes]:
-        """For each list, its keys' values (bytes) in a row; what is missing is computed once."""
-        self.forget()
-        get = self.map.get
-        found = [list(map(get, keys)) for keys in lists]
-        gaps = [k for k, values in enumerate(found) if None in values]
-        self.add(list({key for k in gaps for key, v in zip(lists[k], found[k]) if v is None}), compute)
-        for k in gaps:
-            found[k] = [self.of(key) if v is None else v for key, v in zip(lists[k], found[k])]
-        return list(map(b"".join, found))
-
 
 def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Pieces of the batches with up to `most` characters or bytes in all (one row at least)."""

@@ -19,22 +19,24 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks
 from .common import Memo, batch_of, col, files_of, runs, shared_dir, table, text_or_empty
+from .pattern import Splitter, joined
 
 MAGIC, EVERY, BLOCK = b"EFTOK001", 256, 512
-#: Entries of a worker's memos of chunks and of their parts.
-CHUNKS, PARTS = 1_100_000, 600_000
+#: Entries of a worker's memo of words; texts that are encoded at a time, at most.
+WORDS, ROWS = 700_000, 2048
+#: Characters that \\s matches in some libraries only; words with no white space but a blank at their start.
+_UNCLEAR = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_PLAIN = re.compile(r" ?\S+\Z")
 
 
 def ef_build(values: np.ndarray) -> bytes:
@@ -86,7 +88,10 @@ class EliasFano:
 
 
 class Encoder:
-    """The tokenizer of one Python worker; repeated chunks are looked up."""
+    """The tokenizer of one Python worker; repeated words are looked up.
+
+    Texts are cut only where this kind of tokenizer surely cuts them too.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,48 +99,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.chunks, self.parts = Memo(CHUNKS), Memo(PARTS)
+        self.split, self.words = Splitter(sure=True).words, Memo(WORDS)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(self.tokenizer.to_str())
+        before = form.get("pre_tokenizer") or {}
+        self.plain = form.get("normalizer") is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.blank = np.zeros(max(vocab.values()) + 1, bool)
         self.blank[[i for piece, i in vocab.items() if piece[0] == "\u0120"]] = True  # how these vocabularies write a blank
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        pre = json.loads(self.tokenizer.to_str())
-        # Only for this kind of tokenizer a cut at a blank is known to change nothing.
-        self.plain = pre.get("normalizer") is None and (pre.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not pre["pre_tokenizer"]["add_prefix_space"]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, new: list[str]) -> list[bytes]:
-        """Ids of parts of chunks. Those with one blank, at their start, are encoded as one text:
-        its tokens that start with a blank start the parts."""
-        joined = [c for c in new if c[0] == " " and c.count(" ") == 1 and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
-        found = {}
-        for at in range(0, len(joined), 20_000):
-            part = joined[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+    def _row(self, words: list[str], text: str, starts) -> list[bytes]:
+        """Ids of words that make up one text; starts(ids) tells where those of each start."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        first, past = starts(ids)
+        if len(first) != len(words):
+            return self._each(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((first * self.width).tolist(), (past * self.width).tolist())]
+
+    def _words(self, new: list[str]) -> list[bytes]:
+        """Ids of words. Those without white space but a blank at their start are encoded as one text:
+        its tokens that start with a blank start the words. Others without any are the lines of another text."""
+        plain = list(map(_PLAIN.match, new))
+        led = [w for w, m in zip(new, plain) if m and w[0] == " "]
+        lines = [w for w, m in zip(new, plain) if m and w[0] != " "] if len(self.feed) == 1 else []
+
+        def blanks(ids):
             first = np.flatnonzero(self.blank[ids])
-            if len(first) == len(part):
-                raw, ends = ids.tobytes(), (np.append(first, len(ids)) * self.width).tolist()
-                found.update((c, raw[a:b]) for c, a, b in zip(part, ends, ends[1:]))
-        others = [c for c in new if c not in found]
-        found.update(zip(others, self._each(others)))
-        return [found[c] for c in new]
+            return first, np.append(first[1:], len(ids))
+
+        def feeds(ids):
+            at = np.flatnonzero(ids == self.feed[0])
+            return np.append(0, at[:-1] + 1), at
 
-    def _fresh(self, new: list[str]) -> list[bytes]:
-        """Ids of chunks: of their letters and of what follows these."""
-        split = list(map(chunks.stem, new))
-        self.parts.fill(chain((a for a, _ in split), (b for _, b in split if b)), self._parts)
-        of = self.parts.of
-        return [of(a) + of(b) if b else of(a) for a, b in split]
+        found = {}
+        for words, end, starts in ((led, "", blanks), (lines, "\n", feeds)):
+            for at in range(0, len(words), 5_000):
+                part = words[at : at + 5_000]
+                found.update(zip(part, self._row(part, end.join(part) + end, starts)))
+        others = [w for w in new if w not in found]
+        found.update(zip(others, self._each(others)))
+        return list(map(found.__getitem__, new))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return self._each(texts)
-        # A special token in a text has letters of its own, so such a text isn't cut.
-        special = {k for k, t in enumerate(texts) for x in self.special if x in t}
-        out = self.chunks.joined([[] if k in special or not t else chunks.cut(t) for k, t in enumerate(texts)], self._fresh)
-        for k in special:
+        whole = {k for k, t in enumerate(texts) if _UNCLEAR.search(t) or any(x in t for x in self.special)}
+        words, codes, ends = self.split(["" if k in whole else t for k, t in enumerate(texts)] if whole else texts)
+        out = joined(self.words.values(words, self._words), codes, ends)
+        for k in whole:
             (out[k],) = self._each([texts[k]])
         return out
 
@@ -167,7 +183,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None,
         end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
         store, base = files_of(folder)
         path, out, lengths, keys, nulls = f"{base}/part-{part:06d}-{uuid.uuid4().hex[:12]}.tok", None, [], [], 0
-        for b, texts in runs(batches, 1):
+        for b, texts in runs(batches, 1, rows=ROWS):
             if not texts:
                 continue
             if out is None:
