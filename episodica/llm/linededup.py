@@ -5,13 +5,16 @@ it. Lines are known by a 64-bit hash. A HyperLogLog sketch of the sites per
 line hash is built in partial aggregates and merged; where its estimate is
 within BAND standard errors (or two) of the threshold, the distinct sites are
 counted exactly. Lines with fewer occurrences than the threshold can't reach
-it and are left out before that.
+it and are left out before that. The rows of one line are dealt to SALTS parts
+by their place, so that no task gets all rows of a frequent one.
 
 Of a line that reaches the threshold the first occurrence stays (smallest
 document id, then position), wherever else it stands it goes. Lines are the
 parts between line feeds, compared as they are; lines of white space only
 never go. Null texts stay null and have no lines; documents with a null id
 come after all others; rows that repeat an id and a text are treated alike.
+An empty table gives an empty table. A very long text is one row of line hashes
+before they are dealt out.
 Further columns are kept; those named n_lines and n_removed are replaced.
 """
 
@@ -20,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, table, written
 
 #: Sites that make a line boilerplate; log2 of the sketch's registers; standard errors.
 MIN_SITES, LG_K, BAND = 10, 12, 4
+#: Parts that the rows of one line are dealt to.
+SALTS = 16
 
 
 def _hashes(text: Column) -> Column:
@@ -36,15 +41,28 @@ def lines(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     return own.select("k", F.xxhash64("text").alias("t"), "site", F.posexplode(_hashes(F.col("text"))).alias("pos", "h")).filter("h is not null")
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    """A row for each salt."""
+    return df.select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+
+
+def frequent(found: DataFrame, least: int) -> DataFrame:
+    """The rows of found whose line occurs `least` times or more, with a salt that spreads each line's rows."""
+    often = found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("h")
+    return found.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS)).cast("int")).join(_salted(often), ["h", "salt"])
+
+
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(h, first) of the lines that reach min_sites; first is their first (id is null, id, position)."""
-    often = found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h")
-    frequent = found.join(often, "h")
-    sketches = frequent.groupBy("h").agg(F.hll_sketch_agg(F.col("site").cast("string"), lg_k).alias("sketch"), F.min(F.struct(F.col("k").isNull().alias("none"), "k", "pos")).alias("first"))
-    spread = sketches.select("h", "first", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("n"))
+    own = found.groupBy("h", "salt", "site").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "pos")).alias("first"))
+    parts = own.groupBy("h", "salt").agg(F.hll_sketch_agg(F.col("site").cast("string"), lg_k).alias("sketch"), F.min("first").alias("first"))
+    spread = parts.groupBy("h").agg(F.hll_union_agg("sketch").alias("sketch"), F.min("first").alias("first"))
+    spread = spread.select("h", "first", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("n"))
     band = max(2, round(BAND * 1.04 / 2 ** (lg_k / 2) * min_sites + 0.5))
     near = spread.filter(F.abs(F.col("n") - min_sites) <= band)
-    exact = found.join(near.select("h"), "h").filter("site is not null").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("sites"))
+    # Lines near the threshold have few sites, so few rows a line are left.
+    sites = own.select("h", "site").filter("site is not null").distinct()
+    exact = sites.join(near.select("h"), "h").groupBy("h").agg(F.count("*").alias("sites"))
     sure = spread.filter(F.col("n") > min_sites + band).select("h", "first")
     return sure.union(near.join(exact.filter(F.col("sites") >= min_sites), "h").select("h", "first"))
 
@@ -52,9 +70,9 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs without its boilerplate lines, and n_lines and n_removed."""
     kept = docs.select([col(docs, c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
-    found = lines(kept, key, text, site)
-    gone = found.join(boilerplate(found, min_sites), "h").filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))
-    gone = gone.select("k", "t", "pos").distinct().groupBy("k", "t").agg(F.collect_list("pos").alias("gone_")).withColumnsRenamed({"k": "k_", "t": "t_"})
+    found = written(frequent(lines(kept, key, text, site), min_sites))
+    gone = found.join(_salted(boilerplate(found, min_sites)), ["h", "salt"]).filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))
+    gone = gone.groupBy("k", "t").agg(F.collect_set("pos").alias("gone_")).withColumnsRenamed({"k": "k_", "t": "t_"})
     own = col(kept, text)
     joined = kept.join(gone, col(kept, key).eqNullSafe(gone["k_"]) & (F.xxhash64(own) == gone["t_"]), "left")
     parts = F.split(own, "\n", -1)
