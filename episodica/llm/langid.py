@@ -2,14 +2,17 @@
 
 Features are TF-IDF weights of hashed character n-grams, with the ends of
 words marked. Document frequencies are counted over all documents that may be
-learned from. The weights are fitted on at most about PER_LABEL documents a
-label (chosen by a hash of the id) with follow-the-regularised-leader updates
-and elastic-net penalties, and a temperature is then calibrated on a part of
-the sample that the fit did not see.
+learned from. The weights are fitted on at most PER_LABEL different documents
+a label (the least by a hash of id and text) with follow-the-regularised-leader
+updates and elastic-net penalties, and a temperature is then calibrated on a
+part of the sample that the fit did not see.
 
 A text that is null or has no letter gets label `und` and score 0, and so does
 every text where there is nothing to learn from. Ties go to the smaller label.
-Only the text decides a prediction; other columns are kept as they are.
+Only the text decides a prediction; other columns are kept as they are, but
+for those named as the results. Rows that repeat an id and a text count once in
+the fit; an empty table gives an empty table. Long texts are taken in pieces of
+PIECE characters. More than MOST_LABELS labels are an error.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import added, arrow_schema, batch_of, col, runs, spark_schema, table
 
-#: Sampling bound for the fit, per label; n-grams have 1 to LENGTH characters; hash buckets of n-grams.
-PER_LABEL, LENGTH, BUCKETS = 800, 3, 1 << 16
+#: Sampling bound for the fit, per label; n-grams have 1 to LENGTH characters; hash buckets of n-grams; labels.
+PER_LABEL, LENGTH, BUCKETS, MOST_LABELS = 800, 3, 1 << 16, 1000
 #: Characters that are looked at together, and a 32-bit odd multiplier.
 PIECE, _MULTIPLIER = 1 << 18, np.uint32(0x9E3779B1)
 
@@ -93,13 +96,23 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
 
 
 def sample(docs: DataFrame, per_label: int, key: str, text: str, label: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of about per_label documents a label, twice that at most."""
+    """(label, buckets, counts) of the per_label documents of each label that are least by a hash of id and text.
+
+    Documents of equal id and text count once, so that no label is lost or
+    outweighed by one that is repeated.
+    """
     chosen = docs.select(col(docs, label).alias("label"), col(docs, text).alias("text"), F.xxhash64(col(docs, key), col(docs, text)).alias("h"))
-    counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, per_label / n))) for k, n in counts.items())) if counts else None
-    if share is None:
+    counts = {r.label: r.n for r in chosen.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not counts:
         return []
-    picked = chosen.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30)).select("label", "text", "h")
+    # A first cut by the hash, with room for the error of the counts, leaves few rows to rank.
+    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, 1.5 * per_label / max(n, 1)) if n > per_label // 2 else 1.0)) for k, n in counts.items()))
+    near = chosen.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
+    once = near.groupBy("label", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    picked = once.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_label).select("label", "text", "h")
     schema = pa.schema([("label", pa.string()), ("h", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
@@ -113,7 +126,8 @@ def sample(docs: DataFrame, per_label: int, key: str, text: str, label: str) ->
                 found.append((at.astype("<i4").tobytes(), counts[at].astype("<i4").tobytes()))
             yield batch_of(schema, b.column(0), b.column(2), [x for x, _ in found], [x for _, x in found])
 
-    rows = picked.mapInArrow(run, "label string, h bigint, buckets binary, counts binary").limit(2 * per_label * len(counts)).collect()
+    # per_label rows a label at most.
+    rows = picked.mapInArrow(run, "label string, h bigint, buckets binary, counts binary").collect()
     rows.sort(key=lambda r: (r.h, r.label, r.buckets))
     return [(r.label, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4")) for r in rows if r.buckets]
 
