@@ -11,7 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm import bpe, decontaminate, langid, linededup, simhash
-from episodica.llm.common import table, written
+from episodica.llm.common import free_name, table, written
+
+
+def _apart(docs: DataFrame, *results: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of these names renamed, and how to name them again."""
+    taken, back = docs, {}
+    for c in docs.columns:
+        if c.lower() in {r.lower() for r in results}:
+            new = free_name(taken, f"{c}_own")
+            taken, back = taken.withColumnRenamed(c, new), back | {new: c}
+    return taken, back
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +29,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs, model, pred="pred_", score="score_").filter(F.col("pred_") != "und").drop("pred_", "score_")
+    pred, score = free_name(docs, "pred_"), free_name(docs, "score_")
+    return langid.predict(docs, model, pred=pred, score=score).filter(F.col(pred) != "und").drop(pred, score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand on many sites; n_chars follows the text."""
-    found = linededup.dedup(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    own, back = _apart(docs, "n_lines", "n_removed")
+    found = linededup.dedup(own).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(own.columns).withColumnsRenamed(back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +45,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null ids come last. Rows that are equal in every column count once.
     """
-    # Ids may repeat, so a row is known by its id and what it holds.
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("h"))
-    found = simhash.near_duplicates(docs.select(key.alias("key_"), "text"), "key_").select(F.col("component_id").alias("kept_")).distinct()
-    same = docs["doc_id"].eqNullSafe(found["kept_.doc_id"]) & (F.xxhash64(*[docs[c] for c in docs.columns]) == found["kept_.h"])
-    return docs.join(found, same, "left_semi").dropDuplicates()
+    # Ids may repeat, so a row is known by a 128-bit hash of all that it holds.
+    a, b = free_name(docs, "row_a"), free_name(docs, "row_b")
+    held = [x for c in docs.columns for x in (docs[f"`{c}`"].isNull(), docs[f"`{c}`"])]
+    rows = docs.withColumns({a: F.xxhash64(*held), b: F.xxhash64(F.lit(1), *held)})
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(a).alias("a"), F.col(b).alias("b"))
+    found = simhash.near_duplicates(rows.select(key.alias("key_"), "text"), "key_").select(F.col("component_id").alias("kept_")).distinct()
+    same = (rows[a] == found["kept_.a"]) & (rows[b] == found["kept_.b"])
+    return rows.join(found, same, "left_semi").dropDuplicates([a, b]).drop(a, b)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    own, back = _apart(docs, *decontaminate.RESULTS)
+    found = decontaminate.contamination(own, table(spark, sf_dir, "benchmark"))
+    return found.filter(~F.col("contaminated")).select(own.columns).withColumnsRenamed(back)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

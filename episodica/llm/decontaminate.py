@@ -122,6 +122,8 @@ def _result(masks, found, items: Items | None):
 
 
 _MORE = (("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("spans", "array<struct<start:bigint,end:bigint>>"))
+#: Columns that contamination() adds or replaces.
+RESULTS = ("n_words", "n_hit", "items", "spans", "n_items", "contaminated")
 _ARROW = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
 
 
