@@ -29,15 +29,22 @@ def shard(key: Column, n: int, of: int) -> Column:
 
 
 def sample_negatives(df: DataFrame, positive: Column, ratio: int, key: list[str], seed: str = "0") -> DataFrame:
-    """All positives and at most `ratio` times as many negatives, the least by a hash of seed and key.
+    """All positives and at most `ratio` times as many negatives, the least by an MD5 of seed and key (then by key).
 
-    The count is found first; the order is by MD5, the same on every run.
+    A null predicate is negative. The last digest prefix that is let in is found
+    from counts by prefix, and only rows of that one are ranked; none is collected.
     """
-    n = df.filter(positive).agg(F.count("*").alias("n_"))
+    marked = df.withColumn("pos_", F.coalesce(positive, F.lit(False)))
     hashed = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]))
-    rest = df.filter(~positive)
-    most = n.first().n_ * ratio
-    return df.filter(positive).unionByName(rest.orderBy(hashed, *key).limit(most))
+    marked = marked.withColumn("h_", hashed).withColumn("b_", F.substring("h_", 1, 4))
+    # One row a prefix, 65,536 at most.
+    counts = marked.groupBy("b_").agg(F.count_if(~F.col("pos_")).alias("n_"), F.count_if("pos_").alias("p_"))
+    total = Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    room = counts.select("b_", (F.sum("p_").over(Window.partitionBy()) * ratio - F.coalesce(F.sum("n_").over(total), F.lit(0))).alias("room_"), "n_")
+    placed = marked.filter("not pos_").join(F.broadcast(room), "b_").filter("room_ > 0")
+    whole, last = placed.filter("n_ <= room_"), placed.filter("n_ > room_")
+    ranked = last.withColumn("nth_", F.row_number().over(Window.partitionBy("b_").orderBy("h_", *key))).filter("nth_ <= room_")
+    return marked.filter("pos_").select(*df.columns).unionByName(whole.select(*df.columns)).unionByName(ranked.select(*df.columns))
 
 
 def repeat(df: DataFrame, times: Column, name: str = "copy") -> DataFrame:

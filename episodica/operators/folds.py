@@ -68,3 +68,35 @@ def distinct_route(points: Column, radius: float) -> Column:
 def upper_median(values: Column) -> Column:
     """The element at the middle of the sorted values, the upper one of two; null if there are none."""
     return F.when(F.size(values) > 0, F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")))
+
+
+def drops(segments: Column, pads: Column, same: float = 14, reach: float = 20) -> Column:
+    """Where a thing was put down: rest segments after the first, repeats at one place merged, with the nearest pad in reach.
+
+    segments: array<struct<start, r, c>>; pads: array<struct<r, c>>; distances are L1.
+    """
+    l1 = lambda a, b: F.abs(a["r"] - b["r"]) + F.abs(a["c"] - b["c"])
+    rest = F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1)))
+    kept = F.aggregate(rest, F.slice(segments, 1, 0), lambda out, s: F.when((F.size(out) > 0) & (l1(F.element_at(out, -1), s) <= same), out).otherwise(F.array_append(out, s)))
+    nearest = lambda s: F.array_min(F.transform(pads, lambda p, i: F.struct(l1(p, s).alias("d"), i.alias("i"), p["r"].alias("r"), p["c"].alias("c"))))
+    pad = lambda s: F.when(nearest(s)["d"] <= reach, F.struct(nearest(s)["r"].alias("r"), nearest(s)["c"].alias("c")))
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["r"].alias("r"), s["c"].alias("c"), pad(s).alias("pad")))
+
+
+def kth_pad(found: Column, k: Column) -> Column:
+    """The pad of the k-th drop (from 0) that has one; null if there are fewer."""
+    return F.get(F.filter(found, lambda d: d["pad"].isNotNull()), k)["pad"]
+
+
+def class_clusters(rows: Column, side: float = 18) -> Column:
+    """Clusters of array<struct<name, r, c>>: a place joins the first one of its name whose anchor is less than `side` away in both coordinates."""
+    state = "array<struct<name:string,r:double,c:double,n:int>>"
+    fits = lambda k, p: (k["name"] == p["name"]) & (F.abs(k["r"] - p["r"]) < side) & (F.abs(k["c"] - p["c"]) < side)
+
+    def step(acc, p):
+        at = F.array_position(F.transform(acc, lambda k: fits(k, p)), True)
+        grown = F.transform(acc, lambda k, i: F.struct(k["name"].alias("name"), k["r"].alias("r"), k["c"].alias("c"), (k["n"] + F.when(i + 1 == at, 1).otherwise(0)).cast("int").alias("n")))
+        new = F.struct(p["name"].alias("name"), p["r"].cast("double").alias("r"), p["c"].cast("double").alias("c"), F.lit(1).alias("n"))
+        return F.when(at > 0, grown).otherwise(F.array_append(acc, new))
+
+    return F.aggregate(rows, F.array().cast(state), step)

@@ -12,11 +12,12 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.functions import text as T
 
+
 def _sided(rows: pd.DataFrame, *columns: str) -> pd.DataFrame:
     """A cogroup's side; one without rows comes without columns."""
     return rows.reindex(columns=columns) if rows.empty else rows
@@ -219,15 +220,12 @@ def chained_events(df: DataFrame, key: str, step: str, value: str, phases: list[
     A phase that is never reached ends the chain.
     """
 
-    def run(k, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, at, out = rows.sort_values(step), -1, []
-        steps, values = rows[step].tolist(), rows[value].tolist()
-        for n, (kind, bound) in enumerate(phases):
-            at = next((i for i in range(at + 1, len(values)) if (values[i] > bound if kind == "above" else values[i] < bound)), None)
-            if at is None:
-                break
-            out.append((k[0], n, int(steps[at])))
-        return pd.DataFrame(out, columns=[key, "phase", "t"])
-
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, phase bigint, t bigint")
+    w, found = Window.partitionBy(key), []
+    for n, (kind, bound) in enumerate(phases):
+        meets = F.col(value) > bound if kind == "above" else F.col(value) < bound
+        if n:
+            meets = meets & (F.col(step) > F.col(f"at_{n - 1}"))
+        df = df.withColumn(f"at_{n}", F.min(F.when(meets, F.col(step))).over(w))
+        found.append(F.struct(F.lit(n).cast("bigint").alias("phase"), F.first(f"at_{n}").cast("bigint").alias("t")))
+    reached = df.groupBy(key).agg(F.array(*found).alias("f_"))
+    return reached.select(key, F.explode("f_").alias("f_")).select(key, "f_.*").filter("t is not null")

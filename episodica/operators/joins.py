@@ -9,9 +9,6 @@ from episodica.functions import text as T
 
 from . import ordered
 
-_COVER = r"(\w+)_cube_container<\s*(\d+)\s*,\s*(\d+)\s*>"
-_MOVE = r"the (\w+) cube container moved from <\s*\d+\s*,\s*\d+\s*> to <\s*(\d+)\s*,\s*(\d+)\s*>"
-
 
 def segment_of(rows: DataFrame, segments: DataFrame, key: str, at: str, start: str, end: str, values: list[str]) -> DataFrame:
     """rows with the values of the segment [start, end) that holds them; null outside of all."""
@@ -35,14 +32,15 @@ def either_contains(left: DataFrame, right: DataFrame, key: str, name: str, othe
 
 def latest_places(lines: DataFrame, key: str, order: list[str], line: str) -> DataFrame:
     """(key, color, r, c): where each container was last put, folded from cover and move lines."""
-    low = F.lower(F.col(line))
-    cover = low.contains("were placed over the cubes")
-    part = lambda p, i: F.regexp_extract_all(F.col(line), F.lit(p), F.lit(i))
-    covers = F.arrays_zip(part(_COVER, 1).alias("color"), part(_COVER, 2).alias("r"), part(_COVER, 3).alias("c"))
-    move = lambda i: F.regexp_extract(low, _MOVE, i)
-    moves = F.when(move(1) != "", F.array(F.struct(move(1).alias("color"), move(2).alias("r"), move(3).alias("c")))).otherwise(F.array())
-    at = lines.select(key, *order, F.posexplode(F.when(cover, covers).otherwise(moves)).alias("n_", "x"))
-    last = F.max_by(F.struct(F.col("x.r").cast("int").alias("r"), F.col("x.c").cast("int").alias("c")), F.struct(*order, "n_"))
+    low, ending = F.lower(F.col(line)), "_cube_container"
+    place = lambda color, p: F.struct(color.alias("color"), p["r"].alias("r"), p["c"].alias("c"))
+    named = F.filter(T.detections(F.col(line)), lambda d: d["name"].endswith(ending))
+    covers = F.transform(named, lambda d: place(F.substring(d["name"], F.lit(1), F.length(d["name"]) - len(ending)), d))
+    # A move names a color and two places; the second one is where it ends.
+    color, to = F.regexp_extract(low, r"the (\w+) cube container moved from ", 1), F.get(T.coords(low), 1)
+    moves = F.when((color != "") & to.isNotNull(), F.array(place(color, to))).otherwise(F.slice(covers, 1, 0))
+    at = lines.select(key, *order, F.posexplode(F.when(low.contains("were placed over the cubes"), covers).otherwise(moves)).alias("n_", "x"))
+    last = F.max_by(F.struct(F.col("x.r").alias("r"), F.col("x.c").alias("c")), F.struct(*order, "n_"))
     return at.groupBy(key, F.col("x.color").alias("color")).agg(last.alias("p")).select(key, "color", "p.r", "p.c")
 
 
@@ -73,3 +71,25 @@ def best_scores(scores: DataFrame, phrase: list[str], frame: str, score: str, hi
     """Per phrase: its mean best score per frame and the share of frames that reach `hit`."""
     best = scores.groupBy(*phrase, frame).agg(F.max(score).alias("best_"))
     return best.groupBy(*phrase).agg(F.avg("best_").alias("mean_best"), F.avg((F.col("best_") >= hit).cast("double")).alias("hit_rate"), F.count("*").alias("frames"))
+
+
+def step_medians(steps: DataFrame, plan: DataFrame, key: str, text: str) -> DataFrame:
+    """steps and (r, c) of their plan's first step of the same text that isn't a pick; plan has key, text, nth, kind, r, c."""
+    form = F.trim(F.lower(F.col(text)))
+    first = plan.filter("kind <> 'pick'").groupBy(F.col(key).alias("k_"), form.alias("t_")).agg(F.min_by(F.struct("r", "c"), "nth").alias("m_"))
+    return steps.join(first, (F.col(key) == F.col("k_")) & (form == F.col("t_")), "left").select(*steps.columns, F.col("m_.r").alias("r"), F.col("m_.c").alias("c"))
+
+
+def all_near(targets: Column, *found: Column, radius: float) -> Column:
+    """Is every target within the radius of a point of one of the arrays? True without targets."""
+    return F.forall(targets, lambda t: F.exists(F.concat(*[F.coalesce(f, F.slice(targets, 1, 0)) for f in found]), lambda p: (p["r"] - t["r"]) * (p["r"] - t["r"]) + (p["c"] - t["c"]) * (p["c"] - t["c"]) <= radius * radius))
+
+
+def phrase_frames(frames: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Every frame with every phrase, as rows of the frames' own partitions: the phrases, a bounded list, are an array.
+
+    The phrases are checked to be 10,000 at most, since each task holds them.
+    """
+    held = phrases.agg(F.collect_list(F.struct(*phrases.columns)).alias("p_"))
+    held = held.select(F.when(F.size("p_") > 10_000, F.raise_error(F.lit("more than 10,000 phrases")).cast(held.schema["p_"].dataType)).otherwise(F.col("p_")).alias("p_"))
+    return frames.join(F.broadcast(held), F.lit(True), "left").select(*frames.columns, F.explode("p_").alias("p_")).select(*frames.columns, "p_.*")

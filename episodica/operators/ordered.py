@@ -158,3 +158,80 @@ def visible(queries: DataFrame, items: DataFrame, key: str, at: str, start: str,
     joined = q.join(i, (F.col(f"q.{key}") == F.col(f"i.{key}")) & seen).select("q.*", *[F.col(f"i.{c}") for c in items.columns if c != key])
     w = Window.partitionBy(key, at).orderBy(F.desc(start), F.desc(tiebreak))
     return joined.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= budget)
+
+
+def offset_grid(episodes: DataFrame, key: str, length: str, offsets: list[int], width: int = 16) -> DataFrame:
+    """(key, offset, last, end): a grid of ticks for each offset; the last step ends the last tick.
+
+    Grid 0 starts a tick's width after step 0; a later one has its first tick end at its offset.
+    """
+    t = F.col(length)
+    up = lambda a: F.when(a <= t - 1, F.sequence(a, (t - 1).cast("bigint"), F.lit(width).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    ends = lambda o: F.array_union(up(F.lit(o if o else width).cast("bigint")), F.array((t - 1).cast("bigint")))
+    grids = F.array(*[F.struct(F.lit(o).cast("bigint").alias("offset"), F.array_sort(ends(o)).alias("ends")) for o in offsets])
+    ticks = episodes.filter(t > 0).select(key, F.explode(grids).alias("g_")).select(key, "g_.offset", F.posexplode("g_.ends").alias("n_", "end"), F.col("g_.ends").alias("e_"))
+    return ticks.select(key, "offset", F.when(F.col("n_") > 0, F.get("e_", F.col("n_") - 1)).otherwise(F.lit(0)).alias("last"), "end")
+
+
+def window_before(ticks: DataFrame, rows: DataFrame, key: str, last: str, at: str, values: list[str], width: int = 16) -> DataFrame:
+    """ticks and, as array before, the rows (at, values) of the width steps before each one's start.
+
+    A row is copied to the one or two buckets of `width` steps that a window can overlap, so that the join is on
+    equal keys; last is unique within a key.
+    """
+    held = F.struct(at, *values)
+    a = ticks.select(key, last, F.explode(F.array_distinct(F.array(F.floor((F.col(last) - width) / width), F.floor((F.col(last) - 1) / width)))).alias("b_"))
+    b = rows.select(F.col(key).alias("k_"), F.floor(F.col(at) / width).alias("c_"), F.col(at).alias("t_"), held.alias("x_"))
+    near = a.join(b, (F.col(key) == F.col("k_")) & (F.col("b_") == F.col("c_")) & (F.col("t_") >= F.col(last) - width) & (F.col("t_") < F.col(last)))
+    found = near.groupBy(key, last).agg(F.array_sort(F.collect_list("x_")).alias("before"))
+    return ticks.join(found, [key, last], "left").withColumn("before", F.coalesce("before", F.slice(F.array(F.lit(None).cast(rows.select(held.alias("x")).schema["x"].dataType)), 1, 0)))
+
+
+def held_press(df: DataFrame, key: str, order: list[str], step: str, text: Column, done: Column, most: int = 31) -> DataFrame:
+    """df with held: the text of the run before, where that was a press whose completion isn't known yet.
+
+    It holds for `most` steps of the new run. done: whether the completion of
+    the run before is known at the row.
+    """
+    w = _w(key, order)
+    marked = runs(df.withColumn("text_", text), key, order, "text_", "run_")
+    firsts = marked.withColumn("since_", F.min(step).over(Window.partitionBy(*key, "run_")))
+    # The row before the run's first one has the text of the run before.
+    started = firsts.withColumn("was_", F.when(F.col(step) == F.col("since_"), F.lag("text_").over(w)))
+    before = started.withColumn("was_", F.first("was_", True).over(Window.partitionBy(*key, "run_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    holds = F.contains(F.lower("was_"), F.lit("press the")) & (F.col(step) - F.col("since_") <= most) & ~done
+    return before.withColumn("held", F.when(F.coalesce(holds, F.lit(False)), F.col("was_"))).drop("text_", "run_", "since_", "was_")
+
+
+def future_steps(step: Column, last: Column, offsets: list[int]) -> Column:
+    """array<struct<at, valid>>: steps at the offsets, clamped to the last one; valid while they still grow."""
+    at = [F.least(step + o, last) for o in offsets]
+    before = [step, *at[:-1]]
+    return F.array(*[F.struct(a.cast("bigint").alias("at"), (a > b).alias("valid")) for a, b in zip(at, before)])
+
+
+def segment_steps(df: DataFrame, key: list[str], order: list[str], length: str, values: list[str]) -> DataFrame:
+    """A row for each step of consecutive segments: its step in the key, its step in the segment, the segment's start."""
+    placed = running_offset(df, order, length, key, "start").filter(F.col(length) > 0)
+    return placed.select(*key, *order, *values, F.col("start").cast("bigint").alias("start"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(length) - 1).cast("bigint"))).alias("within")).withColumn("step", F.col("start") + F.col("within"))
+
+
+def chain_gaps(df: DataFrame, key: list[str], order: list[str], first: list[str], last: list[str], most: float) -> DataFrame:
+    """df with gap, the distance of a piece's first place from the last one of the piece before, and broken, if that is over `most`."""
+    w = _w(key, order)
+    total = sum((F.col(a) - F.lag(b).over(w)) * (F.col(a) - F.lag(b).over(w)) for a, b in zip(first, last))
+    gap = F.sqrt(total)
+    return df.withColumn("gap", gap).withColumn("broken", F.coalesce(F.col("gap") > most, F.lit(False)))
+
+
+def numbered(df: DataFrame, key: list[str], order: list[str], accepted: Column, name: str = "nth") -> DataFrame:
+    """Accepted rows counted from 1 within their key; others null."""
+    w = _w(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(name, F.when(accepted, F.count_if(accepted).over(w)))
+
+
+def occurrences(df: DataFrame, key: list[str], order: list[str], opens: Column, closes: Column, name: str = "session") -> DataFrame:
+    """Rows within sessions, numbered from 1: a marker opens one, another closes it; rows outside of all go."""
+    opened = sessions(df, key, order, opens, name).filter(F.col(name) > 0)
+    v = _w([*key, name], order).rowsBetween(Window.unboundedPreceding, -1)
+    return opened.withColumn("shut_", F.coalesce(F.count_if(closes).over(v), F.lit(0))).filter("shut_ = 0").drop("shut_")

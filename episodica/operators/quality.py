@@ -58,9 +58,65 @@ def mismatch_runs(df: DataFrame, key: str, step: str, mismatch: Column) -> DataF
     return runs.groupBy(key).agg(F.max_by(F.struct("length", "start", "end"), F.struct("length", -F.col("start"))).alias("r")).select(key, "r.*")
 
 
-def failure_class(content: Column, bad: Column, behind: Column, ahead: Column) -> Column:
-    """The class of a failed episode, by rules in order."""
-    return F.when((content >= 0.8) & (bad <= 0.3), "policy").when(bad > 0.5, "wrong coordinate").when(behind >= 8, "STALL").when(ahead >= 3, "PREMATURE").otherwise("content wrong")
+def last_run(df: DataFrame, key: str, order: list[str], opens: Column) -> DataFrame:
+    """Rows after the last opening marker of each key; keys without a marker have none."""
+    w = Window.partitionBy(key).orderBy(*order)
+    marked = df.withColumn("open_", F.coalesce(opens, F.lit(False))).withColumn("run_", F.count_if("open_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = marked.withColumn("most_", F.max("run_").over(Window.partitionBy(key)))
+    return last.filter((F.col("run_") == F.col("most_")) & (F.col("run_") > 0) & ~F.col("open_")).drop("open_", "run_", "most_")
+
+
+def positions(df: DataFrame, key: str, step: str, oracle: str, said: str) -> DataFrame:
+    """df with content (texts agree but for coordinates), behind, ahead and gap.
+
+    behind: another text than the oracle's, but one that it had earlier;
+    ahead: not that, but one that it has later. gap: the L1 distance of the
+    first coordinates where texts agree. One aggregation per text finds both
+    ends of its stay, so no tick is paired with others.
+    """
+    form = lambda c: F.lower(T.without_at(F.col(c)))
+    base = df.withColumn("o_", form(oracle)).withColumn("p_", form(said))
+    span = base.groupBy(F.col(key).alias("k_"), F.col("o_").alias("t_")).agg(F.min(step).alias("from_"), F.max(step).alias("to_"))
+    at = base.join(span, (F.col(key) == F.col("k_")) & (F.col("p_") == F.col("t_")), "left")
+    differs = F.col("o_") != F.col("p_")
+    behind = F.coalesce(differs & (F.col("from_") < F.col(step)), F.lit(False))
+    ahead = F.coalesce(differs & ~behind & (F.col("to_") > F.col(step)), F.lit(False))
+    a, b = F.get(T.coords(F.col(oracle)), 0), F.get(T.coords(F.col(said)), 0)
+    gap = F.when(~differs, F.abs(a["r"] - b["r"]) + F.abs(a["c"] - b["c"]))
+    return at.select(*df.columns, (~differs).alias("content"), behind.alias("behind"), ahead.alias("ahead"), gap.alias("gap"))
+
+
+def failure_classes(outcomes: DataFrame, placed: DataFrame, key: str, step: str, ok: str, far: float = 14) -> DataFrame:
+    """(key, class) of every outcome that is known, by rules in order; placed has what positions() adds."""
+    runs = mismatch_runs(placed, key, step, F.col("behind")).select(key, F.col("length").alias("run_"))
+    share = F.avg(F.when(F.col("gap").isNotNull(), (F.col("gap") > far).cast("double")))
+    by = placed.groupBy(key).agg(F.avg(F.col("content").cast("double")).alias("content_"), F.coalesce(share, F.lit(0.0)).alias("bad_"), F.count_if("ahead").alias("ahead_"))
+    kind = (
+        F.when(F.col(ok), "success").when(F.col("content_").isNull(), "no-trace").when((F.col("content_") >= 0.8) & (F.col("bad_") <= 0.3), "policy")
+        .when(F.col("bad_") > 0.5, "wrong coordinate").when(F.coalesce("run_", F.lit(0)) >= 8, "STALL").when(F.col("ahead_") >= 3, "PREMATURE").otherwise("content wrong")
+    )
+    known = outcomes.filter(F.col(ok).isNotNull())
+    return known.join(by, key, "left").join(runs, key, "left").select(key, kind.alias("class"))
+
+
+def grounding(placed: DataFrame, by: list[str], far: float = 14) -> DataFrame:
+    """Per group: ticks, content matches, matches with both coordinates, their upper median gap and how many are far."""
+    gaps = F.array_sort(F.collect_list("gap"))
+    out = placed.groupBy(*by).agg(F.count("*").alias("ticks"), F.count_if("content").alias("content"), F.count("gap").alias("grounded"), gaps.alias("g_"), F.count_if(F.col("gap") > far).alias("far"))
+    return out.withColumn("median_gap", F.get("g_", F.floor(F.size("g_") / 2).cast("int"))).drop("g_")
+
+
+def stalls(placed: DataFrame, key: str, step: str, claim: str, admitted: str, least: int = 8) -> DataFrame:
+    """(key, length, mechanism) of keys whose longest run behind has `least` ticks.
+
+    SILENT: nothing was claimed in the run; HELD: something was that was not
+    admitted in it; else admitted, but still behind.
+    """
+    runs = mismatch_runs(placed, key, step, F.col("behind")).filter(F.col("length") >= least)
+    inside = placed.join(runs.withColumnRenamed(key, "k_"), (F.col(key) == F.col("k_")) & F.col(step).between(F.col("start"), F.col("end")))
+    by = inside.groupBy(key, "length").agg(F.collect_set(claim).alias("c_"), F.collect_set(admitted).alias("a_"))
+    kind = F.when(F.size("c_") == 0, "SILENT").when(F.size(F.array_except("c_", "a_")) > 0, "HELD").otherwise("admitted but behind")
+    return by.select(key, "length", kind.alias("mechanism"))
 
 
 def rates(df: DataFrame, outcome: Column, by: list[str]) -> DataFrame:
@@ -71,9 +127,15 @@ def rates(df: DataFrame, outcome: Column, by: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact linear percentiles, as numpy's: n, median, p10, p90, interquartile range."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.9).alias("p90"), (p(0.75) - p(0.25)).alias("iqr"))
+    """Exact linear percentiles, as numpy's: n, median, p10, p90, interquartile range.
+
+    Values are counted first, so that a group's map holds its distinct values.
+    """
+    counted = df.groupBy(*by, value).agg(F.count(value).alias("n_"))
+    at = F.percentile(value, F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]), F.col("n_"))
+    found = counted.groupBy(*by).agg(F.sum("n_").alias("n"), at.alias("p_"))
+    p = lambda i: F.get("p_", F.lit(i))
+    return found.select(*by, "n", p(2).alias("median"), p(0).alias("p10"), p(4).alias("p90"), (p(3) - p(1)).alias("iqr"))
 
 
 def paired(on: DataFrame, override: DataFrame, off: DataFrame, key: list[str], ok: str) -> DataFrame:
@@ -122,12 +184,51 @@ def completion_precision(truth: DataFrame, said: DataFrame, key: str, within: in
     return a.groupBy(key).agg(F.count("*").alias("said")).join(good, key, "left").select(key, "said", F.coalesce("right_", F.lit(0)).alias("right"))
 
 
-def stall_mechanism(behind: Column, claims: Column, refused: Column, least: int = 8) -> Column:
-    """Why an episode stalled; null where its longest run behind is short."""
-    return F.when(behind < least, None).when(claims == 0, "SILENT").when(refused > 0, "HELD").otherwise("admitted but behind")
-
-
 def size_estimate(df: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
     """Bytes of each column by its mean length, for the table's rows or a planned number of them."""
     n = F.count("*") if rows is None else F.lit(rows)
     return df.agg(*[F.ceil(F.coalesce(F.avg(F.octet_length(c)), F.lit(0)) * n).alias(c) for c in columns])
+
+
+def kind_rates(df: DataFrame, by: list[str], identity: Column, dynamics: Column, bar: float = 0.9) -> DataFrame:
+    """Per group: n, share of identity and of dynamics that hold, and LOW where one is below the bar."""
+    rate = lambda c: F.avg(c.cast("double"))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), rate(identity).alias("identity"), rate(dynamics).alias("dynamics"))
+    return out.withColumn("flag", F.when((F.col("identity") < bar) | (F.col("dynamics") < bar), "LOW").otherwise(""))
+
+
+def subset_delta(df: DataFrame, by: str, column: str, value: str, subset: Column, base: str, shade: float = 4.0) -> DataFrame:
+    """Per row label: mean over the columns of the subset, its difference from the base row's, and whether that is `shade` or more."""
+    means = df.filter(subset).groupBy(by).agg(F.avg(value).alias("mean"))
+    reference = means.filter(F.col(by) == base).select(F.col("mean").alias("base_"))  # one row
+    delta = F.col("mean") - F.col("base_")
+    return means.join(F.broadcast(reference), F.lit(True), "left").select(by, "mean", delta.alias("delta"), (F.abs(delta) >= shade).alias("shaded"))
+
+
+def family_means(df: DataFrame, family: str, member: str, values: list[str]) -> DataFrame:
+    """Means per family over its members' means, and a row `ALL`: the unweighted mean over all members."""
+    own = df.groupBy(family, member).agg(*[F.avg(v).alias(v) for v in values])
+    out = own.groupingSets([[F.col(family)], []], family).agg(F.count("*").alias("members"), *[F.avg(v).alias(v) for v in values], F.grouping(family).alias("all_"))
+    return out.withColumn(family, F.when(F.col("all_") == 1, "ALL").otherwise(F.col(family))).drop("all_")
+
+
+def place_report(df: DataFrame, by: list[str], r: str, c: str, fallback: Column, spread: Column, edge: tuple[int, int] = (2, 253), wide: float = 60) -> DataFrame:
+    """Per group: n, medians and interquartile ranges of both coordinates, shares at the border and of fallbacks, flags."""
+    at_edge = (F.least(r, c) <= edge[0]) | (F.greatest(r, c) >= edge[1])
+    q = lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), q(r).alias("r_"), q(c).alias("c_"), F.avg(at_edge.cast("double")).alias("border"), F.avg(fallback.cast("double")).alias("fallback"), F.bool_or(spread).alias("s_"))
+    iqr = lambda x: F.get(x, F.lit(2)) - F.get(x, F.lit(0))
+    flags = F.concat_ws(" ", F.when(F.col("border") > 0, "BORDER"), F.when(F.col("fallback") > 0, "FALLBACK"), F.when(F.col("s_") & (F.greatest(iqr("r_"), iqr("c_")) > wide), "SPREAD"))
+    return out.select(*by, "n", F.get("r_", F.lit(1)).alias("median_r"), F.get("c_", F.lit(1)).alias("median_c"), iqr("r_").alias("iqr_r"), iqr("c_").alias("iqr_c"), "border", "fallback", flags.alias("flags"))
+
+
+def boundary_report(segments: DataFrame, verb: Column, width: Column, rise: Column, open_at: float, lifted: float) -> DataFrame:
+    """By the instruction's verb: segments, median and outer percentiles of the width at their end, shares open and lifted, median rise."""
+    p = F.percentile(width, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    share = lambda c: F.avg(c.cast("double"))
+    out = segments.groupBy(verb.alias("verb")).agg(F.count("*").alias("n"), p.alias("p_"), share(width >= open_at).alias("open"), F.percentile(rise, F.lit(0.5)).alias("median_rise"), share(rise > lifted).alias("lifted"))
+    return out.select("verb", "n", F.get("p_", F.lit(1)).alias("median"), F.get("p_", F.lit(0)).alias("p10"), F.get("p_", F.lit(2)).alias("p90"), "open", "median_rise", "lifted")
+
+
+def length_stats(df: DataFrame, by: list[str], length: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(length).alias("shortest"), F.percentile(length, F.lit(0.5)).alias("p50"), F.avg(length).alias("mean"), F.max(length).alias("longest"), F.sum(length).alias("total"))

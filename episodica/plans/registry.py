@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sequences, sets
+from . import rules, sequences, sets
 
-QUERIES = {**sequences.QUERIES, **sets.QUERIES}
-ORACLE_SQL = {**sequences.SQL, **sets.SQL}
+QUERIES = {**sequences.QUERIES, **sets.QUERIES, **rules.QUERIES}
+ORACLE_SQL = {**sequences.SQL, **sets.SQL, **rules.SQL}

@@ -52,21 +52,6 @@ def mismatch_runs(spark, d):
     return quality.mismatch_runs(ticks(spark, d), "ep", "step", F.col("o") != F.col("p"))
 
 
-@query(_METRICS + """, e as (select ep, avg(case when o = p then 1.0 else 0.0 end) as content, count(*) filter (pm and fresh) as ahead from x group by ep),
-b as (select *, sum(case when o = p then 1 else 0 end) over (partition by ep order by step) as g from tk),
-r as (select ep, g, count(*) as n from b where o <> p group by ep, g), q as (select ep, max(n) as behind from r group by ep),
-v as (select ep, avg(case when value > 50 then 1.0 else 0.0 end) as bad from tk group by ep)
-select case when content >= 0.8 and bad <= 0.3 then 'policy' when bad > 0.5 then 'wrong coordinate' when coalesce(behind, 0) >= 8 then 'STALL' when ahead >= 3 then 'PREMATURE' else 'content wrong' end as class, count(*) as n
-from e join v using (ep) left join q using (ep) group by 1""")
-def failure_classes(spark, d):
-    t = ticks(spark, d)
-    m = quality.tick_metrics(t, "ep", "step", "o", "p").groupBy("ep").agg(F.avg(F.col("content").cast("double")).alias("content"), F.count_if("premature").alias("ahead"))
-    behind = quality.mismatch_runs(t, "ep", "step", F.col("o") != F.col("p")).select("ep", F.col("length").alias("behind"))
-    bad = t.groupBy("ep").agg(F.avg((F.col("value") > 50).cast("double")).alias("bad"))
-    kind = quality.failure_class(F.col("content"), F.col("bad"), F.coalesce("behind", F.lit(0)), F.col("ahead"))
-    return m.join(bad, "ep").join(behind, "ep", "left").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
-
-
 @query(f"""with recursive {EV}, h as (
   select ep, step, value <= 30 as inside, case when value <= 30 then 1 else 0 end as n from ev where step = 0
   union all

@@ -284,7 +284,9 @@ def assign_points(spark, d):
     return grouped.assign(left, right, ["label"], 20)
 
 
-@query()
+@query(f"""with {EV}, a as (select ep, min(step) as t from ev where value > 80 group by ep), b as (select ev.ep, min(step) as t from ev join a on a.ep = ev.ep and step > t where value < 20 group by ev.ep),
+c as (select ev.ep, min(step) as t from ev join b on b.ep = ev.ep and step > t where value > 60 group by ev.ep)
+select ep, 0::bigint as phase, t from a union all select ep, 1, t from b union all select ep, 2, t from c""")
 def chained_events(spark, d):
     return grouped.chained_events(episodes(spark, d), "ep", "step", "value", [("above", 80.0), ("below", 20.0), ("above", 60.0)])
 

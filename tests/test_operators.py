@@ -3,15 +3,15 @@
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import geometry
 from episodica.functions import text as T
-from episodica.operators import corpus, folds, grouped, ordered, quality, spatial
+from episodica.operators import corpus, folds, gates, grouped, ordered, quality, spatial
 from episodica.sources import readers, writers
 
 
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -208,9 +208,41 @@ def test_state_quality(spark):
     assert (r.precision, r.recall, r.final_recall, r.divergence) == (0.75, 0.75, 0.5, 16)
 
 
-def test_stall_mechanism(spark):
-    kinds = [one(spark, quality.stall_mechanism(F.lit(b), F.lit(c), F.lit(r))) for b, c, r in ((3, 0, 0), (9, 0, 0), (9, 2, 1), (9, 2, 0))]
-    assert kinds == [None, "SILENT", "HELD", "admitted but behind"]
+def test_stalls(spark):
+    rows = [(e, t, t > 0, c if t == 3 else None, a if t == 4 else None) for e, c, a in (("silent", None, None), ("held", "x", "y"), ("in", "x", "x")) for t in range(10)]
+    rows += [("short", t, t > 6, None, None) for t in range(10)]
+    found = quality.stalls(spark.createDataFrame(rows, "ep string, t int, behind boolean, claim string, admitted string"), "ep", "t", "claim", "admitted")
+    assert {(r.ep, r.length, r.mechanism) for r in found.collect()} == {("silent", 9, "SILENT"), ("held", 9, "HELD"), ("in", 9, "admitted but behind")}
+
+
+def test_failure_classes_follow_the_oracle_order(spark):
+    said = {
+        "stall": ["a"] + ["b"] + ["a"] * 9,  # stays at an earlier text
+        "ahead": ["c", "c", "c"] + ["x"] * 8,  # a later text
+        "far": [f"{t} at <90, 9>" for t in "abbbbbbbbbc"],
+        "fine": list("abbbbbbbbbc"),
+        "none": ["x"] * 11,
+    }
+    rows = [(k, t, f"{o} at <1, 1>", p) for k, texts in said.items() for t, (o, p) in enumerate(zip("abbbbbbbbbc", texts))]
+    placed = quality.positions(spark.createDataFrame(rows, "ep string, t int, o string, p string"), "ep", "t", "o", "p")
+    ends = spark.createDataFrame([(k, False) for k in [*said, "gone"]] + [("won", True), ("open", None)], "ep string, ok boolean")
+    got = {r.ep: r["class"] for r in quality.failure_classes(ends, placed, "ep", "t", "ok").collect()}
+    assert got == {"stall": "STALL", "ahead": "PREMATURE", "far": "wrong coordinate", "fine": "policy", "none": "content wrong", "gone": "no-trace", "won": "success"}
+
+
+def test_negatives_keep_rows_of_unknown_kind(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3 == 1) for i in range(300)], "id int, pos boolean")
+    got = [r.id for r in corpus.sample_negatives(df, F.col("pos"), 1, ["id"]).collect()]
+    assert len(got) == len(set(got)) == 200 and sum(i % 3 == 1 for i in got) == 100 and any(i % 3 == 0 for i in got)
+    assert corpus.sample_negatives(df, F.col("pos"), 9, ["id"]).count() == 300
+
+
+def test_strict_subset(spark):
+    df, keys = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), lambda *x: spark.createDataFrame([(i,) for i in x], "k int")
+    assert sorted(r.k for r in gates.strict_subset(df, keys(2), "k").collect()) == [2, 2]
+    for bad in (keys(2, 9), keys(1, 2, 3)):
+        with pytest.raises(Exception, match="keys that the table lacks|not a strict subset"):
+            gates.strict_subset(df, bad, "k").collect()
 
 
 def test_state_quality_against_brute_force(spark):
