@@ -27,6 +27,37 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: ASCII white space; bytes of text that are hashed at a time.
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+HELD = 1 << 22
+
+
+def hashed(texts, powers) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word between ASCII white space, words of each text) of an Arrow array of strings; nulls have none."""
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    at = offsets - offsets[0]
+    word, edge = ~_SPACE[raw], np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    before, after = np.empty_like(word), np.empty_like(word)
+    before[:1], before[1:] = False, word[:-1]
+    after[-1:], after[:-1] = False, word[1:]
+    first = np.flatnonzero(word & (~before | edge[:-1]))
+    last = np.flatnonzero(word & (~after | edge[1:])) + 1
+    out, i = np.zeros(len(first), np.uint64), 0
+    while i < len(first):
+        j = max(i + 1, int(np.searchsorted(last, first[i] + HELD, "right")))
+        base = first[i]
+        out[i:j] = mix(powers.hashes(raw[base : last[j - 1]], first[i:j] - base, last[i:j] - base))
+        i = j
+    return out, np.diff(np.searchsorted(first, at))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _A
     x = (x ^ (x >> np.uint64(27))) * _B
