@@ -2,25 +2,26 @@
 
 Terms are the vector components, weights are floor(64 * x); the score is the
 integer inner product. Candidates are dealt into shards of about SHARD rows;
-a shard keeps its postings by term (the weights of all its rows, zero where a
-row lacks the term). Queries come in blocks of QUERIES; every block meets
+a shard keeps its postings by term. Queries come in blocks of QUERIES; every block meets
 every shard by an equality join on the shard's number, so no side is ever
 broadcast or collected.
 
 In a shard, a term's score for a query lies between two bounds (its weight
-times the least or greatest posting). Terms are split by them: the essential
-ones have the widest spread, and the rest can move a score by at most MARGIN
-of the whole. The essential postings are traversed for all rows; the rows
-best by lower bound set the k-th score to beat, and the other terms are probed
-only for rows whose upper bound still reaches it. Shards give their k best
-per query, which are merged.
+times the least or greatest posting). Rows come in pieces. The k-th best score
+so far is the one to beat: terms, widest bounds first, are essential until a
+row that has the least of each of them can't reach it by the best of the
+others. The essential postings are traversed for all rows of the piece, the
+others are probed only for rows whose upper bound still reaches the score to
+beat. It rises from piece to piece, and the terms are split anew. Shards give
+their k best per query, which are merged.
 
 Rows whose vector is null or has a null, NaN or infinite component take no
 part; a shorter vector has zeros at its end. Ties go to the smaller id, null
 ids take no part, and rows that repeat an id are ranked each. A query never
 meets rows of its own id; equal queries count once, and an id that is asked
-with several vectors gets a list for each. Weights must keep scores within 64-bit integers.
-Further columns don't count.
+with several vectors gets a list for each. Scores that could leave 64-bit
+integers are an error. Empty tables give an empty result. Further columns
+don't count.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, col, table
 
-SCALE, SHARD, QUERIES, MARGIN = 64, 8192, 1024, 0.35
+SCALE, SHARD, QUERIES = 64, 8192, 1024
+#: Rows that are scored before the score to beat is looked at again; terms that are probed at a time; a term is a list
+#: if fewer than one in SPARSE rows have it.
+PIECE, STEP, SPARSE = 1024, 8, 4
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -40,7 +44,8 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     x = F.transform(col(df, vector), lambda v: v.cast("double"))
     fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     kept = df.filter(col(df, key).isNotNull() & col(df, vector).isNotNull() & fine)
-    return kept.select(col(df, key).cast("bigint").alias("k"), F.transform(x, lambda v: F.floor(SCALE * v).cast("bigint")).alias("w"))
+    whole = lambda v: F.when(F.abs(v) < float(1 << 56), F.floor(SCALE * v).cast("bigint")).otherwise(F.raise_error(F.lit("a component too large for 64-bit scores")).cast("bigint"))
+    return kept.select(col(df, key).cast("bigint").alias("k"), F.transform(x, whole).alias("w"))
 
 
 def _packed(df: DataFrame, block: str, size: int) -> DataFrame:
@@ -62,46 +67,70 @@ def _packed(df: DataFrame, block: str, size: int) -> DataFrame:
 
 
 class Shard:
-    """Postings of one shard, by term."""
+    """Postings of one shard, by term, in pieces of PIECE rows.
+
+    A term that few rows have is a list of rows and weights; the others are
+    arrays of the weights of all rows.
+    """
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.postings = ids[order], np.ascontiguousarray(weights[order].T)
-        self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
-        # Sums of up to 2**53 are exact as doubles; beyond that, integers are used.
-        self.fast = self.postings.astype(np.float64)
+        self.ids, whole = ids[order], np.ascontiguousarray(weights[order].T)
+        self.low, self.high = whole.min(axis=1), whole.max(axis=1)
+        self.listed = np.count_nonzero(whole, axis=1) * SPARSE < whole.shape[1]
+        self.pieces = []
+        for at in range(0, len(ids), PIECE):
+            part = whole[:, at : at + PIECE]
+            lists = {t: (rows := np.flatnonzero(part[t]), part[t, rows]) for t in np.flatnonzero(self.listed).tolist()}
+            # Sums of up to 2**53 are exact as doubles; beyond that, integers are used.
+            self.pieces.append((at, part, part.astype(np.float64), lists))
+
+    def _all(self, piece, terms: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+        """Scores of all rows of a piece by the terms: arrays are multiplied, lists are walked."""
+        _, whole, fast, lists = piece
+        held = fast if exact else whole
+        dense = terms[~self.listed[terms]]
+        score = query[dense].astype(held.dtype) @ held[dense]
+        for t in terms[self.listed[terms]].tolist():
+            rows, weights = lists[t]
+            score[rows] += (query[t] * weights).astype(held.dtype)
+        return score
 
     def top(self, key: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows, best first."""
-        n = min(len(query), len(self.postings))
+        n = min(len(query), len(self.low))
         q, low, high = query[:n], self.low[:n], self.high[:n]
         most = int(np.abs(q).astype(object).dot(np.maximum(np.abs(low), np.abs(high)).astype(object))) if n else 0
-        postings = self.fast if most < 1 << 53 else self.postings
+        if most >= 1 << 63:
+            raise OverflowError("scores beyond 64-bit integers")
+        exact = most < 1 << 53
         least, best = np.minimum(q * low, q * high), np.maximum(q * low, q * high)
         order = np.argsort(least - best, kind="stable")
-        rest = np.cumsum((best - least)[order][::-1])[::-1]
-        essential = int(np.searchsorted(-rest, -MARGIN * (rest[0] if n else 0)))
-        ess, non = order[:essential], order[essential:]
-        score = q[ess].astype(postings.dtype) @ postings[ess] if len(ess) else np.zeros(len(self.ids), postings.dtype)
-        mine = self.ids == key
-        alive = np.flatnonzero(~mine)
-        score = score[alive]
-        if len(alive) > k:
-            under, over = least[non].sum(), best[non].sum()
-            beat = np.partition(score, len(score) - k)[len(score) - k] + under
-            keep = score + over >= beat
-            alive, score = alive[keep], score[keep]
-        # Probe the other terms for rows that still compete, the widest first.
-        for at in range(0, len(non), 8):
-            part = non[at : at + 8]
-            score = score + q[part].astype(postings.dtype) @ postings[part][:, alive]
-            if len(alive) > k and at + 8 < len(non):
-                left = non[at + 8 :]
-                beat = np.partition(score, len(score) - k)[len(score) - k] + least[left].sum()
-                keep = score + best[left].sum() >= beat
+        # What a row can reach that has the least of the first e terms: falls with e.
+        reach = np.concatenate([[0], np.cumsum(least[order])]) + np.concatenate([np.cumsum(best[order][::-1])[::-1], [0]])
+        beat, scores, rows = None, np.zeros(0, np.float64 if exact else np.int64), np.zeros(0, np.int64)
+        for piece in self.pieces:
+            # As the score to beat rises, more of the terms can't lift a row over it on their own.
+            e = n if beat is None else min(n, int(np.searchsorted(-reach, -beat, "right")))
+            score = self._all(piece, order[:e], query, exact)
+            own = self.ids[piece[0] : piece[0] + len(score)]
+            alive = np.flatnonzero(own != key)
+            score = score[alive]
+            for at in range(e, n, STEP):
+                keep = score + best[order[at:]].sum() >= beat
                 alive, score = alive[keep], score[keep]
-        first = np.lexsort((alive, -score))[:k]
-        return self.ids[alive[first]], score[first].astype(np.int64)
+                if not len(alive):
+                    break
+                part = order[at : at + STEP]
+                held = piece[2] if exact else piece[1]
+                score = score + q[part].astype(held.dtype) @ held[part][:, alive]
+            scores, rows = np.append(scores, score), np.append(rows, alive + piece[0])
+            if len(scores) >= k:
+                first = np.lexsort((rows, -scores))[:k]
+                scores, rows = scores[first], rows[first]
+                beat = scores[-1] if k else None
+        first = np.lexsort((rows, -scores))[:k]
+        return self.ids[rows[first]], scores[first].astype(np.int64)
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
