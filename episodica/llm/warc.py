@@ -10,9 +10,12 @@ page_id is a response; the others are revisits, whose block has the HTTP
 header only and which name the response. Payloads shorter than a bound are all
 responses. A null payload is empty. Rows that repeat the smallest page_id are
 all responses; pages with a null page_id refer to the smallest known id, and
-are responses where there is none. Further columns don't count.
+are responses where there is none. Empty tables give no files. A very long
+payload is one row, and passes the gzip stream in pieces. Further columns don't
+count.
 
-Only ids and digests are shuffled to find the revisits. Files get a name of
+Ids and digests alone find the revisits; then the payloads are shuffled once,
+by id and digest, to meet what was found. Files get a name of
 their own on each attempt of a task; the next step is given the names of the
 attempts that counted.
 """
