@@ -2,16 +2,20 @@
 
 A state is ee x, y, z, axis-angle (3), finger. Each predicate scans from the
 step after the last completion. Nothing is found where a phase never comes;
-the scan then goes on from the last completion.
+the scan then goes on from the last completion. A plan step may name the pixel
+of its fixture: placing and pouring then count only within `reach` of it, but
+for drawers, whose pixels are those of after they were shut.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,23 @@ class Bounds:
     closing: float = 0.06
     close: float = 0.12
     slow: float = 0.001
+    reach: float = 30.0
+
+
+@dataclass(frozen=True)
+class Camera:
+    """A 3x4 or 4x4 projection matrix and the image's size."""
+
+    matrix: tuple[tuple[float, ...], ...]
+    height: int = 256
+    width: int = 256
+
+    def pixels(self, points: np.ndarray) -> np.ndarray:
+        """(row, column) of each point: halves to even, clipped to the image."""
+        seen = np.column_stack([points, np.ones(len(points))]) @ np.asarray(self.matrix, float)[:3].T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = np.nan_to_num(np.round(seen[:, [1, 0]] / seen[:, 2:]))
+        return np.clip(at, 0, [self.height - 1, self.width - 1])
 
 
 def _held(mask: np.ndarray, k: int) -> np.ndarray:
@@ -49,7 +70,8 @@ def _first(mask: np.ndarray, start: int) -> int | None:
 class Motion:
     """An episode's states and the masks that the predicates share."""
 
-    def __init__(self, states: np.ndarray, bounds: Bounds):
+    def __init__(self, states: np.ndarray, bounds: Bounds, camera: Camera | None = None):
+        self.pixels, self.gate = camera.pixels(states[:, :3]) if camera else None, None
         self.b, self.xy, self.z, self.q = bounds, states[:, :2], states[:, 2], states[:, 6]
         axis = states[:, 3:6]
         angle = np.linalg.norm(axis, axis=1)
@@ -63,6 +85,12 @@ class Motion:
         self.still = _held(np.concatenate([[0.0], np.linalg.norm(np.diff(self.xy, axis=0), axis=1)]) < bounds.slow, 5)
         self.origins: dict[str, np.ndarray] = {}
 
+    def near(self) -> np.ndarray:
+        """Where the hand is within reach of the step's fixture; everywhere without one."""
+        if self.gate is None or self.pixels is None:
+            return np.ones(len(self.q), bool)
+        return np.hypot(*(self.pixels - np.asarray(self.gate, float)).T) <= self.b.reach
+
     def _fresh_grasp(self, a: int, also: np.ndarray | None = None) -> int | None:
         opened = np.maximum.accumulate(self.wide[a:]) if a < len(self.q) else self.wide[:0]
         mask = np.concatenate([np.zeros(a, bool), opened]) & self.grasp
@@ -88,24 +116,25 @@ class Motion:
             if not self.wide[up]:
                 release = _held(self.wide, 3)
                 edge = release & ~np.concatenate([[False], release[:-1]])
-                return _first(edge, min(max(up + self.b.hold, a), len(edge)))
+                return _first(edge & self.near(), min(max(up + self.b.hold, a), len(edge)))
             g = _first(self.grasp, up + 1)
         return None
 
     def pour(self, a: int, what: str) -> int | None:
         away = np.abs(self.tilt - self.tilt[a])
-        turned = _first(_held(away >= self.b.turn, 15), a)
+        turned = _first(_held(away >= self.b.turn, 15) & self.near(), a)
         return None if turned is None else _first(_held(away <= self.b.back, 5), turned)
 
     def open(self, a: int, what: str) -> int | None:
         g = self._fresh_grasp(a, self.tilt > self.b.posture)
         if g is None:
             return None
-        self.origins[what] = self.xy[g]
+        self.origins[re.sub(r"\s+again$", "", what.lower())] = self.xy[g]
         far = _first(np.linalg.norm(self.xy - self.xy[g], axis=1) >= self.b.stroke, g)
         return None if far is None else self._until_still(far)
 
     def close(self, a: int, what: str) -> int | None:
+        what = re.sub(r"\s+(again|final)$", "", what.lower())
         if what not in self.origins:
             return None
         d = np.linalg.norm(self.xy - self.origins[what], axis=1)
@@ -120,19 +149,24 @@ class Motion:
         return None
 
 
-def completions(states: DataFrame, plan: DataFrame, key: str, bounds: Bounds = Bounds()) -> DataFrame:  # noqa: B008
+def completions(states: DataFrame, plan: DataFrame, key: str, bounds: Bounds = Bounds(), camera: Camera | None = None) -> DataFrame:  # noqa: B008
     """(key, ord, t): the step at which each plan step completes, null if it is not seen to.
 
-    states: key, step, s (array of 7 or more); plan: key, ord, kind, what.
+    states: key, step, s (array of 7 or more); plan: key, ord, kind, what and,
+    for gates by a camera, r and c (null: none).
     """
+    if not {"r", "c"} <= set(plan.columns):
+        plan = plan.withColumns({"r": F.lit(None).cast("double"), "c": F.lit(None).cast("double")})
 
     def run(k, rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
         out, at = [], 0
         if len(rows) and len(steps):
             rows = rows.sort_values("step")
-            motion, when = Motion(np.stack(rows["s"].to_numpy()).astype(float), bounds), rows["step"].tolist()
+            motion, when = Motion(np.stack(rows["s"].to_numpy()).astype(float), bounds, camera), rows["step"].tolist()
             for x in steps.sort_values("ord").itertuples(index=False):
                 scan = getattr(motion, x.kind) if x.kind in ("pick", "place", "pour", "open", "close") else None
+                gated = not (pd.isna(x.r) or pd.isna(x.c) or "drawer" in x.what.lower())
+                motion.gate = (x.r, x.c) if gated else None
                 found = scan(at, x.what) if scan and at < len(when) else None
                 out.append((k[0], int(x.ord), None if found is None else int(when[found])))
                 at = at if found is None else found + 1

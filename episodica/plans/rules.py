@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from episodica.functions import geometry
 from episodica.functions import text as T
 from episodica.operators import corpus, folds, gates, joins, ordered, quality, spatial
+from episodica.sources import readers, writers
 
 from .base import EV, PT, episodes, points, table
 
@@ -444,3 +445,31 @@ select ep, min(step) as deposited from r where gone and run >= 3 group by ep""")
 def dwell_deposits(spark, d):
     held = ordered.sustained(episodes(spark, d), ["ep"], ["step"], F.col("value") > 20, 3, "full")
     return held.filter("full").groupBy("ep").agg(F.min("step").alias("deposited"))
+
+
+# Sources and sinks
+
+@query("""select name from (select 'part_' || lpad(p_partkey::varchar, 4, '0') as name, row_number() over (order by p_partkey) - 1 as nth from part where p_partkey < 100) where nth in (3, 7, 500)""")
+def file_subset(spark, d):
+    files = table(spark, d, "part").filter("p_partkey < 100").select(_say("part_", F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("name"))
+    return readers.file_subset(files, "name", [3, 7, 500])
+
+
+@query("""select o_orderkey as id from orders where o_orderkey % 3 = 0""")
+def unparsed_names(spark, d):
+    n = F.col("o_orderkey")
+    name = F.when(n % 3 == 0, _say("notes_", n, ".txt")).otherwise(_say("pick_up_", n % 5, "_seed", n, "_task2.hdf5"))
+    return readers.unparsed(table(spark, d, "orders").select(n.alias("id"), name.alias("file")), "file").select("id")
+
+
+@query(f"""with {EV}, k as (select distinct ep, step from ev where sg in ('view', 'click')) select k.ep, string_agg(case when sg = 'view' then printf('%.2f', value) else 'nan' end, ',' order by k.step) as view, string_agg(case when sg = 'click' then printf('%.2f', value) else 'nan' end, ',' order by k.step) as click from k join ev on ev.ep = k.ep and ev.step = k.step group by k.ep""")
+def ragged_metrics(spark, d):
+    found = writers.ragged(episodes(spark, d), "ep", "step", "sg", "value", ["view", "click"])
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.when(F.isnan(x), "nan").otherwise(F.format_string("%.2f", x))), ",")
+    return found.select("ep", shown("view").alias("view"), shown("click").alias("click"))
+
+
+@query("""with r as (select n_regionkey as region, count(*) as nations from nation group by 1)
+select 0::bigint as nth, '| region | nations |' as line union all select 1, '|-|-|' union all select row_number() over (order by region) + 1, '| ' || region || ' | ' || nations || ' |' from r""")
+def markdown_report(spark, d):
+    return writers.markdown(table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("nations")), ["region"])

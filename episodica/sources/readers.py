@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 #: Parts of an episode's file name: words, order, seed and task.
 NAME = r"^(.*)_(\d+)_seed(\d+)_task(\d+)\.\w+$"
@@ -77,12 +77,44 @@ def outcomes(nested: DataFrame, column: str, legacy: bool = False) -> DataFrame:
     return out.filter("ok is not null")
 
 
-def reassemble(segments: DataFrame, key: list[str], order: str, length: str) -> DataFrame:
-    """Segments with their offset in the whole, and whether orders are 0, 1, ... without a gap."""
+def file_subset(files: DataFrame, name: str, positions: list[int]) -> DataFrame:
+    """The files at the positions (from 0) of their order by name; a list of files, so one task ranks it."""
+    nth = F.row_number().over(Window.orderBy(name)) - 1
+    return files.withColumn("nth_", nth).filter(F.col("nth_").isin(positions)).drop("nth_")
+
+
+def unparsed(files: DataFrame, file: str) -> DataFrame:
+    """Files whose name has another form than NAME."""
+    return files.filter(name_keys(F.col(file)).isNull())
+
+
+def detection_cache(spark: SparkSession, path: str, wanted: DataFrame, key: str = "ep") -> tuple[DataFrame, DataFrame]:
+    """((key, frame, name, r, c) of the files e<key>.json, keys of wanted without a file).
+
+    A file maps frames to lists of [name, row, column].
+    """
+    texts = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/e*.json").withColumn("file_", F.col("_metadata.file_name"))
+    numbered = texts.select(F.regexp_extract("file_", r"^e(\d+)\.json$", 1).try_cast("bigint").alias(key), F.from_json("value", "map<string,array<array<string>>>").alias("m")).filter(F.col(key).isNotNull())
+    frames = numbered.select(key, F.explode("m").alias("frame", "dets")).select(key, F.col("frame").cast("bigint").alias("frame"), F.explode("dets").alias("d"))
+    rows = frames.select(key, "frame", F.get("d", F.lit(0)).alias("name"), *[F.get("d", F.lit(i)).cast("double").cast("int").alias(n) for i, n in ((1, "r"), (2, "c"))])
+    return rows.join(wanted.select(key).distinct(), key, "left_semi"), wanted.select(key).distinct().join(numbered.select(key), key, "left_anti")
+
+
+def reassemble(segments: DataFrame, key: list[str], order: str, length: str, strict: bool = False, clip: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Segments with their offset in the whole, and whether orders are 0, 1, ... without a gap (strict: else an error).
+
+    clip: bounds for columns of numbers or arrays of them.
+    """
     w = Window.partitionBy(*key).orderBy(order)
     out = segments.withColumn("offset", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length))
     out = out.withColumn("nth_", F.row_number().over(w) - 1)
-    return out.withColumn("complete", F.every(F.col("nth_") == F.col(order)).over(Window.partitionBy(*key))).drop("nth_")
+    out = out.withColumn("complete", F.every(F.col("nth_") == F.col(order)).over(Window.partitionBy(*key))).drop("nth_")
+    if strict:
+        out = out.withColumn("complete", F.when(F.col("complete"), True).otherwise(F.raise_error(F.lit("a segment is missing")).cast("boolean")))
+    for name, (low, high) in (clip or {}).items():
+        held = lambda x: F.greatest(F.least(x, F.lit(high)), F.lit(low))  # noqa: B023, E731
+        out = out.withColumn(name, F.transform(name, held) if isinstance(out.schema[name].dataType, ArrayType) else held(F.col(name)))
+    return out
 
 
 def missing(wanted: DataFrame, have: DataFrame, key: list[str]) -> DataFrame:

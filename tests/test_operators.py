@@ -327,3 +327,64 @@ def test_snapping_takes_every_row(spark):
     folder = "/root/testdata/sf0.001"
     ids = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
     assert {r.id for r in registry.QUERIES["nearest_snap_all"](spark, folder).collect()} == {i for i in ids if i % 5 != 1}
+
+
+def test_location_gates(spark):
+    import numpy as np
+
+    from episodica.operators import predicates
+
+    camera = predicates.Camera(((100.0, 0, 0, 0), (0, 100.0, 0, 0), (0, 0, 0, 1)))
+    n = 200
+    s = np.zeros((n, 7))
+    s[:, 6] = 0.05  # open
+    s[10:60, 6], s[100:150, 6] = 0.02, 0.02  # held twice
+    s[20:60, 2], s[110:150, 2] = 0.1, 0.1  # and lifted
+    s[:, 1] = np.where(np.arange(n) < 80, 0.1, 2.0)  # rows 10 and 200
+    states = spark.createDataFrame([(1, i, x.tolist()) for i, x in enumerate(s)], "ep int, step int, s array<double>")
+    at = lambda r, what="bowl": spark.createDataFrame([(1, 0, "place", what, r, 0.0)], "ep int, ord int, kind string, what string, r double, c double")
+    first = lambda plan: predicates.completions(states, plan, "ep", camera=camera).first().t
+    assert first(at(None)) == first(at(10.0)) == first(at(200.0, "the top drawer")) == 62
+    assert first(at(200.0)) == 152 and first(at(90.0)) is None
+    assert first(at(200.0).drop("r", "c")) == 62
+
+
+def test_detection_cache_and_what_it_lacks(spark, tmp_path):
+    (tmp_path / "e3.json").write_text('{"0": [["cube", 4.0, 5], ["arm", 1, 2]], "8": []}')
+    (tmp_path / "e4.json").write_text('{"16": [["peg", 7, 8]]}')
+    (tmp_path / "extra.json").write_text("{}")
+    found, lost = readers.detection_cache(spark, str(tmp_path), spark.createDataFrame([(3,), (5,)], "ep bigint"))
+    assert sorted(tuple(r) for r in found.collect()) == [(3, 0, "arm", 1, 2), (3, 0, "cube", 4, 5)]
+    assert [r.ep for r in lost.collect()] == [5]
+
+
+def test_reassembly_fails_and_clips(spark):
+    df = spark.createDataFrame([(1, 0, 3, [-2.0, 0.5]), (1, 2, 4, [9.0, 1.0])], "ep int, ord int, n int, a array<double>")
+    out = readers.reassemble(df, ["ep"], "ord", "n", clip={"a": (-1.0, 1.0)}).orderBy("ord").collect()
+    assert [(r.offset, r.complete, r.a) for r in out] == [(0, False, [-1.0, 0.5]), (3, False, [1.0, 1.0])]
+    with pytest.raises(Exception, match="a segment is missing"):
+        readers.reassemble(df, ["ep"], "ord", "n", strict=True).collect()
+
+
+def test_sinks_by_content_and_families(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "x string")
+    path = str(tmp_path / "c")
+    assert [writers.append_content(df, path, "x"), writers.append_content(df, path, "x")] == [2, 0]
+    index = writers.meta_family(str(tmp_path / "m"), {"one": df, "two": df.limit(1)})
+    assert sorted(tuple(r) for r in index.collect()) == [("one", 3), ("two", 1)]
+
+
+def test_offsets_over_all_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 500, i % 5) for i in range(500)] + [(None, 4)], "k int, n int").repartition(5)
+    found = {r.k: r.offset for r in ordered.running_offset(df, ["k"], "n").collect()}
+    at, want = 4, {None: 0}
+    for k, n in sorted((i * 7 % 500, i % 5) for i in range(500)):
+        want[k], at = at, at + n
+    assert found == want
+
+
+def test_windows_at_their_edges(spark):
+    ticks = spark.createDataFrame([(1, 0), (1, 16), (1, 40)], "ep int, last bigint")
+    rows = spark.createDataFrame([(1, t, f"x{t}") for t in (0, 15, 16, 23, 24, 39, 40)] + [(2, 30, "y")], "ep int, t bigint, v string")
+    found = {r.last: [x.v for x in r.before] for r in ordered.window_before(ticks, rows, "ep", "last", "t", ["v"]).collect()}
+    assert found == {0: [], 16: ["x0", "x15"], 40: ["x24", "x39"]}
