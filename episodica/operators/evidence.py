@@ -6,7 +6,7 @@ Radii are inclusive, in pixels.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
@@ -64,3 +64,25 @@ def visited(before: Column, frames: Column, r: Column, c: Column, reach: float =
 
 def counted(bank: Column, part: str) -> Column:
     return F.size(F.filter(bank, lambda x: F.contains(F.lower(x), F.lit(part)))).cast("bigint")
+
+
+def press_trigger(ticks: DataFrame, key: str, step: str, distance: str, nth: int, near: float = 20, rest: int = 24, period: int = 80, ahead: int = 28) -> DataFrame:
+    """ticks with arrivals, fires and latched: press ahead of the nth arrival, by the period of those before.
+
+    An arrival is a distance under `near` after one that wasn't (or at the
+    start; unseen ones are passed over), more than `rest` steps after the last.
+    The period is the upper median of the gaps. Once fired, it stays latched.
+    """
+    w = Window.partitionBy(key).orderBy(step)
+    before = F.last(distance, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    comes = (F.col(distance) < near) & (before.isNull() | (before >= near))
+    marks = F.collect_list(F.when(comes, F.col(step).cast("bigint"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    none = F.array().cast("array<bigint>")
+    far = F.aggregate("marks_", none, lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) > rest), F.array_append(a, x)).otherwise(a))
+    out = ticks.withColumn("marks_", marks).withColumn("at_", far)
+    gaps = F.array_sort(F.zip_with(F.slice("at_", 2, F.greatest(F.size("at_") - 1, F.lit(0))), F.slice("at_", 1, F.greatest(F.size("at_") - 1, F.lit(0))), lambda b, a: b - a))
+    wait = F.when(F.size("at_") > 1, F.get(gaps, F.floor(F.size(gaps) / 2).cast("int"))).otherwise(F.lit(period))
+    due = F.element_at("at_", -1) + wait * (nth - F.size("at_"))
+    fires = (F.size("at_") >= max(1, nth - 1)) & (due - F.col(step) <= ahead)
+    out = out.withColumn("fires", F.coalesce(fires, F.lit(False))).withColumn("arrivals", F.size("at_").cast("bigint"))
+    return out.withColumn("latched", F.bool_or("fires").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("marks_", "at_")

@@ -35,17 +35,20 @@ def _parsed(df: DataFrame, key: str) -> DataFrame:
 
 
 def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12, tick: int = 16) -> DataFrame:
-    """(key, t_truth, t_said, lag): each true line, in order of (t, ord), takes the first free line that agrees.
+    """(key, t_truth, t_said, lag, errors, met): each true line, in order of (t, ord), takes the first free line that agrees.
 
     Lines agree if their normal forms are equal and every coordinate is within
     the tolerance in both components. lag is the difference in ticks, rounded
-    down; t_said and lag are null where no line is left. Both inputs have key,
-    t, ord, line.
+    down; t_said and lag are null where no line is left. errors are the
+    distances of the pair's coordinates. met is null but for completions: was
+    a line that agrees taken, by this or an earlier one, that was said a tick
+    after it or before? Both inputs have key, t, ord, line.
     """
 
     def run(k, truths: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         truths, lines = (_sided(x, "t", "ord", "form", "at") for x in (truths, lines))
         free: dict[str, list] = {}
+        taken: dict[str, list] = {}
         for x in lines.sort_values(["t", "ord"]).itertuples(index=False):
             free.setdefault(x.form, []).append((int(x.t), np.asarray(x.at)))
         out = []
@@ -53,13 +56,19 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
             same, at = free.get(x.form, []), np.asarray(x.at)
             fits = (n for n, (_, y) in enumerate(same) if len(y) == len(at) and (np.abs(y - at) <= tolerance).all())
             n = next(fits, None)
-            t = same.pop(n)[0] if n is not None else None
-            out.append((k[0], int(x.t), t, None if t is None else (t - int(x.t)) // tick))
-        return pd.DataFrame(out, columns=[key, "t_truth", "t_said", "lag"]).astype({"t_said": "Int64", "lag": "Int64"})
+            t, errors, met = None, [], None
+            if n is not None:
+                t, y = same.pop(n)
+                taken.setdefault(x.form, []).append((t, y))
+                errors = np.hypot(*(y - at).reshape(-1, 2).T.astype(float)).tolist() if len(at) else []
+            if "completed:" in x.form:
+                met = any(u <= x.t + tick and len(y) == len(at) and (np.abs(y - at) <= tolerance).all() for u, y in taken.get(x.form, []))
+            out.append((k[0], int(x.t), t, None if t is None else (t - int(x.t)) // tick, errors, met))
+        return pd.DataFrame(out, columns=[key, "t_truth", "t_said", "lag", "errors", "met"]).astype({"t_said": "Int64", "lag": "Int64", "met": "boolean"})
 
     kind = dict(truth.dtypes)[key]
     both = _parsed(truth, key).groupBy(key).cogroup(_own(_parsed(said, key)).groupBy(key))
-    return both.applyInPandas(run, f"{key} {kind}, t_truth bigint, t_said bigint, lag bigint")
+    return both.applyInPandas(run, f"{key} {kind}, t_truth bigint, t_said bigint, lag bigint, errors array<double>, met boolean")
 
 
 class _Free:

@@ -232,3 +232,11 @@ def boundary_report(segments: DataFrame, verb: Column, width: Column, rise: Colu
 
 def length_stats(df: DataFrame, by: list[str], length: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.min(length).alias("shortest"), F.percentile(length, F.lit(0.5)).alias("p50"), F.avg(length).alias("mean"), F.max(length).alias("longest"), F.sum(length).alias("total"))
+
+
+def pair_report(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Of pair_lines() rows, per group: lines, share that was said, median lag and coordinate error, completions and those met in time."""
+    median = lambda c: F.percentile(c, F.lit(0.5))
+    own = pairs.groupBy(*by).agg(F.count("*").alias("lines"), F.avg(F.col("t_said").isNotNull().cast("double")).alias("said"), median("lag").alias("median_lag"), F.count("met").alias("completions"), F.count_if("met").alias("met"))
+    errors = pairs.select(*by, F.explode("errors").alias("e_")).groupBy(*by).agg(median("e_").alias("median_error"))
+    return own.join(errors, by, "left")

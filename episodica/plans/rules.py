@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions import geometry
 from episodica.functions import text as T
-from episodica.operators import corpus, folds, gates, joins, ordered, quality, spatial
+from episodica.operators import corpus, evidence, folds, gates, grouped, joins, ordered, quality, spatial
 from episodica.sources import readers, writers
 
 from .base import EV, PT, episodes, points, table
@@ -447,6 +447,85 @@ def dwell_deposits(spark, d):
     return held.filter("full").groupBy("ep").agg(F.min("step").alias("deposited"))
 
 
+_PTS = PT + ", q as (select label, r, c, id, row_number() over (partition by label order by id) - 1 as i from pt where r > -40)"
+
+
+def _ordered_points(spark, d):
+    held = points(spark, d).filter("r > -40").select("label", "id", F.col("r").cast("double").alias("r"), F.col("c").cast("double").alias("c"), _say("k", F.col("id") % 2).alias("name"))
+    rows = folds.ordered_rows(held, ["label"], ["id"], ["name", "r", "c"])
+    return rows.select("label", F.transform("rows_", lambda x: F.struct(x["name"].alias("name"), x["r"].alias("r"), x["c"].alias("c"))).alias("p"))
+
+
+@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(r := r, c := c)] as kept from q where i = 0
+  union all select q.label, q.i, case when len(list_filter(kept, lambda k: (k.r - q.r) ** 2 + (k.c - q.c) ** 2 <= 900)) = 0 then list_append(kept, struct_pack(r := q.r, c := q.c)) else kept end from m join q on q.label = m.label and q.i = m.i + 1)
+select label, len(arg_max(kept, i))::bigint as dots from m group by label""")
+def distinct_routes(spark, d):
+    return _ordered_points(spark, d).select("label", F.size(folds.distinct_route(F.col("p"), 30)).cast("bigint").alias("dots"))
+
+
+@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(r := r, c := c, n := 1)] as kept from q where i = 0
+  union all select label, i, case when hit is null then list_append(kept, struct_pack(r := r, c := c, n := 1)) else list_transform(kept, lambda k, j: struct_pack(r := k.r, c := k.c, n := k.n + (j = hit)::int)) end
+  from (select q.label, q.i, q.r, q.c, m.kept, list_position(list_transform(kept, lambda k: abs(k.r - q.r) + abs(k.c - q.c) <= 30), true) as hit from m join q on q.label = m.label and q.i = m.i + 1))
+select label, len(list_filter(arg_max(kept, i), lambda k: k.n >= 3))::bigint as anchors from m group by label""")
+def point_clusters(spark, d):
+    return _ordered_points(spark, d).select("label", F.size(spatial.clusters(F.col("p"), 30, 3)).cast("bigint").alias("anchors"))
+
+
+@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(s := id % 2, r := r, c := c, n := 1)] as kept from q where i = 0
+  union all select label, i, case when hit is null then list_append(kept, struct_pack(s := s, r := r, c := c, n := 1)) else list_transform(kept, lambda k, j: struct_pack(s := k.s, r := k.r, c := k.c, n := k.n + (j = hit)::int)) end
+  from (select q.label, q.i, q.id % 2 as s, q.r, q.c, m.kept, list_position(list_transform(kept, lambda k: k.s = q.id % 2 and abs(k.r - q.r) < 18 and abs(k.c - q.c) < 18), true) as hit from m join q on q.label = m.label and q.i = m.i + 1)),
+l as (select label, arg_max(kept, i) as k from m group by label)
+select label, len(k)::bigint as clusters, list_max(list_transform(k, lambda x: x.n))::int as most from l""")
+def class_clusters(spark, d):
+    found = _ordered_points(spark, d).select("label", folds.class_clusters(F.col("p")).alias("k"))
+    return found.select("label", F.size("k").cast("bigint").alias("clusters"), F.array_max(F.transform("k", lambda x: x["n"])).alias("most"))
+
+
+@query(f"""with {EV}, f as (select ep, step, event_id % 3 = 0 as b, event_id % 2 = 0 as a, value > 20 as s from ev),
+x as (select *, """ + ", ".join(f"lag({c}, {k}) over w as {c}{k}" for c in "bas" for k in range(1, 6)) + """ from f window w as (partition by ep order by step))
+select ep, step, coalesce((not b and a) and (not b1 and a1), false) or coalesce((not b1 and a1) and (not b2 and a2), false) or coalesce((not b2 and a2) and (not b3 and a3), false) as pressed,
+  coalesce(not s and not s1, false) or coalesce(not s1 and not s2, false) or coalesce(not s2 and not s3, false) as absent,
+  coalesce(not s and not s1, false) and (coalesce(s2, false) or coalesce(s3, false) or coalesce(s4, false) or coalesce(s5, false)) as lifted,
+  s and coalesce(s1, true) and coalesce(s2, true) and coalesce(s3, true) as rested, s and not a as put, a or coalesce(a1, false) or coalesce(a2, false) or coalesce(a3, false) or coalesce(a4, false) or coalesce(a5, false) as visited from x""")
+def frame_evidence(spark, d):
+    n, w = F.col("event_id"), Window.partitionBy("ep").orderBy("step")
+    det = lambda name, c, ok: F.when(ok, F.array(F.struct(F.lit(name).alias("name"), F.lit(10).alias("r"), F.lit(c).alias("c")))).otherwise(F.array().cast("array<struct<name:string,r:int,c:int>>"))
+    frame = F.concat(det("button", 10, n % 3 == 0), det("arm", 30, n % 2 == 0), det("red_cube", 12, F.col("value") > 20))
+    x = episodes(spark, d).withColumn("f", frame).select("ep", "step", F.collect_list("f").over(w.rowsBetween(-3, 0)).alias("now"), F.collect_list("f").over(w.rowsBetween(-5, -4)).alias("old"))
+    at, old, now = (F.lit(10), F.lit(12)), F.col("old"), F.col("now")
+    return x.select("ep", "step", evidence.pressed(now, F.lit(10), F.lit(10)).alias("pressed"), evidence.absent(now, *at, "cube").alias("absent"), evidence.lifted(old, now, *at, "cube").alias("lifted"), evidence.placed(now, *at, "cube", True).alias("rested"), evidence.placed(now, *at, "cube", False).alias("put"), evidence.visited(old, now, *at).alias("visited"))
+
+
+@query("""select conv_id, turn, count(*) filter (lower(coalesce(text, '')) like '%an%') over (partition by conv_id order by turn) as n from conversations""")
+def bank_counts(spark, d):
+    lines = ordered.bank(table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), ["conv_id"], ["turn"], "text", None, True)
+    return lines.select("conv_id", "turn", evidence.counted(F.col("bank"), "an").alias("n"))
+
+
+@query(f"""with recursive {EV}, e as (select ep, step * 9 as step, value as d from ev),
+x as (select *, lag(d) over (partition by ep order by step) as b, row_number() over (partition by ep order by step) as i from e),
+m as (select ep, i, step, case when d < 20 then [step] else []::bigint[] end as a from x where i = 1
+  union all select x.ep, x.i, x.step, case when x.d < 20 and x.b >= 20 and (len(a) = 0 or x.step - a[-1] > 24) then list_append(a, x.step) else a end from m join x on x.ep = m.ep and x.i = m.i + 1),
+g as (select *, list_sort(list_transform(range(1, len(a)), lambda j: a[j + 1] - a[j])) as gaps from m),
+f as (select ep, step, len(a)::bigint as arrivals, coalesce(len(a) >= 3 and a[-1] + gaps[len(gaps) // 2 + 1] * (4 - len(a)) - step <= 28, false) as fires from g)
+select *, bool_or(fires) over (partition by ep order by step) as latched from f""")
+def press_triggers(spark, d):
+    e = episodes(spark, d).select("ep", (F.col("step") * 9).alias("step"), F.col("value").alias("d"))
+    return evidence.press_trigger(e, "ep", "step", "d", 4).select("ep", "step", "arrivals", "fires", "latched")
+
+
+@query(f"""with recursive {EV}, p as (select ep, step as ord, sg as kind from ev where step < 12), s as (select ep, step as pos, sg as kind, row_number() over (partition by ep order by step) as n from ev where step % 2 = 1 and step < 8),
+c as (select ep, max(n) as n from s group by ep),
+m as (select ep, -1::bigint as ord, 1::bigint as nxt, null::bigint as stage from (select distinct ep from p)
+  union all select p.ep, p.ord, case when s.kind = p.kind then nxt + 1 else nxt end, case when s.kind = p.kind then s.pos end from m join p on p.ep = m.ep and p.ord = m.ord + 1 left join s on s.ep = p.ep and s.n = m.nxt),
+l as (select ep, max(nxt) as nxt from m group by ep)
+select m.ep, ord, stage, l.nxt > coalesce(c.n, 0) as complete from m join l using (ep) left join c using (ep) where ord >= 0""")
+def stage_bindings(spark, d):
+    e = episodes(spark, d)
+    plan = e.filter("step < 12").select("ep", F.col("step").alias("ord"), F.col("sg").alias("kind"))
+    return grouped.bind_stages(plan, e.filter("step % 2 = 1 and step < 8").select("ep", F.col("step").alias("pos"), F.col("sg").alias("kind")), "ep")
+
+
 # Sources and sinks
 
 @query("""select name from (select 'part_' || lpad(p_partkey::varchar, 4, '0') as name, row_number() over (order by p_partkey) - 1 as nth from part where p_partkey < 100) where nth in (3, 7, 500)""")

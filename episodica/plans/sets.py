@@ -265,7 +265,7 @@ def derivability(spark, d):
 @query()
 def greedy_match(spark, d):
     t = turns(spark, d).select("ep", (F.col("turn") * 16).alias("t"), F.col("turn").alias("ord"), F.col("role").alias("line"))
-    return grouped.pair_lines(t.filter("ord % 2 = 0"), t, "ep")
+    return grouped.pair_lines(t.filter("ord % 2 = 0"), t, "ep").drop("errors", "met")
 
 
 @query()

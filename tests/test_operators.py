@@ -388,3 +388,30 @@ def test_windows_at_their_edges(spark):
     rows = spark.createDataFrame([(1, t, f"x{t}") for t in (0, 15, 16, 23, 24, 39, 40)] + [(2, 30, "y")], "ep int, t bigint, v string")
     found = {r.last: [x.v for x in r.before] for r in ordered.window_before(ticks, rows, "ep", "last", "t", ["v"]).collect()}
     assert found == {0: [], 16: ["x0", "x15"], 40: ["x24", "x39"]}
+
+
+def test_pairs_tell_errors_and_needs(spark):
+    a = spark.createDataFrame([(1, 0, 0, "completed: put at <10, 10>"), (1, 32, 0, "completed: put at <10, 10>"), (1, 64, 0, "seen <1, 1>")], "ep int, t int, ord int, line string")
+    b = spark.createDataFrame([(1, 40, 0, "completed: put at <13, 14>"), (1, 64, 0, "seen <1, 1>")], "ep int, t int, ord int, line string")
+    pairs = grouped.pair_lines(a, b, "ep")
+    assert [(r.t_truth, r.t_said, r.errors, r.met) for r in pairs.orderBy("t_truth").collect()] == [(0, 40, [5.0], False), (32, None, [], True), (64, 64, [0.0], None)]
+    r = quality.pair_report(pairs, ["ep"]).first()
+    assert (r.lines, r.median_lag, r.median_error, r.completions, r.met) == (3, 1.0, 2.5, 2, 1)
+
+
+def test_greedy_match_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(0)
+    side = lambda: [(e, rnd.randrange(0, 96, 16), k, f"put {rnd.choice('ab')} at <{rnd.randrange(40)}, {rnd.randrange(40)}>") for e in range(6) for k in range(12)]
+    a, b = side(), side()
+    schema = "ep int, t int, ord int, line string"
+    got = [(r.ep, r.t_truth, r.t_said) for r in grouped.pair_lines(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "ep").collect()]
+    want, key = [], lambda x: (x[0], x[1], x[2])
+    used = set()
+    for e, t, _, line in sorted(a, key=key):
+        at = list(map(int, re.findall(r"\d+", line)))
+        hit = next((x for x in sorted(b, key=key) if x not in used and x[0] == e and x[3][:5] == line[:5] and all(abs(int(u) - v) <= 12 for u, v in zip(re.findall(r"\d+", x[3]), at))), None)
+        used.add(hit)
+        want.append((e, t, hit[1] if hit else None))
+    assert sorted(got, key=str) == sorted(want, key=str)
