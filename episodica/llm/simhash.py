@@ -17,7 +17,9 @@ collected; each round is cut in the reliable checkpoint folder.
 Text: A-Z lowered, words separated by ASCII white space, shingles of 4 words
 joined by a blank, repeats included; fewer words make one shingle, none the
 fingerprint zero, which links like any other. Nulls are empty texts. A null
-document id never names a component unless all its ids are null.
+document id never names a component unless all its ids are null. Every row has
+a row of the result, however often it is repeated; an empty table gives an
+empty one. Long texts are hashed in pieces of shingles.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, col, cut, runs, spark_schema, table, written
+from .common import arrow_schema, batch_of, col, cut, free_name, runs, spark_schema, table, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
 #: (first bit, bits besides the 15 of the code) of each segment.
@@ -206,14 +208,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", fp: str = "fp", component: str = "component_id") -> DataFrame:
-    """(key, fp, component) of every row: the least key among all linked ones."""
-    prints = written(fingerprints(docs.select(col(docs, key), col(docs, text)), text, fp))
-    nodes = prints.groupBy(fp).agg(F.min(col(prints, key)).alias("least_"))
-    roots = components(links(nodes.select(fp), fp))
-    of = nodes.join(roots, nodes[fp] == roots["node"], "left").select(fp, "least_", F.coalesce("root", fp).alias("root_"))
+    """(key, fp, component) of every row: the least key among all linked ones.
+
+    A result whose name the key has already gets underscores after it.
+    """
+    own = docs.select(col(docs, key).alias("k"), col(docs, text).alias("t"))
+    prints = written(fingerprints(own, "t", "print"))
+    nodes = prints.groupBy("print").agg(F.min("k").alias("least"))
+    roots = components(links(nodes.select("print"), "print"))
+    of = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("top"))
     of = written(of)
-    by_root = of.groupBy("root_").agg(F.min("least_").alias(component))
-    return prints.join(of.join(by_root, "root_").select(fp, component), fp).select(key, fp, component)
+    by_root = of.groupBy("top").agg(F.min("least").alias("name"))
+    found = prints.join(of.join(by_root, "top").select("print", "name"), "print")
+    out = found.select(F.col("k").alias(key))
+    fp = free_name(out, fp)
+    component = free_name(out.withColumn(fp, F.lit(0)), component)
+    return found.select(F.col("k").alias(key), F.col("print").alias(fp), F.col("name").alias(component))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
