@@ -33,7 +33,7 @@ from .pattern import PATTERN, Distinct, Powers, Splitter, joined
 
 LONG, DEPTH, BLOCK = 256, 16, 20_000
 #: Entries of a worker's memos of words and of runs of ids.
-WORDS, RUNS = 700_000, 500_000
+WORDS, RUNS = 400_000, 250_000
 #: Texts that are taken at a time, at most.
 ROWS = 2048
 

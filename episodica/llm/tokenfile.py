@@ -33,7 +33,7 @@ from .pattern import Splitter, joined
 
 MAGIC, EVERY, BLOCK = b"EFTOK001", 256, 512
 #: Entries of a worker's memo of words; texts that are encoded at a time, at most.
-WORDS, ROWS = 700_000, 2048
+WORDS, ROWS = 500_000, 2048
 #: Characters that \\s matches in some libraries only; words with no white space but a blank at their start.
 _UNCLEAR = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _PLAIN = re.compile(r" ?\S+\Z")
