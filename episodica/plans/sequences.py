@@ -159,10 +159,13 @@ from t left join ev e on e.ep = t.ep and e.step > t.last and e.step <= t."end" g
 def event_windows(spark, d):
     e = episodes(spark, d)
     lengths = e.groupBy("ep").agg(F.count("*").alias("n")).withColumn("dend", F.floor(F.col("n") / 3).cast("bigint"))
-    t = ordered.tick_grid(lengths, "ep", "n", "dend", 8).withColumnRenamed("ep", "k")
-    inside = (F.col("k") == F.col("ep")) & (F.col("step") > F.col("last")) & (F.col("step") <= F.col("end"))
-    counted = t.join(e.select("ep", "step"), inside, "left").groupBy("k", "last", "end").agg(F.count("step").alias("n_events"))
-    return counted.select(F.col("k").alias("ep"), F.col("last").cast("bigint").alias("last"), "end", "n_events", ordered.in_window_samples(F.col("last"), F.col("end")).alias("samples"))
+    t = ordered.tick_grid(lengths, "ep", "n", "dend", 8)
+    # Each step meets the first tick end at or after it, so no tick is paired with other steps of its episode.
+    ends = t.select("ep", F.col("end").alias("at"))
+    met = ordered.asof(e.select("ep", (F.col("step") - 1).alias("at")), ends, "ep", "at", [], "forward")
+    counted = met.groupBy("ep", F.col("at_found").alias("end")).agg(F.count("*").alias("n_"))
+    out = t.join(counted, ["ep", "end"], "left").withColumn("n_events", F.coalesce("n_", F.lit(0)))
+    return out.select("ep", F.col("last").cast("bigint").alias("last"), "end", "n_events", ordered.in_window_samples(F.col("last"), F.col("end")).alias("samples"))
 
 
 @query(f"""with {TURNS} select ep, turn, coalesce(list(role) over (partition by ep order by turn, text rows between 8 preceding and 1 preceding), []) as bank,
