@@ -14,6 +14,8 @@ refutes it, and claims. The rules, in this order:
    for `grace` ticks claims by itself, and pending claims go.
 
 After `phantom` refutations in a row, evidence up to its step counts no more.
+A tick completes one plan step at most, since `fired` belongs to the step that
+the tick began with; further claims of it wait for the next tick.
 The same function serves batch (grouped) and stream (stateful).
 """
 
