@@ -326,7 +326,7 @@ def test_snapping_takes_every_row(spark):
     assert got == {1: (12, 9), 2: (12, 9), 3: (100, 0), 4: (1, 1), 5: (1, 1), 6: (None, 1)}
     folder = "/root/testdata/sf0.001"
     ids = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
-    assert {r.id for r in registry.QUERIES["nearest_snap_all"](spark, folder).collect()} == {i for i in ids if i % 5 != 1}
+    assert {r.id for r in registry.QUERIES["nearest_snap"](spark, folder).collect()} == {i for i in ids if i % 5 != 1}
 
 
 def test_location_gates(spark):
