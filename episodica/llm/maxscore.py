@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, col, table
 
 SCALE, SHARD, QUERIES = 64, 8192, 1024
-#: Rows that are scored before the score to beat is looked at again; terms that are probed at a time; a term is a list
+#: Rows of the first two pieces, after which each is as long as all before it; terms that are probed at a time; a term is a list
 #: if fewer than one in SPARSE rows have it.
 PIECE, STEP, SPARSE = 1024, 8, 4
 
@@ -67,7 +67,7 @@ def _packed(df: DataFrame, block: str, size: int) -> DataFrame:
 
 
 class Shard:
-    """Postings of one shard, by term, in pieces of PIECE rows.
+    """Postings of one shard, by term, in pieces of PIECE rows and more.
 
     A term that few rows have is a list of rows and weights; the others are
     arrays of the weights of all rows.
@@ -78,22 +78,24 @@ class Shard:
         self.ids, whole = ids[order], np.ascontiguousarray(weights[order].T)
         self.low, self.high = whole.min(axis=1), whole.max(axis=1)
         self.listed = np.count_nonzero(whole, axis=1) * SPARSE < whole.shape[1]
-        self.pieces = []
-        for at in range(0, len(ids), PIECE):
-            part = whole[:, at : at + PIECE]
+        self.pieces, at = [], 0
+        while at < len(ids):
+            part = np.ascontiguousarray(whole[:, at : at + max(PIECE, at)])
             lists = {t: (rows := np.flatnonzero(part[t]), part[t, rows]) for t in np.flatnonzero(self.listed).tolist()}
             # Sums of up to 2**53 are exact as doubles; beyond that, integers are used.
             self.pieces.append((at, part, part.astype(np.float64), lists))
+            at += part.shape[1]
 
     def _all(self, piece, terms: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
         """Scores of all rows of a piece by the terms: arrays are multiplied, lists are walked."""
         _, whole, fast, lists = piece
         held = fast if exact else whole
-        dense = terms[~self.listed[terms]]
-        score = query[dense].astype(held.dtype) @ held[dense]
-        for t in terms[self.listed[terms]].tolist():
+        walked = self.listed[terms] if lists else None
+        dense = terms if walked is None else terms[~walked]
+        score = query[dense] @ held[dense]
+        for t in terms[walked].tolist() if walked is not None else ():
             rows, weights = lists[t]
-            score[rows] += (query[t] * weights).astype(held.dtype)
+            score[rows] += query[t] * weights
         return score
 
     def top(self, key: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,23 +110,32 @@ class Shard:
         order = np.argsort(least - best, kind="stable")
         # What a row can reach that has the least of the first e terms: falls with e.
         reach = np.concatenate([[0], np.cumsum(least[order])]) + np.concatenate([np.cumsum(best[order][::-1])[::-1], [0]])
-        beat, scores, rows = None, np.zeros(0, np.float64 if exact else np.int64), np.zeros(0, np.int64)
+        rest = best[order][::-1].cumsum()[::-1].tolist() + [0]
+        kind = np.float64 if exact else np.int64
+        q = q.astype(kind)
+        lo, hi = (int(np.searchsorted(self.ids, key, side)) for side in ("left", "right"))
+        beat, scores, rows = None, np.zeros(0, kind), np.zeros(0, np.int64)
         for piece in self.pieces:
+            start, held = piece[0], piece[2] if exact else piece[1]
             # As the score to beat rises, more of the terms can't lift a row over it on their own.
             e = n if beat is None else min(n, int(np.searchsorted(-reach, -beat, "right")))
-            score = self._all(piece, order[:e], query, exact)
-            own = self.ids[piece[0] : piece[0] + len(score)]
-            alive = np.flatnonzero(own != key)
+            score = self._all(piece, order[:e], q, exact)
+            keep = np.ones(len(score), bool) if beat is None else score + rest[e] >= beat
+            keep[max(lo - start, 0) : max(hi - start, 0)] = False
+            alive = np.flatnonzero(keep)
             score = score[alive]
+            # The other terms are probed, the widest first, for rows that still compete.
             for at in range(e, n, STEP):
-                keep = score + best[order[at:]].sum() >= beat
-                alive, score = alive[keep], score[keep]
                 if not len(alive):
                     break
                 part = order[at : at + STEP]
-                held = piece[2] if exact else piece[1]
-                score = score + q[part].astype(held.dtype) @ held[part][:, alive]
-            scores, rows = np.append(scores, score), np.append(rows, alive + piece[0])
+                # While most rows compete, a product over all of them is cheaper than picking them out.
+                many = 2 * len(alive) > held.shape[1]
+                score = score + ((q[part] @ held[part])[alive] if many else q[part] @ held[part[:, None], alive])
+                if beat is not None:
+                    keep = score + rest[min(at + STEP, n)] >= beat
+                    alive, score = alive[keep], score[keep]
+            scores, rows = np.append(scores, score), np.append(rows, alive + start)
             if len(scores) >= k:
                 first = np.lexsort((rows, -scores))[:k]
                 scores, rows = scores[first], rows[first]
