@@ -11,8 +11,9 @@ code). The home fingerprints of an anchor are compared with all its visitors.
 
 Equal fingerprints are one row before any of this. An anchor gives a spanning
 forest of its links, not all pairs, where it has more links than rows, and
-large-star / small-star rounds turn the links into components. Nothing is
-collected; each round is cut in the reliable checkpoint folder.
+large-star / small-star rounds turn the links into components, with the edges
+of a hub dealt to several parts. Nothing is collected; each round is cut in the
+reliable checkpoint folder.
 
 Text: A-Z lowered, words separated by ASCII white space, shingles of 4 words
 joined by a blank, repeats included; fewer words make one shingle, none the
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_of, col, cut, free_name, runs, spark_schema, table, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
+#: Parts that the edges of one node are dealt to.
+SALTS = 16
 #: (first bit, bits besides the 15 of the code) of each segment.
 SEGMENTS = ((0, 6), (21, 6), (42, 7))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -188,6 +191,13 @@ def _runs_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(a), np.concatenate(b)
 
 
+def _told(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    """Edges with m, what least has for their node; the edges of one node are dealt to SALTS parts by its neighbours."""
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return dealt.join(least.select("*", salts), [node, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b) but the roots; the root is the component's least node."""
     edges, seen = cut(edges), None
@@ -195,10 +205,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: all larger neighbours of a node get its least neighbour.
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        large = _told(both, least, "a", "b").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
         # Small star: a node and its smaller neighbours get the least of those.
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("b", "a", "m")
+        small = _told(large, least, "b", "a").select("b", "a", "m")
         small = small.select(F.col("m").alias("a"), "b").union(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")))
         edges = cut(small.filter("a <> b").distinct())
         state = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
