@@ -30,7 +30,7 @@ from .words import Hashes, grams, inside, owners, starts, winnow
 
 WINDOW, K = 13, 5
 #: Bytes of item texts that are sent to every task; beyond, fingerprints are joined.
-BOUND = 32 << 20
+BOUND = 8 << 20
 #: Bytes that separate words, as blanks; A-Z as a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
