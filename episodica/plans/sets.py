@@ -262,13 +262,23 @@ def derivability(spark, d):
     return e.groupingSets(sets, "ep", "sg").agg(F.count("*").alias("n"), F.count_if("seen").alias("seen"), F.count_if("known").alias("known"), F.grouping_id().cast("bigint").alias("level"))
 
 
-@query()
+@query(f"""with recursive {TURNS}, tr as (select ep, turn * 16 as t, lower(role) as form, row_number() over (partition by ep order by turn) as i from tu where turn % 2 = 0),
+sd as (select ep, list(struct_pack(t := turn * 16, form := lower(role)) order by turn) as l from tu group by ep),
+m as (select ep, 0::bigint as i, []::bigint[] as used, null::bigint as t_truth, null::bigint as t_said from sd
+  union all select ep, i, case when hit is null then used else list_append(used, hit) end, t, l[hit].t
+  from (select tr.ep, tr.i, m.used, tr.t, l, list_position(list_transform(l, lambda x, k: x.form = tr.form and not list_contains(m.used, k)), true) as hit from m join tr on tr.ep = m.ep and tr.i = m.i + 1 join sd on sd.ep = m.ep))
+select ep, t_truth, t_said, floor((t_said - t_truth) / 16.0)::bigint as lag from m where i > 0""")
 def greedy_match(spark, d):
     t = turns(spark, d).select("ep", (F.col("turn") * 16).alias("t"), F.col("turn").alias("ord"), F.col("role").alias("line"))
     return grouped.pair_lines(t.filter("ord % 2 = 0"), t, "ep").drop("errors", "met")
 
 
-@query()
+@query(f"""with recursive {PT}, pr as (select x.label, x.id::varchar as a, y.id as b, (x.r - y.r) ** 2 + (x.c - y.c) ** 2 as q from pt x join pt y on y.label = x.label where x.id % 2 = 0 and y.id % 2 = 1 and (x.r - y.r) ** 2 + (x.c - y.c) ** 2 <= 400),
+nb as (select *, row_number() over (partition by label order by q, a, b) as i from pr),
+m as (select label, 0::bigint as i, []::varchar[] as ua, []::bigint[] as ub, null::varchar as a, null::bigint as b, null::double as q, false as ok from (select distinct label from nb)
+  union all select label, i, case when ok then list_append(ua, a) else ua end, case when ok then list_append(ub, b) else ub end, a, b, q, ok
+  from (select nb.label, nb.i, m.ua, m.ub, nb.a, nb.b, nb.q, not list_contains(m.ua, nb.a) and not list_contains(m.ub, nb.b) as ok from m join nb on nb.label = m.label and nb.i = m.i + 1))
+select label, a, b, sqrt(q) as d from m where ok""")
 def assign_points(spark, d):
     p = points(spark, d)
     left = p.filter("id % 2 = 0").select("label", F.col("id").cast("string").alias("name"), "r", "c")
