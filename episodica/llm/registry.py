@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
+from . import bpe, decontaminate, importance, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokenfile.op9_token_files,
+    "op11_importance_resample": importance.op11_importance_resample,
 }
 
 #: Only where DuckDB can express the whole query.
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_maxscore": maxscore.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
+    "op11_importance_resample": importance.OP11_SQL,
 }
