@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, importance, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
+from . import bpe, chunkbpe, decontaminate, importance, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_files": tokenfile.op9_token_files,
     "op11_importance_resample": importance.op11_importance_resample,
+    "op12_chunk_bpe": chunkbpe.op12_chunk_bpe,
 }
 
 #: Only where DuckDB can express the whole query.
