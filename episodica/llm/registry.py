@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chunkbpe, decontaminate, importance, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
+from . import alignment, bpe, chunkbpe, decontaminate, importance, langid, linededup, maxscore, pii, simhash, substrings, tokenfile, warc
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_token_files": tokenfile.op9_token_files,
     "op11_importance_resample": importance.op11_importance_resample,
     "op12_chunk_bpe": chunkbpe.op12_chunk_bpe,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 #: Only where DuckDB can express the whole query.
