@@ -160,7 +160,8 @@ class ChunkCodec:
         gap_a, gap_b = np.concatenate([before, last]), np.concatenate([a, edges[1:]])
         open_ = gap_b > gap_a
         gap_a, gap_b = gap_a[open_], gap_b[open_]
-        repaired = self.encoder.encode([whole[x:y] for x, y in zip(gap_a.tolist(), gap_b.tolist())])
+        gaps = [whole[x:y] for x, y in zip(gap_a.tolist(), gap_b.tolist())]
+        repaired = self.encoder.encode(gaps) if gaps else []
         from_ = np.searchsorted(token_keys, (code << 32) + at_byte[a] - at_byte[begin], "right")
         to = np.searchsorted(token_keys, (code << 32) + at_byte[b] - at_byte[begin], "right")
         kept = [flat[x:y] for x, y in zip((from_ * self.width).tolist(), (to * self.width).tolist())]
