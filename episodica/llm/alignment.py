@@ -177,7 +177,7 @@ class Block:
     """Unit numbers of the documents of a block, and its units' pairs of ids."""
 
     def __init__(self):
-        self.unit_of, self.units, self.bytes = {}, [], 0
+        self.unit_of, self.units, self.bytes, self.rows = {}, [], 0, 0
         self.times = np.zeros(0, np.int64)
 
     def numbers(self, names: list[str], known: list[tuple]) -> np.ndarray:
@@ -244,10 +244,10 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, text: str, block: int, g
             if not texts:
                 continue
             size = sum(len(t or "") for t in texts)
-            if now.bytes and now.bytes + size > block:
+            if now.rows and now.bytes + size > block:
                 yield closed()
                 nth, now = nth + 1, Block()
-            now.bytes += size
+            now.bytes, now.rows = now.bytes + size, now.rows + len(texts)
             some = [k for k, t in enumerate(texts) if t]
             rows: list = [(0, 0, 0, 0, "", "", b"")] * len(texts)
             if some:
@@ -268,7 +268,7 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, text: str, block: int, g
             own = [b.column(k).cast(schema.field(j).type) for j, k in enumerate(others)]
             results = found[:6] if groups else found[:5]
             yield batch_of(schema, *own, *results, [f"{part}-{nth}"] * n, found[6], *[pa.nulls(n, schema.field(n_own + len(results) + k).type) for k in (2, 3, 4)])
-        if now.bytes or nth:
+        if now.rows:
             yield closed()
 
     return docs.mapInArrow(run, spark_shape)
