@@ -127,13 +127,18 @@ def color_quotas(spark, d):
     return _instructions(spark, d).select("id", F.array_join(asked, ",").alias("quota"))
 
 
-@query("""with h as (select event_id, case event_id % 4 when 0 then 'Pick the second highlighted cube at <' || (event_id % 60) || ', 7>, which is red' when 1 then 'the highlighted cube at <3, ' || (event_id % 60) || '>' when 2 then 'a cube at <1, 2>' else 'fourth highlighted cube at < 9 , 8 >, which is Blue' end as t from events)
-select event_id, case event_id % 4 when 0 then 'second' when 3 then 'fourth' end as ordinal, case event_id % 4 when 0 then event_id % 60 when 1 then 3 when 3 then 9 end::int as r,
-  case event_id % 4 when 0 then 7 when 1 then event_id % 60 when 3 then 8 end::int as c, case event_id % 4 when 0 then 'red' when 3 then 'blue' end as color, case event_id % 4 when 0 then 2 when 3 then 4 end::int as nth from h""")
+@query("""with h as (select event_id, event_type as e, (props->>'k')::int as k, floor(value)::int as v,
+  case event_type when 'view' then 'Pick the second' when 'click' then 'a' when 'error' then 'fourth' else 'Look: first of the' end || ' highlighted cube at <' || (props->>'k') || ', ' || floor(value)::int || '>'
+    || case when value < 50 then ', which is ' || event_type || ' now' else '; ' || event_type end as t from events)
+select event_id, case e when 'view' then 'second' when 'error' then 'fourth' end as ordinal, k as r, v as c, case when t like '%which is%' then e end as color,
+  case e when 'view' then 2 when 'click' then null when 'error' then 4 else 1 end::int as nth from h""")
 def highlights(spark, d):
-    n = F.col("event_id")
-    t = F.when(n % 4 == 0, _say("Pick the second highlighted cube at <", n % 60, ", 7>, which is red")).when(n % 4 == 1, _say("the highlighted cube at <3, ", n % 60, ">")).when(n % 4 == 2, "a cube at <1, 2>").otherwise("fourth highlighted cube at < 9 , 8 >, which is Blue")
-    return table(spark, d, "events").select(n, t.alias("t")).select(n, T.highlight(F.col("t")).alias("h"), "t").select(n, "h.*", T.ordinal(F.col("t")).alias("nth"))
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    head = F.when(kind == "view", "Pick the second").when(kind == "click", "a").when(kind == "error", "fourth").otherwise("Look: first of the")
+    tail = F.when(F.col("value") < 50, _say(", which is ", kind, " now")).otherwise(_say("; ", kind))
+    t = F.concat(head, F.lit(" highlighted cube at <"), k, F.lit(", "), F.floor("value").cast("string"), F.lit(">"), tail)
+    x = table(spark, d, "events").select("event_id", t.alias("t"))
+    return x.select("event_id", T.highlight(F.col("t")).alias("h"), "t").select("event_id", "h.*", T.ordinal(F.col("t")).alias("nth"))
 
 
 @query("""select p_partkey as id, case p_type when 'ECONOMY' then 'cheap one' else replace(replace(p_type, ' ', '_') || '_x', '_', ' ') end as shown from part""")
@@ -197,10 +202,13 @@ def fallback_tokens(spark, d):
     return table(spark, d, "events").select(n, T.event_text(online, recorded).alias("sg")).filter("sg is not null")
 
 
-@query("""select p_partkey as id, case when p_size > 0 then 'cube_' || p_size end as name from part""")
+@query("""with x as (select conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '[.,\\n]')) as s, generate_subscripts(string_split_regex(coalesce(text, ''), '[.,\\n]'), 1)::bigint as n from conversations),
+w as (select *, list_filter(string_split_regex(split_part(s, 'at <', 1), '\\s+'), lambda v: v <> '') as ws from x),
+f as (select *, list_min(list_filter(range(1, len(ws)), lambda i: ws[i] in ('the', 'a', 'another') and len(list_filter(ws[i:], lambda v: regexp_matches(v, '[^\\w\\-]'))) = 0)) as i from w)
+select conv_id, turn, n, coalesce(array_to_string(ws[i + 1:], '_'), 'object') as name from f""")
 def object_names(spark, d):
-    t = _say("pick up the cube ", F.col("p_size"), " at <1, 2> and go")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.object_name(t).alias("name"))
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.,\n]")).alias("n", "s"))
+    return said.select("conv_id", "turn", (F.col("n") + 1).cast("bigint").alias("n"), T.object_name(F.col("s")).alias("name"))
 
 
 @query("""select conv_id, turn, 'system:be brief|user:' || coalesce(text, '') || '|assistant:' || role as m from conversations""")
