@@ -102,7 +102,7 @@ class Motion:
 
     def pick(self, a: int, what: str) -> int | None:
         g = self._fresh_grasp(a)
-        return None if g is None else _first((self.z >= self.z[g] + self.b.rise) & ~self.wide, g)
+        return None if g is None else _first((self.z >= self.z[g] + self.b.rise) & (self.q < self.b.open), g)
 
     def place(self, a: int, what: str) -> int | None:
         # What is held already was grasped before: since the hand closed, or within the look-back.

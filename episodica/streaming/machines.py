@@ -56,6 +56,10 @@ class Memory:
     def rows(self, name: str) -> list[tuple]:
         return self._lists.setdefault(name, [])
 
+    def tail(self, name: str, n: int) -> list[tuple]:
+        """The last n rows; those of this trigger need no reading."""
+        return self.rows(name)[-n:] if n else []
+
     def put(self, name: str, key: Any, *row: Any) -> None:
         self._maps.setdefault(name, {})[key] = row
 
@@ -98,6 +102,10 @@ class Kept(Memory):
             self._lists[name] = [*map(tuple, self.of_lists[name].get()), *self.added.get(name, [])]
         return self._lists[name]
 
+    def tail(self, name: str, n: int) -> list[tuple]:
+        new = self.added.get(name, [])
+        return new[len(new) - n :] if n <= len(new) else super().tail(name, n)
+
     def put(self, name: str, key: Any, *row: Any) -> None:
         self.items(name)[key] = row
         self.placed.setdefault(name, set()).add(key)

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from episodica.streaming import claims
+from episodica.streaming import claims, machines
 
 SCHEMA = "ep string, plan array<string>, tick int, step int, ord int, fired int, refuted boolean, text string"
 
@@ -35,10 +35,12 @@ def test_stream_equals_batch(spark, tmp_path):
     lines = ["completed: pick a", None, "x", "x", "completed: place b", None]
     rows = [(f"e{e}", ["pick a", "place b"], k, 10 * k + 10, 0, 10 * k + 5 if (k + e) % 2 else None, (k + e) % 5 == 0, lines[(k + e) % 6]) for e in range(4) for k in range(8)]
     df = spark.createDataFrame(rows, SCHEMA)
+    whole = claims.whole_ticks(df)
+    spark.conf.set(*machines.STORE)
     source, target, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
     for part in range(2):  # two triggers, in order
-        df.filter((F.col("tick") >= 4 * part) & (F.col("tick") < 4 * part + 4)).coalesce(1).write.mode("append").parquet(source)
-        query = claims.stream(spark.readStream.schema(SCHEMA).parquet(source)).writeStream.format("parquet").option("path", target).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
+        whole.filter((F.col("tick") >= 4 * part) & (F.col("tick") < 4 * part + 4)).coalesce(1).write.mode("append").parquet(source)
+        query = claims.stream(spark.readStream.schema(whole.schema).parquet(source)).writeStream.format("parquet").option("path", target).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination(120)
     key = lambda r: json.dumps(r.asDict(), sort_keys=True)
     assert sorted(map(key, spark.read.parquet(target).collect())) == sorted(map(key, claims.batch(df).collect()))
