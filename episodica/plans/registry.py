@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules, sequences, serving, sets
+from . import rules, sequences, serving, sets, tracking
 
-QUERIES = {**sequences.QUERIES, **sets.QUERIES, **rules.QUERIES, **serving.QUERIES}
-ORACLE_SQL = {**sequences.SQL, **sets.SQL, **rules.SQL, **serving.SQL}
+QUERIES = {**sequences.QUERIES, **sets.QUERIES, **rules.QUERIES, **serving.QUERIES, **tracking.QUERIES}
+ORACLE_SQL = {**sequences.SQL, **sets.SQL, **rules.SQL, **serving.SQL, **tracking.SQL}
