@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules, sequences, serving, sets, tracking
+from . import rules, sequences, serving, sets, stores, tracking
 
-QUERIES = {**sequences.QUERIES, **sets.QUERIES, **rules.QUERIES, **serving.QUERIES, **tracking.QUERIES}
-ORACLE_SQL = {**sequences.SQL, **sets.SQL, **rules.SQL, **serving.SQL, **tracking.SQL}
+QUERIES = {**sequences.QUERIES, **sets.QUERIES, **rules.QUERIES, **serving.QUERIES, **tracking.QUERIES, **stores.QUERIES}
+ORACLE_SQL = {**sequences.SQL, **sets.SQL, **rules.SQL, **serving.SQL, **tracking.SQL, **stores.SQL}
