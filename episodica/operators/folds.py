@@ -59,12 +59,6 @@ def rests(rows: Column, still: float, gap: int, least: int) -> Column:
     return F.filter(F.aggregate(rows, start, step, done), lambda x: x["end"] - x["start"] >= least)
 
 
-def distinct_route(points: Column, radius: float) -> Column:
-    """Points more than the radius from all kept before."""
-    far = lambda kept, p: F.forall(kept, lambda k: (k["r"] - p["r"]) * (k["r"] - p["r"]) + (k["c"] - p["c"]) * (k["c"] - p["c"]) > radius * radius)
-    return F.aggregate(points, F.slice(points, 1, 0), lambda kept, p: F.when(far(kept, p), F.array_append(kept, p)).otherwise(kept))
-
-
 def upper_median(values: Column) -> Column:
     """The element at the middle of the sorted values, the upper one of two; null if there are none."""
     return F.when(F.size(values) > 0, F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int")))
@@ -86,17 +80,3 @@ def drops(segments: Column, pads: Column, same: float = 14, reach: float = 20) -
 def kth_pad(found: Column, k: Column) -> Column:
     """The pad of the k-th drop (from 0) that has one; null if there are fewer."""
     return F.get(F.filter(found, lambda d: d["pad"].isNotNull()), k)["pad"]
-
-
-def class_clusters(rows: Column, side: float = 18) -> Column:
-    """Clusters of array<struct<name, r, c>>: a place joins the first one of its name whose anchor is less than `side` away in both coordinates."""
-    state = "array<struct<name:string,r:double,c:double,n:int>>"
-    fits = lambda k, p: (k["name"] == p["name"]) & (F.abs(k["r"] - p["r"]) < side) & (F.abs(k["c"] - p["c"]) < side)
-
-    def step(acc, p):
-        at = F.array_position(F.transform(acc, lambda k: fits(k, p)), True)
-        grown = F.transform(acc, lambda k, i: F.struct(k["name"].alias("name"), k["r"].alias("r"), k["c"].alias("c"), (k["n"] + F.when(i + 1 == at, 1).otherwise(0)).cast("int").alias("n")))
-        new = F.struct(p["name"].alias("name"), p["r"].cast("double").alias("r"), p["c"].cast("double").alias("c"), F.lit(1).alias("n"))
-        return F.when(at > 0, grown).otherwise(F.array_append(acc, new))
-
-    return F.aggregate(rows, F.array().cast(state), step)

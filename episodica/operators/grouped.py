@@ -6,7 +6,6 @@ expresses; an episode's rows are bounded, so a group fits in a task.
 
 from __future__ import annotations
 
-import heapq
 from collections import deque
 from itertools import product
 
@@ -138,71 +137,6 @@ def state_quality(truth: DataFrame, said: DataFrame, key: str, tolerance: int =
     return both.applyInPandas(run, f"{key} {kind}, precision double, recall double, final_recall double, divergence bigint")
 
 
-def _nearest_first(here, there, radius: float) -> list[tuple]:
-    """(name, ordinal, d) of greedy pairs, from (name, r, c) and (ordinal, r, c).
-
-    Points of one place are one node, and only places in neighbouring cells
-    are compared, so neither copies nor far points multiply.
-    """
-    size = radius or 1
-    names, ords, cells, near = {}, {}, {}, {}
-    for held, points in ((names, here), (ords, there)):
-        for n, r, c in points:
-            if r == r and c == c and r is not None and c is not None:
-                held.setdefault((r, c), []).append(n)
-        for at in held.values():
-            heapq.heapify(at)
-    for r, c in ords:
-        cells.setdefault((r // size, c // size), []).append((r, c))
-    for r, c in names:
-        for i, j in product((-1, 0, 1), repeat=2):
-            for u, v in cells.get((r // size + i, c // size + j), ()):
-                d = ((r - u) ** 2 + (c - v) ** 2) ** 0.5
-                if d <= radius:
-                    near.setdefault(d, {}).setdefault((r, c), []).append((u, v))
-    out, used_names, used_ords = [], set(), set()
-
-    def first(held: list, used: set):
-        while held and held[0] in used:
-            heapq.heappop(held)
-        return held[0] if held else None
-
-    for d in sorted(near):
-        # At one distance names go in order, and each takes the smallest ordinal; a place without partners left is done.
-        queue = [(n, at) for at in near[d] if (n := first(names[at], used_names)) is not None]
-        heapq.heapify(queue)
-        while queue:
-            n, places = queue[0][0], []
-            while queue and queue[0][0] == n:  # a name may stand in several places
-                places.append(heapq.heappop(queue)[1])
-            free = {at: [o for to in near[d][at] if (o := first(ords[to], used_ords)) is not None] for at in places}
-            if any(free.values()):
-                best = min(o for found in free.values() for o in found)
-                used_names.add(n)
-                used_ords.add(best)
-                out.append((n, int(best), float(d)))
-            for at in places:
-                if free[at] and (n := first(names[at], used_names)) is not None:
-                    heapq.heappush(queue, (n, at))
-    return out
-
-
-def assign(left: DataFrame, right: DataFrame, key: list[str], radius: float) -> DataFrame:
-    """(key..., a, b, d): one-to-one pairs of names a and ordinals b, nearest first, ties by name and ordinal.
-
-    left has key, name, r, c; right has key, ord, r, c.
-    """
-
-    def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = _sided(a, "name", "r", "c"), _sided(b, "ord", "r", "c")
-        out = [(*k, *pair) for pair in _nearest_first(zip(a["name"], a["r"], a["c"]), zip(b["ord"], b["r"], b["c"]), radius)]
-        return pd.DataFrame(out, columns=[*key, "a", "b", "d"])
-
-    types = dict(left.dtypes)
-    shape = ", ".join(f"{c} {types[c]}" for c in key) + f", a {types['name']}, b bigint, d double"
-    return left.groupBy(*key).cogroup(_own(right).groupBy(*key)).applyInPandas(run, shape)
-
-
 def bind_stages(plan: DataFrame, stages: DataFrame, key: str) -> DataFrame:
     """(key, ord, stage): each plan step takes the next stage if its kind is the same; `complete` if all are taken.
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from episodica.functions import geometry
 
+from . import cover
+
 
 def _cells(df: DataFrame, r: str, c: str, radius: float, spread: bool) -> DataFrame:
     cell = lambda x: F.floor(F.col(x) / radius).cast("bigint")
@@ -43,16 +45,8 @@ def appeared(now: Column, before: Column, r: Column, c: Column, radius: float) -
 
 
 def suppress(df: DataFrame, group: str, order: list[Column], radius: float, columns: list[str]) -> DataFrame:
-    """Greedy suppression: in the given order a point stays unless a kept one is within the radius.
-
-    A group's points are folded in one row, so groups are to be of bounded
-    size (a frame's detections).
-    """
-    row = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], *columns)
-    kind = df.select(F.array(F.struct(*columns)).alias("x")).schema["x"].dataType.simpleString()
-    held = df.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows_"))
-    keep = lambda kept, x: F.when(F.exists(kept, lambda k: geometry.squared(k["r"], k["c"], x["r"], x["c"]) <= radius * radius), kept).otherwise(F.array_append(kept, F.struct(*[x[n].alias(n) for n in columns])))
-    return held.select(group, F.explode(F.aggregate("rows_", F.array().cast(kind), keep)).alias("k")).select(group, "k.*")
+    """Greedy suppression: in the given order a point stays unless a kept one is within the radius."""
+    return cover.anchors(df, [group], order, radius, columns).select(group, *columns)
 
 
 def snap(points: Column, r: Column, c: Column, radius: float) -> Column:
@@ -80,14 +74,16 @@ def snap_points(points: DataFrame, anchors: DataFrame, group: str, radius: float
     return points.join(best, own, "left").select(*[at(c) if c in ("r", "c") else points[c] for c in points.columns])
 
 
-def clusters(points: Column, radius: float, least: int) -> Column:
-    """Anchors of points that, in order, lie within an L1 radius of the first one; those met `least` times."""
-    state = "array<struct<r:double,c:double,n:int>>"
-    fits = lambda k, p: geometry.l1(k["r"], k["c"], p["r"], p["c"]) <= radius
+def clusters(df: DataFrame, group: list[str], order: list[Column], radius: float, columns: list[str], least: int) -> DataFrame:
+    """(group, columns, n) of anchors: points that, in order, lie within an L1 radius of the first one; those met `least` times."""
+    return cover.first_fit(df, group, order, radius, columns, "l1", least)
+
+
+def routes(df: DataFrame, group: list[str], order: list[Column], radius: float, columns: list[str]) -> DataFrame:
+    """Points more than the radius from all kept before, in order."""
+    return cover.anchors(df, group, order, radius, columns)
 
-    def step(acc, p):
-        at = F.array_position(F.transform(acc, lambda k: fits(k, p)), True)
-        grown = F.transform(acc, lambda k, i: F.struct(k["r"].alias("r"), k["c"].alias("c"), (k["n"] + F.when(i + 1 == at, 1).otherwise(0)).cast("int").alias("n")))
-        return F.when(at > 0, grown).otherwise(F.array_append(acc, F.struct(p["r"].cast("double").alias("r"), p["c"].cast("double").alias("c"), F.lit(1).alias("n"))))
 
-    return F.filter(F.aggregate(points, F.array().cast(state), step), lambda k: k["n"] >= least)
+def class_clusters(df: DataFrame, group: list[str], order: list[Column], side: float, columns: list[str]) -> DataFrame:
+    """(group, columns, n): a place joins the first one of its group whose anchor is less than `side` away in both coordinates; else it is an anchor."""
+    return cover.first_fit(df, group, order, side, columns, "box")

@@ -81,10 +81,10 @@ def grounded_ticks(spark, d):
 
 @query(f"""with {EV}, m as (select *, sum((sg = 'error')::int) over (partition by ep order by step) as run from ev), l as (select ep, max(run) as last from m group by ep)
 select ep, count(*) as ticks, min(step) as first from m join l using (ep) where run = last and run > 0 and sg <> 'error' group by ep
-union all select c_custkey, null, null from customer where c_custkey % 10 = 0 and c_custkey not in (select ep from m join l using (ep) where run = last and run > 0 and sg <> 'error')""")
+union all select c_custkey, null, null from customer where c_custkey not in (select ep from m join l using (ep) where run = last and run > 0 and sg <> 'error')""")
 def outcome_trace(spark, d):
     last = quality.last_run(episodes(spark, d), "ep", ["step"], F.col("sg") == "error").groupBy("ep").agg(F.count("*").alias("ticks"), F.min("step").alias("first"))
-    asked = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("ep"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("ep"))
     return last.unionByName(asked.join(last, "ep", "left_anti"), allowMissingColumns=True)
 
 
@@ -171,19 +171,18 @@ def merged_maps(spark, d):
     return table(spark, d, "supplier").select(n.alias("id"), shown.alias("m"))
 
 
-@query("""select name, row_number() over (order by n, name) as nth from (select 'seed' || (p_partkey * 7 % 1000) || '_' || p_partkey as name, p_partkey * 7 % 1000 as n from part where p_size = 7)""")
+@query("""select name, row_number() over (order by n, name) as nth from (select replace(p_name, ' ', '_') || p_size || '_' || p_partkey as name, p_size as n from part)""")
 def natural_order(spark, d):
-    n = F.col("p_partkey")
-    names = table(spark, d, "part").filter("p_size = 7").select(_say("seed", n * 7 % 1000, "_", n).alias("name"))
-    return names.select("name", F.row_number().over(Window.orderBy(T.embedded_number(F.col("name")), "name")).cast("bigint").alias("nth"))
+    names = table(spark, d, "part").select(_say(F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size"), "_", F.col("p_partkey")).alias("name"))
+    ranked = ordered.running_offset(names.withColumns({"n": T.embedded_number(F.col("name")), "one": F.lit(1)}), ["n", "name"], "one", name="before")
+    return ranked.select("name", (F.col("before") + 1).cast("bigint").alias("nth"))
 
 
-@query("""select page_id, to_base64(encode(substr(coalesce(html, ''), 1, 60))) as coded, strlen(substr(coalesce(html, ''), 1, 60))::bigint as n from pages""")
+@query("""select page_id, sha256(to_base64(encode(coalesce(html, '')))) as coded, strlen(coalesce(html, ''))::bigint as n from pages""")
 def coded_pages(spark, d):
-    head = F.substring(F.coalesce("html", F.lit("")), 1, 60)
-    coded = F.base64(F.encode(head, "UTF-8"))
-    p = table(spark, d, "pages").select("page_id", F.regexp_replace(coded, "[\r\n]", "").alias("coded"))
-    return p.select("page_id", "coded", F.octet_length(F.unbase64("coded")).cast("bigint").alias("n"))
+    coded = F.regexp_replace(F.base64(F.encode(F.coalesce("html", F.lit("")), "UTF-8")), "[\r\n]", "")
+    p = table(spark, d, "pages").select("page_id", coded.alias("coded"))
+    return p.select("page_id", F.sha2("coded", 256).alias("coded"), F.octet_length(F.unbase64("coded")).cast("bigint").alias("n"))
 
 
 @query("""select p_partkey as id, concat_ws(',', case when list_has_any(w, ['ring', 'bolt']) then 'metal' end, case when list_has_any(w, ['red', 'blue']) then 'colored' end, 'arm') as names
@@ -426,13 +425,13 @@ def stroke_sides(spark, d):
     return x.select("label", F.round("med", 6).alias("med"), F.when(F.col("med") < 0, "clockwise").otherwise("counterclockwise").alias("dir"))
 
 
-@query(f"""with recursive {EV}, q as (select ep, step, (value * 2)::int as r, row_number() over (partition by ep order by step) - 1 as i from ev where step % 3 = 0),
+@query(f"""with recursive {EV}, q as (select ep, step, (value * 2)::int as r, step as i from ev),
 m as (select ep, i, r, step, r as last, false as kept from q where i = 0
   union all select q.ep, q.i, q.r, q.step, case when m.i = 0 or abs(m.last - q.r) > 14 then q.r else m.last end, m.i = 0 or abs(m.last - q.r) > 14 from m join q on q.ep = m.ep and q.i = m.i + 1),
 p as (select ep, step, r, case when abs(r - 40) <= abs(r - 100) then 40 else 100 end as pad from m where kept)
 select ep, count(*) as n, arg_min(pad, step) filter (abs(r - pad) <= 20) as first_pad from p group by ep""")
 def rest_drops(spark, d):
-    e = episodes(spark, d).filter("step % 3 = 0").withColumn("r", (F.col("value") * 2).cast("decimal(18,6)").cast("double"))
+    e = episodes(spark, d).withColumn("r", (F.col("value") * 2).cast("decimal(18,6)").cast("double"))
     e = e.withColumn("r", F.rint("r").cast("int"))
     rows = folds.ordered_rows(e, ["ep"], ["step"], ["r"])
     segments = F.transform("rows_", lambda x: F.struct(x["step"].alias("start"), x["r"].alias("r"), F.lit(0).alias("c")))
@@ -455,38 +454,31 @@ def dwell_deposits(spark, d):
     return held.filter("full").groupBy("ep").agg(F.min("step").alias("deposited"))
 
 
-_PTS = PT + ", q as (select label, r, c, id, row_number() over (partition by label order by id) - 1 as i from pt where r > -40)"
-
-
-def _ordered_points(spark, d):
-    held = points(spark, d).filter("r > -40").select("label", "id", F.col("r").cast("double").alias("r"), F.col("c").cast("double").alias("c"), _say("k", F.col("id") % 2).alias("name"))
-    rows = folds.ordered_rows(held, ["label"], ["id"], ["name", "r", "c"])
-    return rows.select("label", F.transform("rows_", lambda x: F.struct(x["name"].alias("name"), x["r"].alias("r"), x["c"].alias("c"))).alias("p"))
+_PTS = PT + ", q as (select label, r, c, id, row_number() over (partition by label order by id) - 1 as i from pt)"
 
 
-@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(r := r, c := c)] as kept from q where i = 0
-  union all select q.label, q.i, case when len(list_filter(kept, lambda k: (k.r - q.r) ** 2 + (k.c - q.c) ** 2 <= 900)) = 0 then list_append(kept, struct_pack(r := q.r, c := q.c)) else kept end from m join q on q.label = m.label and q.i = m.i + 1)
-select label, len(arg_max(kept, i))::bigint as dots from m group by label""")
+@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(r := r, c := c, id := id)] as kept from q where i = 0
+  union all select q.label, q.i, case when len(list_filter(kept, lambda k: (k.r - q.r) ** 2 + (k.c - q.c) ** 2 <= 900)) = 0 then list_append(kept, struct_pack(r := q.r, c := q.c, id := q.id)) else kept end from m join q on q.label = m.label and q.i = m.i + 1)
+select label, k.id as id, k.r as r, k.c as c from (select label, unnest(arg_max(kept, i)) as k from m group by label)""")
 def distinct_routes(spark, d):
-    return _ordered_points(spark, d).select("label", F.size(folds.distinct_route(F.col("p"), 30)).cast("bigint").alias("dots"))
+    return spatial.routes(points(spark, d), ["label"], [F.col("id")], 30, ["id", "r", "c"])
 
 
-@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(r := r, c := c, n := 1)] as kept from q where i = 0
-  union all select label, i, case when hit is null then list_append(kept, struct_pack(r := r, c := c, n := 1)) else list_transform(kept, lambda k, j: struct_pack(r := k.r, c := k.c, n := k.n + (j = hit)::int)) end
-  from (select q.label, q.i, q.r, q.c, m.kept, list_position(list_transform(kept, lambda k: abs(k.r - q.r) + abs(k.c - q.c) <= 30), true) as hit from m join q on q.label = m.label and q.i = m.i + 1))
-select label, len(list_filter(arg_max(kept, i), lambda k: k.n >= 3))::bigint as anchors from m group by label""")
+@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(id := id, r := r, c := c, n := 1)] as kept from q where i = 0
+  union all select label, i, case when hit is null then list_append(kept, struct_pack(id := id, r := r, c := c, n := 1)) else list_transform(kept, lambda k, j: struct_pack(id := k.id, r := k.r, c := k.c, n := k.n + (j = hit)::int)) end
+  from (select q.label, q.i, q.id, q.r, q.c, m.kept, list_position(list_transform(kept, lambda k: abs(k.r - q.r) + abs(k.c - q.c) <= 30), true) as hit from m join q on q.label = m.label and q.i = m.i + 1))
+select label, k.id as id, k.r as r, k.c as c, k.n::bigint as n from (select label, unnest(list_filter(arg_max(kept, i), lambda k: k.n >= 3)) as k from m group by label)""")
 def point_clusters(spark, d):
-    return _ordered_points(spark, d).select("label", F.size(spatial.clusters(F.col("p"), 30, 3)).cast("bigint").alias("anchors"))
+    return spatial.clusters(points(spark, d), ["label"], [F.col("id")], 30, ["id", "r", "c"], 3)
 
 
-@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(s := id % 2, r := r, c := c, n := 1)] as kept from q where i = 0
-  union all select label, i, case when hit is null then list_append(kept, struct_pack(s := s, r := r, c := c, n := 1)) else list_transform(kept, lambda k, j: struct_pack(s := k.s, r := k.r, c := k.c, n := k.n + (j = hit)::int)) end
-  from (select q.label, q.i, q.id % 2 as s, q.r, q.c, m.kept, list_position(list_transform(kept, lambda k: k.s = q.id % 2 and abs(k.r - q.r) < 18 and abs(k.c - q.c) < 18), true) as hit from m join q on q.label = m.label and q.i = m.i + 1)),
-l as (select label, arg_max(kept, i) as k from m group by label)
-select label, len(k)::bigint as clusters, list_max(list_transform(k, lambda x: x.n))::int as most from l""")
+@query(f"""with recursive {_PTS}, m as (select label, i, [struct_pack(s := id % 2, id := id, r := r, c := c, n := 1)] as kept from q where i = 0
+  union all select label, i, case when hit is null then list_append(kept, struct_pack(s := s, id := id, r := r, c := c, n := 1)) else list_transform(kept, lambda k, j: struct_pack(s := k.s, id := k.id, r := k.r, c := k.c, n := k.n + (j = hit)::int)) end
+  from (select q.label, q.i, q.id, q.id % 2 as s, q.r, q.c, m.kept, list_position(list_transform(kept, lambda k: k.s = q.id % 2 and abs(k.r - q.r) < 18 and abs(k.c - q.c) < 18), true) as hit from m join q on q.label = m.label and q.i = m.i + 1))
+select label, 'k' || k.s as name, k.id as id, k.n::bigint as n from (select label, unnest(arg_max(kept, i)) as k from m group by label)""")
 def class_clusters(spark, d):
-    found = _ordered_points(spark, d).select("label", folds.class_clusters(F.col("p")).alias("k"))
-    return found.select("label", F.size("k").cast("bigint").alias("clusters"), F.array_max(F.transform("k", lambda x: x["n"])).alias("most"))
+    named = points(spark, d).withColumn("name", _say("k", F.col("id") % 2))
+    return spatial.class_clusters(named, ["label", "name"], [F.col("id")], 18, ["id"])
 
 
 @query(f"""with {EV}, f as (select ep, step, event_id % 3 = 0 as b, event_id % 2 = 0 as a, value > 20 as s from ev),
@@ -522,7 +514,7 @@ def press_triggers(spark, d):
     return evidence.press_trigger(e, "ep", "step", "d", 4).select("ep", "step", "arrivals", "fires", "latched")
 
 
-@query(f"""with recursive {EV}, p as (select ep, step as ord, sg as kind from ev where step < 12), s as (select ep, step as pos, sg as kind, row_number() over (partition by ep order by step) as n from ev where step % 2 = 1 and step < 8),
+@query(f"""with recursive {EV}, p as (select ep, step as ord, sg as kind from ev), s as (select ep, step as pos, sg as kind, row_number() over (partition by ep order by step) as n from ev where value > 50),
 c as (select ep, max(n) as n from s group by ep),
 m as (select ep, -1::bigint as ord, 1::bigint as nxt, null::bigint as stage from (select distinct ep from p)
   union all select p.ep, p.ord, case when s.kind = p.kind then nxt + 1 else nxt end, case when s.kind = p.kind then s.pos end from m join p on p.ep = m.ep and p.ord = m.ord + 1 left join s on s.ep = p.ep and s.n = m.nxt),
@@ -530,15 +522,15 @@ l as (select ep, max(nxt) as nxt from m group by ep)
 select m.ep, ord, stage, l.nxt > coalesce(c.n, 0) as complete from m join l using (ep) left join c using (ep) where ord >= 0""")
 def stage_bindings(spark, d):
     e = episodes(spark, d)
-    plan = e.filter("step < 12").select("ep", F.col("step").alias("ord"), F.col("sg").alias("kind"))
-    return grouped.bind_stages(plan, e.filter("step % 2 = 1 and step < 8").select("ep", F.col("step").alias("pos"), F.col("sg").alias("kind")), "ep")
+    plan = e.select("ep", F.col("step").alias("ord"), F.col("sg").alias("kind"))
+    return grouped.bind_stages(plan, e.filter("value > 50").select("ep", F.col("step").alias("pos"), F.col("sg").alias("kind")), "ep")
 
 
 # Sources and sinks
 
-@query("""select name from (select 'part_' || lpad(p_partkey::varchar, 4, '0') as name, row_number() over (order by p_partkey) - 1 as nth from part where p_partkey < 100) where nth in (3, 7, 500)""")
+@query("""select name from (select 'part_' || lpad(p_partkey::varchar, 9, '0') as name, row_number() over (order by p_partkey) - 1 as nth from part) where nth in (3, 7, 500)""")
 def file_subset(spark, d):
-    files = table(spark, d, "part").filter("p_partkey < 100").select(_say("part_", F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("name"))
+    files = table(spark, d, "part").select(_say("part_", F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("name"))
     return readers.file_subset(files, "name", [3, 7, 500])
 
 

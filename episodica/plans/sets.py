@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions import geometry
 from episodica.functions import text as T
-from episodica.operators import corpus, grouped, quality, spatial
+from episodica.operators import corpus, cover, grouped, quality, spatial
 from episodica.sources import readers
 
 from .base import EV, PT, TURNS, episodes, points, table, turns
@@ -283,7 +283,7 @@ def assign_points(spark, d):
     p = points(spark, d)
     left = p.filter("id % 2 = 0").select("label", F.col("id").cast("string").alias("name"), "r", "c")
     right = p.filter("id % 2 = 1").select("label", F.col("id").alias("ord"), "r", "c")
-    return grouped.assign(left, right, ["label"], 20)
+    return cover.assign(left, right, ["label"], 20)
 
 
 @query(f"""with {EV}, a as (select ep, min(step) as t from ev where value > 80 group by ep), b as (select ev.ep, min(step) as t from ev join a on a.ep = ev.ep and step > t where value < 20 group by ev.ep),

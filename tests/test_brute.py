@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from episodica.operators import grouped, predicates
+from episodica.operators import cover, predicates
 
 
 def test_assignment(spark):
@@ -13,7 +13,7 @@ def test_assignment(spark):
     right = [(g, i, r.randrange(30), r.randrange(30)) for g in range(4) for i in range(25)]
     left += [(0, "twin", *left[0][2:]), (9, "alone", 1, 1)]
     a, b = spark.createDataFrame(left, "g int, name string, r int, c int"), spark.createDataFrame(right, "g int, ord int, r int, c int")
-    got = {(x.g, x.a, x.b): x.d for x in grouped.assign(a, b, ["g"], 6).collect()}
+    got = {(x.g, x.a, x.b): x.d for x in cover.assign(a, b, ["g"], 6).collect()}
     want, pairs = {}, []
     for g, n, u, v in left:
         pairs += [(((u - x) ** 2 + (v - y) ** 2) ** 0.5, n, o, g) for h, o, x, y in right if h == g]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions import geometry
 from episodica.functions import text as T
-from episodica.operators import corpus, folds, gates, grouped, ordered, quality, spatial
+from episodica.operators import corpus, cover, folds, gates, grouped, ordered, quality, spatial
 from episodica.sources import readers, writers
 
 
@@ -139,7 +139,7 @@ def test_stages_and_assignment(spark):
     assert [(r.stage, r.complete) for r in got] == [(7, True), (8, True), (None, True)]
     a = spark.createDataFrame([(1, "x", 0, 0), (1, "y", 0, 4)], "f int, name string, r int, c int")
     b = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 0, 40)], "f int, ord int, r int, c int")
-    assert [(r.a, r.b) for r in grouped.assign(a, b, ["f"], 20).collect()] == [("y", 0)]
+    assert [(r.a, r.b) for r in cover.assign(a, b, ["f"], 20).collect()] == [("y", 0)]
 
 
 def test_sinks(spark, tmp_path):
@@ -301,13 +301,20 @@ def test_assignment_against_all_pairs(spark):
                 out.append((n, o, d))
         return out
 
+    def pairs_of(here, there, radius):
+        queues = cover._Queue(), cover._Queue()
+        for queue, rows in zip(queues, (here, there)):
+            for row in rows:
+                queue.add(*row)
+        return cover._sure_pairs(*queues, radius, lambda at: True)[0]
+
     x = random.Random(5)
     for n, wide, radius in ((0, 5, 3), (30, 3, 2), (60, 12, 4), (60, 60, 20), (40, 6, 0), (50, 9, 2.5)):
         at = lambda: (x.randrange(-wide, wide), x.randrange(-wide, wide))
         here, there = [(str(x.randrange(50)), *at()) for _ in range(n)], [(x.randrange(50), *at()) for _ in range(n)]
-        assert sorted(grouped._nearest_first(here, there, radius)) == sorted(want(here, there, radius))
+        assert sorted(pairs_of(here, there, radius)) == sorted(want(here, there, radius))
     # Many copies of one place are paired in order.
-    assert len(grouped._nearest_first([(str(i), 1, 1) for i in range(20_000)], [(i, 1, 2) for i in range(20_000)], 5)) == 20_000
+    assert len(pairs_of([(str(i), 1, 1) for i in range(20_000)], [(i, 1, 2) for i in range(20_000)], 5)) == 20_000
     folder = "/root/testdata/sf0.001"
     points = [(r.label, r.vec_id, *(math.floor(v * 256) for v in r.embedding[:2])) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     pairs = []
