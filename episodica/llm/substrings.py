@@ -50,8 +50,8 @@ from .pattern import Powers
 from .words import BASE, LAST, grams, hashed, inside, mix, owners, sliding, starts, winnow
 
 WINDOW, K = 13, 7
-#: Words of a block; suffixes of a group; counters for each prefix length.
-BLOCK, GROUP, CELLS = 1_500_000, 1_000_000, 1 << 14
+#: Words of a block; suffixes of a group; counters for each prefix length, and how many of them are added up in one group.
+BLOCK, GROUP, CELLS, SLICE = 1_500_000, 1_000_000, 1 << 14, 1 << 10
 #: Bytes of text of a batch in the stored streams.
 BATCH = 1 << 20
 NONE = np.iinfo(np.int64).max
@@ -225,7 +225,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """Of a group's fingerprints by block: which stand in another document; counts are added up."""
     if table.column("grp")[0].as_py() < 0:
         total = sum(np.frombuffer(x, "<i8") for x in table.column("a").to_pylist())
-        return pa.table([[-1], [-1], [0], [total.astype("<i8").tobytes()]], schema=_BACK)
+        return pa.table([table.column("grp").slice(0, 1), [-1], [0], [total.astype("<i8").tobytes()]], schema=_BACK)
     blobs = [np.frombuffer(x, "<u8") for x in table.column("a").to_pylist()]
     flags = [_unbits(x, len(h)) for x, h in zip(table.column("b").to_pylist(), blobs)]
     merged = np.sort(np.concatenate(blobs))
@@ -345,12 +345,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             total += block.counts()
             for g, a, b in _ranges(h, groups):
                 yield packed(g, block, h[a:b].astype("<u8").tobytes(), _bits(twice[a:b]))
-        yield batch_of(_PACK, [-1], [-1], [0], [total.astype("<i8").tobytes()], *[[None]] * 4)
+        # A group gets SLICE counters of each stream: 8 KB.
+        for k, part in enumerate(total.reshape(-1, SLICE)):
+            yield batch_of(_PACK, [-1 - k], [-1], [0], [part.astype("<i8").tobytes()], *[[None]] * 4)
 
     _sent_back(over(prints, _PACK_DDL).groupBy("grp").applyInArrow(_shared, _BACK_DDL), f"{folder}/shared")
-    total = spark.read.schema("a binary").parquet(f"{folder}/shared/stream=-1").first()
+    total = spark.read.schema("grp bigint, a binary").parquet(f"{folder}/shared/stream=-1").orderBy(F.desc("grp")).collect()
     # CELLS counters for each prefix length, whatever the size of the input.
-    heavy = np.frombuffer(total.a, "<i8").reshape(WINDOW - 1, CELLS) > GROUP
+    heavy = np.frombuffer(b"".join(r.a for r in total), "<i8").reshape(WINDOW - 1, CELLS) > GROUP
 
     def leaves(block: Block, received):
         return block.leaves(_flags(received.get(block.number, {}), block, block.prints()[0], groups), heavy)
