@@ -293,7 +293,35 @@ def chained_events(spark, d):
     return grouped.chained_events(episodes(spark, d), "ep", "step", "value", [("above", 80.0), ("below", 20.0), ("above", 60.0)])
 
 
-@query()
+@query(f"""with recursive {EV},
+t as (select ep, step as tick, step * 10 as step, case when value > 40 then step * 10 - 5 end as fired, value > 90 as refuted,
+    case sg when 'click' then 'completed: view' when 'view' then '[event] completed: click' else sg end as text, case sg when 'click' then 'view' when 'view' then 'click' end as claim from ev),
+pl as (select ['view', 'click', 'view'] as plan),
+r as (
+  select ep, -1::bigint as tick, 0::bigint as j, 0::bigint as since, 0::bigint as rc, []::varchar[] as pending, ''::varchar as last_line, 0::bigint as size, []::varchar[] as said, []::varchar[] as texts from (select distinct ep from t)
+  union all
+  select ep, tick, j2 + (verdict = 'admit' and claim is not null)::int, case when verdict = 'admit' and claim is not null then step else since2 end, case when verdict = 'admit' and claim is not null then 0 else rc3 end,
+    case when verdict in ('defer', 'refute-defer') then list_append(pending2, text) else pending2 end, case when verdict = 'admit' then text else last2 end, size2 + (verdict = 'admit')::int,
+    list_filter([case when phantom then 'phantom' end, case when hit is not null then 'admit-pending' end, verdict], lambda x: x is not null),
+    list_filter([case when phantom then wanted end, case when hit is not null then pending[hit] end, text], lambda x: x is not null)
+  from (
+    select *, case when claim is null then case when size2 > 0 and lower(trim(last2)) = lower(trim(text)) then 'reject-dup' else 'admit' end
+        when claim is distinct from plan[j2 + 1] then 'reject' when hit is not null or not usable then 'defer' when refuted then 'refute-defer' else 'admit' end as verdict
+    from (
+      select *, j + (hit is not null)::int as j2, case when hit is not null then step else since1 end as since2, case when hit is not null then 0 else rc2 end as rc3, size + (hit is not null)::int as size2,
+        case when hit is not null then pending[hit] else last_line end as last2, case when hit is not null then list_concat(pending[:hit - 1], pending[hit + 1:]) else pending end as pending2
+      from (
+        select *, case when usable and not refuted then list_position(list_transform(pending, lambda p: case when p = 'completed: view' then 'view' else 'click' end), wanted) end as hit
+        from (
+          select *, could and not phantom as usable, case when phantom then fired + 1 else since end as since1, case when phantom then 0 else rc1 end as rc2
+          from (
+            select *, could and rc1 >= 3 as phantom
+            from (
+              select *, case when could then case when refuted then rc + 1 else 0 end else rc end as rc1
+              from (select r.ep, t.tick, t.step, t.fired, t.refuted, t.text, t.claim, r.j, r.since, r.rc, r.pending, r.last_line, r.size, pl.plan, pl.plan[r.j + 1] as wanted, coalesce(t.fired >= r.since and pl.plan[r.j + 1] is not null, false) as could
+                from r join t on t.ep = r.ep and t.tick = r.tick + 1, pl)))))))),
+u as (select ep, tick, j, size, unnest(said) as verdict, unnest(texts) as text from r)
+select ep::varchar as ep, tick::int as tick, verdict, text, j::int as j, size::int as bank_size from u""")
 def claim_machine(spark, d):
     from episodica.streaming import claims
 
