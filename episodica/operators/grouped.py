@@ -46,22 +46,19 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
 
     def run(k, truths: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         truths, lines = (_sided(x, "t", "ord", "form", "at") for x in (truths, lines))
-        free: dict[str, list] = {}
-        taken: dict[str, list] = {}
-        for x in lines.sort_values(["t", "ord"]).itertuples(index=False):
-            free.setdefault(x.form, []).append((int(x.t), np.asarray(x.at)))
+        free, taken, times = _Free(tolerance), _Places(tolerance), []
+        for n, x in enumerate(lines.sort_values(["t", "ord"]).itertuples(index=False)):
+            times.append(int(x.t))
+            free.add(n, x.form, tuple(x.at))
         out = []
         for x in truths.sort_values(["t", "ord"]).itertuples(index=False):
-            same, at = free.get(x.form, []), np.asarray(x.at)
-            fits = (n for n, (_, y) in enumerate(same) if len(y) == len(at) and (np.abs(y - at) <= tolerance).all())
-            n = next(fits, None)
-            t, errors, met = None, [], None
-            if n is not None:
-                t, y = same.pop(n)
-                taken.setdefault(x.form, []).append((t, y))
-                errors = np.hypot(*(y - at).reshape(-1, 2).T.astype(float)).tolist() if len(at) else []
+            at, t, errors, met = tuple(x.at), None, [], None
+            if found := free.take(x.form, at):
+                t, y = times[found[0]], found[1]
+                taken.add(t, x.form, y)
+                errors = np.hypot(*(np.subtract(y, at)).reshape(-1, 2).T.astype(float)).tolist() if at else []
             if "completed:" in x.form:
-                met = any(u <= x.t + tick and len(y) == len(at) and (np.abs(y - at) <= tolerance).all() for u, y in taken.get(x.form, []))
+                met = taken.since(x.form, at, int(x.t) + tick)
             out.append((k[0], int(x.t), t, None if t is None else (t - int(x.t)) // tick, errors, met))
         return pd.DataFrame(out, columns=[key, "t_truth", "t_said", "lag", "errors", "met"]).astype({"t_said": "Int64", "lag": "Int64", "met": "boolean"})
 
@@ -70,8 +67,8 @@ def pair_lines(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12,
     return both.applyInPandas(run, f"{key} {kind}, t_truth bigint, t_said bigint, lag bigint, errors array<double>, met boolean")
 
 
-class _Free:
-    """Lines without a partner, by form and cells of the tolerance; take() gives the first one that agrees."""
+class _Places:
+    """Lines by form and cells of the tolerance, with the earliest time of each place."""
 
     def __init__(self, tolerance: float):
         self.tolerance, self.size, self.places = tolerance, tolerance + 1, {}
@@ -79,24 +76,40 @@ class _Free:
     def _cell(self, at: tuple) -> tuple:
         return tuple(x // self.size for x in at[:2])
 
+    def around(self, form: str, at: tuple):
+        """(cell, place, what is held there) of the places that agree."""
+        cells = self.places.get((form, len(at)), {})
+        for cell in product(*[(x - 1, x, x + 1) for x in self._cell(at)]):
+            for y, held in cells.get(cell, {}).items():
+                if all(abs(u - v) <= self.tolerance for u, v in zip(y, at)):
+                    yield cell, y, held
+
+    def add(self, t: int, form: str, at: tuple) -> None:
+        held = self.places.setdefault((form, len(at)), {}).setdefault(self._cell(at), {})
+        held[at] = min(t, held.get(at, t))
+
+    def since(self, form: str, at: tuple, until: int) -> bool:
+        return any(t <= until for _, _, t in self.around(form, at))
+
+
+class _Free(_Places):
+    """Lines without a partner; take() gives the first one that agrees."""
+
     def add(self, n: int, form: str, at: tuple) -> None:
         """Lines are added in order, so those of one place stay in it."""
-        cells = self.places.setdefault((form, len(at)), {})
-        cells.setdefault(self._cell(at), {}).setdefault(at, deque()).append(n)
+        self.places.setdefault((form, len(at)), {}).setdefault(self._cell(at), {}).setdefault(at, deque()).append(n)
 
-    def take(self, form: str, at: tuple) -> bool:
-        cells, best = self.places.get((form, len(at)), {}), None
-        for cell in product(*[(x - 1, x, x + 1) for x in self._cell(at)]):
-            for y, held in cells.get(cell, {}).items():
-                if (best is None or held[0] < best[0]) and all(abs(u - v) <= self.tolerance for u, v in zip(y, at)):
-                    best = (held[0], cell, y)
+    def take(self, form: str, at: tuple) -> tuple[int, tuple] | None:
+        """(number, coordinates) of the line, which is then taken."""
+        best = min(((held[0], cell, y) for cell, y, held in self.around(form, at)), default=None)
         if best is None:
-            return False
-        _, cell, y = best
-        cells[cell][y].popleft()
-        if not cells[cell][y]:
-            del cells[cell][y]
-        return True
+            return None
+        n, cell, y = best
+        held = self.places[form, len(at)][cell]
+        held[y].popleft()
+        if not held[y]:
+            del held[y]
+        return n, y
 
 
 def state_quality(truth: DataFrame, said: DataFrame, key: str, tolerance: int = 12) -> DataFrame:
