@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from episodica.streaming.machines import Machine, Memory
+
 from . import spatial
 
 
@@ -57,6 +59,24 @@ def placed(frames: Column, r: Column, c: Column, part: str, strict: bool, near:
     return F.coalesce(_near(last, r, c, near, part) & ~_near(last, r, c, arm, "arm"), F.lit(False))
 
 
+#: What can be put somewhere, and what hides what is put into it.
+MOVABLE, HIDING = ("cube", "peg", "container"), ("bin", "container", "drainer")
+
+
+def deposited(frames: Column, r: Column, c: Column, strict: bool, near: float = 16, inside: float = 20, arm: float = 24, visit: float = 22) -> Column:
+    """Was something put at the place? Into what hides it: the arm came near in a frame. Else a movable thing is there
+    in every frame that shows anything (strict), or in the last of these without an arm beside it."""
+    of = lambda f, parts: F.filter(f, lambda d: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(d["name"], p)))
+    some = F.filter(frames, lambda f: F.size(f) > 0)
+    arms = lambda f: F.filter(f, lambda d: d["name"] == "arm")
+    hidden = F.exists(some, lambda f: spatial.any_near(of(f, HIDING), r, c, inside))
+    came = F.exists(some, lambda f: spatial.any_near(arms(f), r, c, visit))
+    rests = lambda f: spatial.any_near(of(f, MOVABLE), r, c, near)
+    last = F.element_at(some, -1)
+    shown = F.forall(some, rests) if strict else rests(last) & ~spatial.any_near(arms(last), r, c, arm)
+    return F.when(F.size(some) == 0, False).when(hidden, came).otherwise(shown)
+
+
 def visited(before: Column, frames: Column, r: Column, c: Column, reach: float = 22) -> Column:
     """The arm came near in this tick or the one before."""
     return F.exists(F.concat(before, frames), lambda f: _near(f, r, c, reach, "arm"))
@@ -86,3 +106,39 @@ def press_trigger(ticks: DataFrame, key: str, step: str, distance: str, nth: int
     fires = (F.size("at_") >= max(1, nth - 1)) & (due - F.col(step) <= ahead)
     out = out.withColumn("fires", F.coalesce(fires, F.lit(False))).withColumn("arrivals", F.size("at_").cast("bigint"))
     return out.withColumn("latched", F.bool_or("fires").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("marks_", "at_")
+
+
+def press_machine(nth: int, near: float = 20, rest: int = 24, period: int = 80, ahead: int = 28) -> Machine:
+    """press_trigger() tick by tick: a tick has its step as `tick`, and distance (null: not seen).
+
+    Only the arrivals are kept, not the steps between them. Gives arrivals, fires, latched.
+    """
+
+    def step(m: Memory, x) -> list[tuple]:
+        d, t, at = x.distance, int(x.tick), m.get("at", [])
+        if d is not None and d == d:
+            before = m.get("before")
+            if d < near and (before is None or before >= near) and (not at or t - at[-1] > rest):
+                at = [*at, t]
+                m.set("at", at)
+            m.set("before", float(d))
+        gaps = sorted(b - a for a, b in zip(at, at[1:]))
+        wait = gaps[len(gaps) // 2] if gaps else period
+        fires = len(at) >= max(1, nth - 1) and at[-1] + wait * (nth - len(at)) - t <= ahead
+        m.set("latched", bool(m.get("latched", False) or fires))
+        return [(len(at), fires, m.get("latched"))]
+
+    return Machine(step, "arrivals bigint, fires boolean, latched boolean", {"at": "array<bigint>", "before": "double", "latched": "boolean"})
+
+
+def dwell_machine(k: int) -> Machine:
+    """ordered.sustained() tick by tick: a tick has flag; gives held (the k-th in a row and later) and done (the first such)."""
+
+    def step(m: Memory, x) -> list[tuple]:
+        run = m.get("run", 0) + 1 if x.flag is not None and bool(x.flag) else 0
+        done = run >= k and not m.get("met", False)
+        m.set("run", run)
+        m.set("met", bool(m.get("met", False) or done))
+        return [(run >= k, done)]
+
+    return Machine(step, "held boolean, done boolean", {"run": "bigint", "met": "boolean"})

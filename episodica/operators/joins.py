@@ -73,6 +73,17 @@ def best_scores(scores: DataFrame, phrase: list[str], frame: str, score: str, hi
     return best.groupBy(*phrase).agg(F.avg("best_").alias("mean_best"), F.avg((F.col("best_") >= hit).cast("double")).alias("hit_rate"), F.count("*").alias("frames"))
 
 
+def phrase_report(scores: DataFrame, frames: DataFrame, phrase: list[str], frame: str, score: str, near: Column, hit: float = 0.15) -> DataFrame:
+    """Per phrase over its frames: mean of the best score near the place (0 without one), share of hits, false hits a frame.
+
+    frames has phrase and frame, those without a detection too; a false hit reaches `hit` elsewhere.
+    """
+    there = F.coalesce(near, F.lit(False))
+    best = scores.groupBy(*phrase, frame).agg(F.max(F.when(there, F.col(score))).alias("best_"), F.count_if(~there & (F.col(score) >= hit)).alias("false_"))
+    whole = frames.select(*phrase, frame).distinct().join(best, [*phrase, frame], "left").withColumn("best_", F.greatest(F.coalesce("best_", F.lit(0.0)), F.lit(0.0)))
+    return whole.groupBy(*phrase).agg(F.avg("best_").alias("mean_best"), F.avg((F.col("best_") >= hit).cast("double")).alias("hit_rate"), (F.sum(F.coalesce("false_", F.lit(0))) / F.count("*")).alias("false_per_frame"), F.count("*").alias("frames"))
+
+
 def step_medians(steps: DataFrame, plan: DataFrame, key: str, text: str) -> DataFrame:
     """steps and (r, c) of their plan's first step of the same text that isn't a pick; plan has key, text, nth, kind, r, c."""
     form = F.trim(F.lower(F.col(text)))

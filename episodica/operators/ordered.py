@@ -76,6 +76,21 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]
     return kept.select("row_.*", F.col("found_.t").alias("at_found"), *[F.col(f"found_.{v}").alias(v) for v in values])
 
 
+def window_frames(ticks: DataFrame, frames: DataFrame, key: str, start: str, end: str, at: str, middle: int = 5, slack: int = 4, name: str = "frames") -> DataFrame:
+    """ticks with the steps of the frames nearest to their start, `middle` steps on, and their end: each once, in order.
+
+    Of two as near the later one counts; frames more than `slack` steps after the end are not taken.
+    """
+    anchors = F.array_distinct(F.array(F.col(start), F.col(start) + middle, F.col(end)))
+    asked = ticks.select(key, start, end).distinct().withColumn(at, F.explode(anchors))
+    before = asof(asked, frames.select(key, at), key, at, [], "backward").withColumnRenamed("at_found", "back_")
+    both = asof(before, frames.select(key, at), key, at, [], "forward")
+    after = F.when(F.col("at_found") <= F.col(end) + slack, F.col("at_found"))
+    nearest = F.when(F.col("back_").isNull() | (after - F.col(at) <= F.col(at) - F.col("back_")), after).otherwise(F.col("back_"))
+    held = both.groupBy(key, start, end).agg(F.array_sort(F.collect_set(nearest)).alias(name))
+    return ticks.join(held, [key, start, end], "left")
+
+
 def look_ahead(df: DataFrame, key: list[str], order: list[str], value: Column, fits: Column, most: int | None, name: str) -> DataFrame:
     """The first fitting value of the next `most` rows (None: of all later rows)."""
     w = _w(key, order).rowsBetween(1, Window.unboundedFollowing if most is None else most)

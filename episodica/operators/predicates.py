@@ -78,13 +78,18 @@ class Motion:
         along = np.divide(axis[:, 2], angle, out=np.zeros_like(angle), where=angle > 0)
         down = np.cos(angle) + (1 - np.cos(angle)) * along**2
         self.tilt = np.degrees(np.arccos(np.clip(-down, -1, 1)))
-        quiet = np.abs(np.diff(self.q, prepend=self.q[:1])) < bounds.stall
-        self.inband = (self.q > bounds.band[0]) & (self.q < bounds.band[1])
-        self.grasp = _held(self.inband & quiet, 5)
+        self.quiet = np.abs(np.diff(self.q, prepend=self.q[:1])) < bounds.stall
+        self.holding(None)
         self.wide, self.shut = self.q > bounds.open, _held(self.q < bounds.open, 5)
         self.still = _held(np.concatenate([[0.0], np.linalg.norm(np.diff(self.xy, axis=0), axis=1)]) < bounds.slow, 5)
         self.origins: dict[str, np.ndarray] = {}
 
+    def holding(self, band: tuple[float, float] | None) -> None:
+        """From now on a grasp has the finger in this band (None: that of the bounds)."""
+        low, high = band or self.b.band
+        self.inband = (self.q > low) & (self.q < high)
+        self.grasp = _held(self.inband & self.quiet, 5)
+
     def near(self) -> np.ndarray:
         """Where the hand is within reach of the step's fixture; everywhere without one."""
         if self.gate is None or self.pixels is None:
@@ -149,14 +154,31 @@ class Motion:
         return None
 
 
+def grasp_bands(plan: DataFrame, widths: DataFrame, least: float = 0.006, most: float = 0.0395, margin: float = 0.004) -> DataFrame:
+    """plan with low and high: the finger's band while a thing is held, from measured widths (thing, p10, p90).
+
+    plan has kind and what; a thing is named in what, the first one by `rank` of widths. For placing,
+    widths of `carry:<thing>` come first. Other steps and unknown things have none.
+    """
+    band = F.struct(F.greatest(F.lit(least), F.col("p10") - margin).alias("low"), F.least(F.lit(most), F.col("p90") + margin).alias("high"))
+    known = widths.select(F.regexp_replace("thing", "^carry:", "").alias("thing_"), "rank", F.col("thing").startswith("carry:").alias("carry_"), band.alias("band_"))
+    per = known.groupBy("thing_").agg(F.min("rank").alias("rank_"), F.max(F.when(~F.col("carry_"), F.col("band_"))).alias("own_"), F.max(F.when(F.col("carry_"), F.col("band_"))).alias("held_"))
+    # A row a thing: the list is that of the objects that were measured.
+    things = per.agg(F.array_sort(F.collect_list(F.struct("rank_", "thing_", "own_", "held_"))).alias("things_"))
+    with_things = plan.crossJoin(F.broadcast(things))
+    first = F.get(F.filter("things_", lambda t: F.contains(F.lower("what"), t["thing_"])), F.lit(0))
+    chosen = F.when(F.col("kind") == "place", F.coalesce(first["held_"], first["own_"])).when(F.col("kind") == "pick", first["own_"])
+    return with_things.withColumn("low", chosen["low"]).withColumn("high", chosen["high"]).drop("things_")
+
+
 def completions(states: DataFrame, plan: DataFrame, key: str, bounds: Bounds = Bounds(), camera: Camera | None = None) -> DataFrame:  # noqa: B008
     """(key, ord, t): the step at which each plan step completes, null if it is not seen to.
 
     states: key, step, s (array of 7 or more); plan: key, ord, kind, what and,
-    for gates by a camera, r and c (null: none).
+    for gates by a camera, r and c (null: none); for picks and places low and
+    high, the band of the finger that holds the thing (null: that of the bounds).
     """
-    if not {"r", "c"} <= set(plan.columns):
-        plan = plan.withColumns({"r": F.lit(None).cast("double"), "c": F.lit(None).cast("double")})
+    plan = plan.withColumns({c: F.lit(None).cast("double") for c in ("r", "c", "low", "high") if c not in plan.columns})
 
     def run(k, rows: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
         out, at = [], 0
@@ -167,6 +189,8 @@ def completions(states: DataFrame, plan: DataFrame, key: str, bounds: Bounds = B
                 scan = getattr(motion, x.kind) if x.kind in ("pick", "place", "pour", "open", "close") else None
                 gated = not (pd.isna(x.r) or pd.isna(x.c) or "drawer" in x.what.lower())
                 motion.gate = (x.r, x.c) if gated else None
+                banded = x.kind in ("pick", "place") and not (pd.isna(x.low) or pd.isna(x.high))
+                motion.holding((x.low, x.high) if banded else None)
                 found = scan(at, x.what) if scan and at < len(when) else None
                 out.append((k[0], int(x.ord), None if found is None else int(when[found])))
                 at = at if found is None else found + 1

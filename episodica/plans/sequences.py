@@ -276,3 +276,27 @@ def arrival_period(spark, d):
     g = episodes(spark, d).filter("sg = 'click'").withColumn("gap", F.col("step") - F.lag("step").over(w))
     m = g.groupBy("ep").agg(F.count("*").alias("n"), F.collect_list("gap").alias("gs"), F.max("step").alias("last")).filter("n >= 2")
     return m.withColumn("period", folds.upper_median(F.col("gs"))).select("ep", "n", "period", (F.col("last") + F.col("period")).alias("due"))
+
+
+@query(f"""with {EV}, g as (select ep, step as t from ev where value < 60), w as (select ep, step // 10 * 10 as t0, step // 10 * 10 + 10 as t1 from ev group by ep, step // 10),
+a as (select w.*, unnest([t0, t0 + 5, t1]) as anc from w),
+c as (select a.*, g.t, row_number() over (partition by a.ep, t0, anc order by abs(g.t - anc), g.t desc) as n from a join g on g.ep = a.ep and g.t <= t1 + 4)
+select w.ep, w.t0, w.t1, coalesce(array_to_string(list_sort(list(distinct c.t) filter (c.t is not null)), ','), '') as frames from w left join c on c.ep = w.ep and c.t0 = w.t0 and c.n = 1 group by w.ep, w.t0, w.t1""")
+def window_frames(spark, d):
+    e = episodes(spark, d)
+    windows = e.select("ep", (F.floor(F.col("step") / 10) * 10).alias("t0")).distinct().withColumn("t1", F.col("t0") + 10)
+    found = ordered.window_frames(windows, e.filter("value < 60").select("ep", F.col("step").alias("t")), "ep", "t0", "t1", "t")
+    return found.select("ep", "t0", "t1", F.array_join("frames", ",").alias("frames"))
+
+
+@query(_METRICS + """, f as (select ep, arg_min(o, step) as family from tk group by ep),
+l as (select family, list_sort(list(lag0) filter (om and lag0 is not null)) as ls from x join f using (ep) group by family)
+select x.family, count(*) as ticks, count(*) filter (o = p) as content, count(*) filter (om) as transitions,
+  count(*) filter (om and lag0 is not null) as adopted, max(lag0) filter (om) as max_lag, count(*) filter (pm) as predicted,
+  count(*) filter (pm and fresh) as premature, any_value(ls[len(ls) // 2 + 1]) as median_lag
+from (select * from x join f using (ep)) as x join l on x.family = l.family group by x.family""")
+def family_ticks(spark, d):
+    """Ticks pooled by the family of their episode: what it was first told."""
+    t = ticks(spark, d)
+    family = t.groupBy("ep").agg(F.min_by("o", "step").alias("family"))
+    return quality.tick_report(quality.tick_metrics(t, "ep", "step", "o", "p").join(family, "ep"), ["family"])

@@ -246,3 +246,36 @@ r as (
 select ep, tick, was as j, fired, fired is not null as done from r where tick >= 0""")
 def fired_scan(spark, d):
     return machines.batch(scan_ticks(spark, d), scans.fired(_HANDS))
+
+
+_GATED = """case sg when 'view' then 'completed: pick up the cube' when 'click' then 'completed: place it' when 'signup' then 'completed: move to the top of the ' || case when k < 50 then 'left' else 'right' end || '-side target'
+  when 'error' then 'a note' else 'completed: pick it' end || case when sg in ('view', 'click', 'purchase') then ' at <' || floor(value / 10)::bigint || ', ' || floor(k / 10)::bigint || '>' else '' end"""
+
+
+def gate_ticks(spark, d):
+    """A purchase is claimed by evidence, another event is a line of the writer."""
+    x = _ticks(spark, d)
+    at = lambda c: F.floor(F.col(c) / 10).cast("string")
+    side = F.concat(F.lit("completed: move to the top of the "), F.when(F.col("k") < 50, "left").otherwise("right"), F.lit("-side target"))
+    place = F.concat(F.lit(" at <"), at("value"), F.lit(", "), at("k"), F.lit(">"))
+    heads = {"view": "completed: pick up the cube", "click": "completed: place it", "purchase": "completed: pick it"}
+    text = F.when(F.col("sg") == "signup", side).when(F.col("sg") == "error", "a note")
+    for sg, head in heads.items():
+        text = text.when(F.col("sg") == sg, F.concat(F.lit(head), place))
+    sold = F.col("sg") == "purchase"
+    return x.select("ep", "tick", F.when(~sold, text).alias("line"), F.when(sold, text).alias("auto"), (F.col("ep") % 2 == 0).alias("alternates"))
+
+
+@query(f"""with recursive {_XS},
+t as (select ep, step as i, sg, {_GATED} as text, case when sg in ('view', 'purchase') then 'pick' when sg = 'click' then 'place' end as verb, floor(value / 10)::bigint as v, floor(k / 10)::bigint as c,
+    case when sg = 'signup' then case when k < 50 then 'left' else 'right' end end as side from xs),
+a as (select t.*, verb is not null and exists (select 1 from t o where o.ep = t.ep and o.sg = 'purchase' and o.i < t.i and o.verb = t.verb and abs(o.v - t.v) + abs(o.c - t.c) <= 14) as claimed from t),
+r as (
+  select ep, -1::bigint as i, null::varchar as last, null::varchar as was, null::varchar as text, null::varchar as verdict from (select distinct ep from t)
+  union all
+  select ep, i, case when verdict in ('claim', 'admit') then text else last end, case when verdict in ('claim', 'admit') then coalesce(side, was) else was end, text, verdict
+  from (select r.ep, a.i, r.last, r.was, a.text, a.side, case when a.sg = 'purchase' then 'claim' when a.text = r.last then 'repeat' when a.claimed then 'auto' when a.side = r.was and r.ep % 2 = 0 then 'side' else 'admit' end as verdict
+    from r join a on a.ep = r.ep and a.i = r.i + 1))
+select ep, i as tick, text, verdict from r where i >= 0""")
+def gated_lines(spark, d):
+    return machines.batch(gate_ticks(spark, d), serving.writer_gate())

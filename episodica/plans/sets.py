@@ -449,3 +449,14 @@ def size_estimate(spark, d):
 def state_quality(spark, d):
     x = _lines(spark, d).select("ep", F.floor(F.col("event_id") / 16).alias("t"), F.col("event_id").alias("ord"), "line")
     return grouped.state_quality(x.filter("ord % 2 = 0"), x, "ep")
+
+
+@query(f"""with {PT}, x as (select *, id // 10 as frame, r * r + c * c <= 900 as near from pt), f as (select label, frame from x group by all),
+b as (select label, frame, max(case when near then score end) as best, count(*) filter (not near and score >= 0.1) as bad from x group by label, frame)
+select label, round(avg(greatest(coalesce(best, 0), 0)), 6) as mean_best, round(avg((greatest(coalesce(best, 0), 0) >= 0.1)::int), 6) as hit_rate, round(sum(bad) / count(*), 6) as false_per_frame, count(*) as frames from f join b using (label, frame) group by label""")
+def phrase_hits(spark, d):
+    from episodica.operators import joins
+
+    p = points(spark, d).withColumn("frame", F.floor(F.col("id") / 10))
+    found = joins.phrase_report(p, p, ["label"], "frame", "score", F.col("r") * F.col("r") + F.col("c") * F.col("c") <= 900, 0.1)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_best", "hit_rate", "false_per_frame")})

@@ -228,3 +228,47 @@ def tracker_pin(follow: float = 30, far: float = 6) -> Machine:
         return [(said, False, *place)]
 
     return Machine(step, "text string, pinned boolean, r double, c double", {}, {}, {"pins": ("string", "r double, c double")})
+
+
+#: Fixed value: the claims of a place that evidence can make on its own.
+_CLAIM = re.compile(r"completed: (press|pick|drop|place|put|insert)\b.*?" + T.COORD)
+_SIDE = re.compile(r"completed: move to the top of the (left|right)-side target")
+
+
+def writer_gate(near: float = 14) -> Machine:
+    """Which of a writer's lines go into the bank.
+
+    A tick has line (or null), auto (a line that evidence has claimed by itself just before; it is on record) and
+    alternates (does the task go back and forth?). A line is rejected as `repeat` of the last one on record, as `auto` if a
+    claim of its verb was made by evidence within `near` (L1) of its place, and, where sides alternate, as `side` if the
+    last side on record is its own. Gives text and verdict (`admit` and `claim` are on record).
+    """
+
+    def record(m: Memory, text: str) -> None:
+        m.append("bank", text)
+        m.set("last", text.strip())
+        if side := _SIDE.search(text):
+            m.set("side", side[1])
+
+    def step(m: Memory, x: Any) -> list[tuple]:
+        out = []
+        if x.auto:
+            if claim := _CLAIM.search(x.auto):
+                m.append("auto", claim[1], int(claim[2]), int(claim[3]))
+            record(m, x.auto)
+            out.append((x.auto, "claim"))
+        if x.line:
+            claim, side = _CLAIM.search(x.line), _SIDE.search(x.line)
+            if x.line.strip() == m.get("last"):
+                verdict = "repeat"
+            elif claim and any(v == claim[1] and _l1((r, c), (int(claim[2]), int(claim[3]))) <= near for v, r, c in m.rows("auto")):
+                verdict = "auto"
+            elif side and x.alternates and m.get("side") == side[1]:
+                verdict = "side"
+            else:
+                verdict = "admit"
+                record(m, x.line)
+            out.append((x.line, verdict))
+        return out
+
+    return Machine(step, "text string, verdict string", {"last": "string", "side": "string"}, {"bank": "line string", "auto": "verb string, r bigint, c bigint"})

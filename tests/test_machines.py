@@ -201,3 +201,77 @@ def test_stream_wants_its_store(spark):
     spark.conf.unset(machines.STORE[0])
     with pytest.raises(RuntimeError, match="stateStore"):
         machines.stream(spark.readStream.schema("ep bigint, tick bigint").parquet(f"{SF}/orders.parquet"), counting())
+
+
+def ticks_of(rows, *names):
+    from types import SimpleNamespace
+
+    return [SimpleNamespace(**dict(zip(names, r))) for r in rows]
+
+
+def run(machine, ticks):
+    m = Memory()
+    return [row for x in ticks for row in machine.step(m, x)]
+
+
+def test_press_trigger_tick_by_tick(spark):
+    from episodica.operators import evidence
+
+    r = random.Random(3)
+    rows = [(e, t, r.choice([None, 5.0, 15.0, 30.0, 60.0, 60.0])) for e in range(4) for t in range(0, 400, 4)]
+    df = spark.createDataFrame(rows, "ep int, tick bigint, distance double")
+    want = evidence.press_trigger(df, "ep", "tick", "distance", 4).select("ep", "tick", "arrivals", "fires", "latched")
+    got = machines.batch(df, evidence.press_machine(4))
+    assert rows_of(got) == rows_of(want) and got.filter("latched").count() > 0
+
+
+def test_dwell_tick_by_tick():
+    from episodica.operators import evidence
+
+    flags = [True, True, None, True, True, True, True, False, True, True, True]
+    got = run(evidence.dwell_machine(3), ticks_of([(f,) for f in flags], "flag"))
+    assert [h for h, _ in got] == [False] * 5 + [True, True] + [False] * 3 + [True] and [k for k, (_, d) in enumerate(got) if d] == [5]
+
+
+def test_writer_gate():
+    rows = [
+        ("completed: press the button at <10, 10>", None, False), ("completed: press the button at <10, 10>", None, False), (None, "completed: press it <50, 50>", False),
+        ("completed: press the red button at <55, 58>", None, False), ("completed: press the red button at <60, 60>", None, False), ("completed: pick it <50, 50>", None, False),
+        ("completed: move to the top of the left-side target", None, True), (None, "completed: move to the top of the right-side target", True), ("completed: move to the top of the right-side target!", None, True),
+        ("completed: move to the top of the left-side target", None, True), ("completed: move to the top of the left-side target!", None, False), (None, None, True),
+    ]
+    got = [v for _, v in run(serving.writer_gate(), ticks_of(rows, "line", "auto", "alternates"))]
+    assert got == ["admit", "repeat", "claim", "auto", "admit", "admit", "admit", "claim", "side", "admit", "admit"]
+
+
+def test_deposits(spark):
+    from episodica.operators import evidence
+
+    cube, arm, bin_ = ("red_cube", 10, 10), ("arm", 12, 10), ("bin", 15, 10)
+    cases = [([[cube], [cube]], True, True), ([[cube], []], True, True), ([[cube, arm], [cube, arm]], False, True), ([[cube], [arm]], False, False), ([[], []], False, False), ([[bin_], [bin_, cube]], False, False), ([[bin_, arm], [bin_]], True, True), ([[arm], [cube]], True, False)]
+    for frames, loose, strict in cases:
+        df = spark.createDataFrame([(frames,)], "f array<array<struct<name:string,r:int,c:int>>>")
+        got = df.select(*[evidence.deposited(F.col("f"), F.lit(10), F.lit(10), s) for s in (False, True)]).first()
+        assert tuple(got) == (loose, strict), frames
+
+
+def test_grasp_bands(spark):
+    widths = spark.createDataFrame([("milk", 2, 0.02, 0.03), ("carry:milk", 2, 0.015, 0.05), ("tomato sauce", 0, 0.004, 0.01), ("sauce", 9, 0.03, 0.031)], "thing string, rank int, p10 double, p90 double")
+    plan = spark.createDataFrame([(1, 0, "pick", "the Milk"), (1, 1, "place", "the milk"), (1, 2, "place", "tomato sauce"), (1, 3, "open", "milk drawer"), (1, 4, "pick", "bread")], "ep int, ord int, kind string, what string")
+    banded = predicates.grasp_bands(plan, widths)
+    got = {r.ord: (r.low, r.high) for r in banded.collect()}
+    assert got[0] == pytest.approx((0.016, 0.034)) and got[1] == pytest.approx((0.011, 0.0395)) and got[2] == pytest.approx((0.006, 0.014)) and got[3] == got[4] == (None, None)
+    # A band that the finger is not in finds no grasp.
+    states = [[0.0, 0.0, 0.0, 3.14, 0.0, 0.0, 0.04]] * 3 + [[0.0, 0.0, 0.01 * k, 3.14, 0.0, 0.0, 0.012] for k in range(15)]
+    s = spark.createDataFrame([(1, k, x) for k, x in enumerate(states)], "ep int, step int, s array<double>")
+    found = {r.ord: r.t for r in predicates.completions(s, banded.filter("ord in (0, 4)"), "ep").collect()}
+    assert found[0] is None and found[4] is not None
+
+
+def test_phrases_with_false_hits(spark):
+    from episodica.operators import joins
+
+    scores = spark.createDataFrame([("a", 1, 0.5, True), ("a", 1, 0.9, False), ("a", 1, 0.01, False), ("a", 2, 0.1, True), ("a", 2, 0.2, False)], "p string, f int, s double, near boolean")
+    frames = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "p string, f int")
+    got = {r.p: r for r in joins.phrase_report(scores, frames, ["p"], "f", "s", F.col("near")).collect()}
+    assert (got["a"].mean_best, got["a"].hit_rate, got["a"].false_per_frame) == pytest.approx((0.2, 1 / 3, 2 / 3)) and tuple(got["b"])[1:] == (0, 0, 0, 1)
