@@ -37,6 +37,15 @@ def cross(ar: Column, ac: Column, br: Column, bc: Column) -> Column:
     return ar * bc - ac * br
 
 
+def dot(a: list[Column], b: list[Column]) -> Column:
+    """The sum of products of two vectors' parts."""
+    return sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0])
+
+
+def norm(a: list[Column]) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def tilt_degrees(ax: Column, ay: Column, az: Column) -> Column:
     """Degrees between the rotated approach axis and straight down, from an axis-angle vector."""
     theta = F.sqrt(ax * ax + ay * ay + az * az)

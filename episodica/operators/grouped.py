@@ -158,9 +158,9 @@ def bind_stages(plan: DataFrame, stages: DataFrame, key: str) -> DataFrame:
 
     def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = _sided(a, "ord", "kind"), _sided(b, "pos", "kind")
-        queue, out = list(b.sort_values("pos").itertuples(index=False)), []
+        queue, out = deque(b.sort_values("pos").itertuples(index=False)), []
         for x in a.sort_values("ord").itertuples(index=False):
-            taken = queue.pop(0).pos if queue and queue[0].kind == x.kind else None
+            taken = queue.popleft().pos if queue and queue[0].kind == x.kind else None
             out.append([k[0], int(x.ord), taken, False])
         for row in out:
             row[3] = not queue

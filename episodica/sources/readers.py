@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, StructType
 NAME = r"^(.*)_(\d+)_seed(\d+)_task(\d+)\.\w+$"
 
 
-def parquet(spark: SparkSession, path: str, schema: StructType | None = None, columns: list[str] | None = None) -> DataFrame:
+def parquet(spark: SparkSession, path: str, schema: StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return df.select(*columns) if columns else df
 
