@@ -82,3 +82,49 @@ def reasoner_records(spark, d):
     lines = x.filter("line is not null").select("ep", "tick", "step", "line", "value")
     found = records.reasoner(ticks, lines, "ep", "tick", ["step"], "line", F.col("value") >= 10, corpus.split_by_modulo(F.col("ep")))
     return found.select("ep", "tick", "split", "phase", F.array_join("bank", "\n").alias("bank"), "target")
+
+
+#: What an event is seen as, and the line of each rule of corpus.evident, chosen by the number in its props.
+_SEEN = {"view": "red_cube", "click": "container", "signup": "highlight", "purchase": "arc_tip", "error": "arm"}
+
+
+def _evident_sql() -> str:
+    seen = " ".join(f"when '{k}' then '{v}'" for k, v in _SEEN.items())
+    near = lambda dets, p, radius, part="": f"len(list_filter({dets}, lambda d: contains(d.n, '{part}') and (d.r - {p}.r) ** 2 + (d.c - {p}.c) ** 2 <= {radius} ** 2)) > 0"
+    stray = "len(list_filter(list_filter(win, lambda d: contains(d.n, part)), lambda d: len(list_filter(prior, lambda q: (q.r - d.r) ** 2 + (q.c - d.c) ** 2 < 36)) = 0)) > 0"
+    return f"""with {_XS},
+d as (select ep, step, k::bigint % 7 as rule, {{'n': case sg {seen} end, 'r': floor(value)::bigint, 'c': k::bigint}} as cur from xs),
+w as (select *, lag(cur) over o as p1, lag(cur, 2) over o as p2, lead(cur) over o as nx, step > 0 as some from d window o as (partition by ep order by step)),
+x as (select *, list_filter([cur, nx], lambda q: q is not null) as win, list_filter([p1, p2], lambda q: q is not null) as before, case when rule = 3 and cur.n = 'container' then 'container' else 'cube' end as part from w),
+y as (select *, list_filter(before, lambda q: contains(q.n, part)) as prior from x)
+select ep, step, case rule
+    when 0 then {near("win", "cur", 14)} and not ({near("before", "cur", 14)})
+    when 1 then {near("win", "cur", 22, "highlight")}
+    when 2 then nx is not null and {near("win", "nx", 12, "arc_tip")}
+    when 3 then len(prior) = 0 or {stray}
+    when 4 then nx is not null and contains(cur.n, 'cube') and not ({near("[nx]", "cur", 16, "cube")}) and {near("[nx]", "cur", 16, "container")}
+    when 5 then {near("[cur]", "cur", 16)} and (nx is null or {near("[nx]", "cur", 16)})
+    else {near("win", "cur", 22, "cube")} end as evident
+from y"""
+
+
+@query(_evident_sql())
+def evident_lines(spark, d):
+    """All rules of evidence: an event's line against what it, the next one and the two before were seen as."""
+    names = F.create_map(*[F.lit(v) for pair in _SEEN.items() for v in pair])
+    x, by = _ticks(spark, d), Window.partitionBy("ep").orderBy("tick")
+    seen = F.struct(F.try_element_at(names, F.col("sg")).alias("name"), F.floor("value").cast("int").alias("r"), F.col("k").cast("int").alias("c"))
+    x = x.withColumn("cur", seen)
+    x = x.withColumns({"p1": F.lag("cur").over(by), "p2": F.lag("cur", 2).over(by), "nx": F.lead("cur").over(by), "rule": F.col("k").cast("bigint") % 7})
+    held = lambda *cs: F.filter(F.array(*[F.col(c) for c in cs]), lambda q: q.isNotNull())
+    at = lambda c: F.concat(F.lit("<"), F.col(c)["r"].cast("string"), F.lit(", "), F.col(c)["c"].cast("string"), F.lit(">"))
+    # A tip that has nowhere to go names one place only, which no rule is about; it is not borne out here.
+    tip = F.when(F.col("nx").isNotNull(), F.concat(F.lit("the arc tip moved from <0, 0> to "), at("nx"))).otherwise("the highlight appeared at <-999, -999>")
+    moving = F.concat(F.lit("the "), F.when(F.col("cur")["name"] == "container", "container").otherwise("cube"), F.lit(" is being moved at "), at("cur"))
+    told = [F.concat(F.lit("a thing appeared at "), at("cur")), F.concat(F.lit("the highlight appeared at "), at("cur")), tip, moving, F.concat(F.lit("they were placed over the cubes at "), at("cur")), F.concat(F.lit("put down at "), at("cur")), F.concat(F.lit("it reached the target at "), at("cur"))]
+    line = told[-1]
+    for n, text in enumerate(told[:-1]):
+        line = F.when(F.col("rule") == n, text).otherwise(line)
+    window, before, first, last = held("cur", "nx"), held("p1", "p2"), held("cur"), held("nx")
+    late = F.filter(F.array(first, last), lambda f: F.size(f) > 0)
+    return x.select("ep", F.col("tick").alias("step"), corpus.evident(line, window, before, first, last, late).alias("evident"))
