@@ -147,13 +147,14 @@ def humanised(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.humanise(name, {"ECONOMY": "cheap one"}).alias("shown"))
 
 
-@query("""with x as (select event_id, event_id % 37 as a, event_id % 53 as b from events)
-select event_id, 'from <' || (case when (a - 10) ** 2 + 25 <= 100 then '10, 20' else a || ', 15' end) || '> to <' || (case when (b - 40) ** 2 <= 100 then '40, 5' when (b - 10) ** 2 + 225 <= 100 then '10, 20' else b || ', 5' end) || '> end' as line from x""")
+@query("""with x as (select event_id, event_type as e, (props->>'k')::bigint as k, floor(value)::bigint as v from events),
+p as (select *, (k - 10) ** 2 + (v - 20) ** 2 as a1, (k - 40) ** 2 + (v - 5) ** 2 as a2, (v - 10) ** 2 + (k - 20) ** 2 as b1, (v - 40) ** 2 + (k - 5) ** 2 as b2 from x)
+select event_id, e || ' from <' || (case when least(a1, a2) > 100 then k || ', ' || v when a1 <= a2 then '10, 20' else '40, 5' end) || '> to <' || (case when least(b1, b2) > 100 then v || ', ' || k when b1 <= b2 then '10, 20' else '40, 5' end) || '> end' as line from p""")
 def snapped_lines(spark, d):
-    n = F.col("event_id")
     anchors = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((10, 20), (40, 5))])
-    line = _say("from <", n % 37, ", 15> to <", n % 53, ", 5> end")
-    return table(spark, d, "events").select(n, T.move_coords(line, lambda r, c: spatial.snap(anchors, r, c, 10)).alias("line"))
+    k, v = F.get_json_object("props", "$.k"), F.floor("value")
+    line = _say(F.col("event_type"), " from <", k, ", ", v, "> to <", v, ", ", k, "> end")
+    return table(spark, d, "events").select("event_id", T.move_coords(line, lambda r, c: spatial.snap(anchors, r, c, 10)).alias("line"))
 
 
 @query("""select event_id, '[' || printf('%.3f', event_id / 8.0) || ', ' || printf('%.3f', -(event_id % 7) / 4.0) || ']' as shown from events""")
@@ -162,13 +163,14 @@ def state_readouts(spark, d):
     return table(spark, d, "events").select(n, T.readout(n / 8, -(n % 7) / 4).alias("shown"))
 
 
-@query("""select s_suppkey as id, 'a=' || (case when s_suppkey % 2 = 0 then 'new' else 'old' end) || ',b=' || s_nationkey || (case when s_suppkey % 2 = 0 then '' else ',c=7' end) as m from supplier""")
+@query("""select event_id, 'k=' || case when value > 50 then 'big' else props->>'k' end || case when value > 50 then ',n=' || floor(value)::bigint else '' end || ',t=' || event_type as m from events""")
 def merged_maps(spark, d):
-    n, even = F.col("s_suppkey"), F.col("s_suppkey") % 2 == 0
-    old = F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.col("s_nationkey").cast("string"))
-    new = F.when(even, F.create_map(F.lit("a"), F.lit("new"))).otherwise(F.create_map(F.lit("c"), F.lit("7")))
+    """An event's props and type, and what its value says over them."""
+    big, none = F.col("value") > 50, F.create_map().cast("map<string,string>")
+    old = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("t"), F.col("event_type")))
+    new = F.when(big, F.create_map(F.lit("k"), F.lit("big"), F.lit("n"), F.floor("value").cast("string"))).otherwise(none)
     shown = F.array_join(F.array_sort(F.transform(F.map_entries(T.merged(old, new)), lambda e: _say(e["key"], "=", e["value"]))), ",")
-    return table(spark, d, "supplier").select(n.alias("id"), shown.alias("m"))
+    return table(spark, d, "events").select("event_id", shown.alias("m"))
 
 
 @query("""select name, row_number() over (order by n, name) as nth from (select replace(p_name, ' ', '_') || p_size || '_' || p_partkey as name, p_size as n from part)""")
@@ -378,13 +380,19 @@ def phrase_frames(spark, d):
     return found.select(F.col("s_suppkey").alias("frame"), F.col("n_name").alias("phrase"), ((F.col("s_suppkey") * 7 + F.col("n_nationkey") * 3) % 100).alias("score"))
 
 
-@query("""with x as (select event_id, event_id % 50 as a, event_id % 31 as b from events)
-select event_id, ((a - 10) ** 2 + 0 <= 196 or (a - 30) ** 2 <= 196) and ((b - 10) ** 2 <= 196 or (b - 30) ** 2 <= 196) as near, (a - 10) ** 2 <= 196 and (b - 10) ** 2 <= 196 as seen from x""")
+@query(f"""with {EV}, x as (select ep, step, (props->>'k')::bigint as k, floor(value)::bigint as v from ev),
+y as (select *, lag(k) over w as k1, lag(v) over w as v1, lag(k, 2) over w as k2, lag(v, 2) over w as v2 from x window w as (partition by ep order by step)),
+z as (select *, coalesce((k - k1) ** 2 + (v - v1) ** 2 <= 400, false) as a1, coalesce((v - k1) ** 2 + (k - v1) ** 2 <= 400, false) as b1, coalesce((k - k2) ** 2 + (v - v2) ** 2 <= 400, false) as a2, coalesce((v - k2) ** 2 + (k - v2) ** 2 <= 400, false) as b2 from y)
+select ep, step, (a1 or a2) and (b1 or b2) as near, a1 and b1 as seen from z""")
 def targets_near(spark, d):
-    n = F.col("event_id")
-    p = lambda r: F.struct(r.cast("int").alias("r"), F.lit(4).alias("c"))
-    goals, one, two = F.array(p(n % 50), p(n % 31)), F.array(p(F.lit(10))), F.array(p(F.lit(30)))
-    return table(spark, d, "events").select(n, joins.all_near(goals, one, two, radius=14).alias("near"), joins.all_near(goals, one, F.lit(None).cast("array<struct<r:int,c:int>>"), radius=14).alias("seen"))
+    """An event's two goals (its place, and that with row and column exchanged) against the places of the two events before."""
+    w = Window.partitionBy("ep").orderBy("step")
+    x = episodes(spark, d).select("ep", "step", F.get_json_object("props", "$.k").cast("int").alias("k"), F.floor("value").cast("int").alias("v"))
+    place = lambda r, c: F.struct(r.alias("r"), c.alias("c"))
+    x = x.withColumns({"p1": F.lag(place(F.col("k"), F.col("v"))).over(w), "p2": F.lag(place(F.col("k"), F.col("v")), 2).over(w)})
+    goals, held = F.array(place(F.col("k"), F.col("v")), place(F.col("v"), F.col("k"))), lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c)))
+    none = F.lit(None).cast("array<struct<r:int,c:int>>")
+    return x.select("ep", "step", joins.all_near(goals, held("p1"), held("p2"), radius=20).alias("near"), joins.all_near(goals, held("p1"), none, radius=20).alias("seen"))
 
 
 @query("""select event_id, event_id % 3 = 0 and event_id % 5 = 0 and event_id % 2 = 0 as shown from events""")
@@ -398,12 +406,14 @@ def covered_sites(spark, d):
     return table(spark, d, "events").select(n, corpus.evident(line, none, none, first, last, F.array(none)).alias("shown"))
 
 
-@query("""select event_id, event_id % 2 = 0 and abs(event_id % 30 - 10) <= 14 as repeated from events""")
+@query(f"""with {EV}, x as (select ep, step, sg, (props->>'k')::bigint as k, floor(value)::bigint as v from ev)
+select ep, step, exists (select 1 from x y where y.ep = x.ep and y.step between x.step - 5 and x.step - 1 and y.sg = x.sg and abs(y.k - x.k) + abs(y.v - x.v) <= 14) as repeated from x""")
 def repeated_claims(spark, d):
-    n = F.col("event_id")
-    line = _say(F.when(n % 2 == 0, "completed: pick the cube").otherwise("completed: put the cube"), " at <", n % 30, ", 5>  [sam] cube")
-    bank = F.array(F.lit("[event] completed: pick the cube at <10, 5>"), F.lit("no place"))
-    return table(spark, d, "events").select(n, joins.duplicates_claim(bank, line).alias("repeated"))
+    """An event's claim against those of the five before."""
+    line = _say("[event] completed: ", F.col("sg"), " at <", F.get_json_object("props", "$.k"), ", ", F.floor("value"), ">  [sam] cube")
+    bank = F.collect_list("line").over(Window.partitionBy("ep").orderBy("step").rowsBetween(-5, -1))
+    x = episodes(spark, d).select("ep", "step", line.alias("line")).withColumn("bank", bank)
+    return x.select("ep", "step", joins.duplicates_claim(F.col("bank"), F.col("line")).alias("repeated"))
 
 
 @query("""with a as (select s_suppkey as id, s_nationkey as k, ['ring', 'red ring', 'bolt'][(s_suppkey % 3 + 1)::int] as name from supplier), b as (select n_nationkey as k, i as nth, ['big red ring', 'ring', 'nut bolt'][i] as other from nation, unnest([1, 2, 3]) as t(i))
@@ -440,10 +450,9 @@ def rest_drops(spark, d):
     return found.select("ep", F.size("d").cast("bigint").alias("n"), folds.kth_pad(F.col("d"), F.lit(0))["r"].alias("first_pad"))
 
 
-@query("""select s_suppkey as id, (s_nationkey % 8)::bigint as bin, s_suppkey % 5 = 2 as mine from supplier""")
+@query("""select event_id, least(floor(value / 8), 7)::bigint as bin, user_id % 5 = 2 as mine from events""")
 def color_bins(spark, d):
-    n = F.col("s_nationkey")
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.floor(geometry.color_bin(n % 8 * 8 + 3, 8, 8)).cast("bigint").alias("bin"), corpus.shard(F.col("s_suppkey"), 2, 5).alias("mine"))
+    return table(spark, d, "events").select("event_id", geometry.color_bin(F.col("value"), 8, 8).cast("bigint").alias("bin"), corpus.shard(F.col("user_id"), 2, 5).alias("mine"))
 
 
 @query(f"""with {EV}, a as (select *, coalesce(value > 20, false) as gone from ev), g as (select *, sum((not gone)::int) over (partition by ep order by step) as b from a),
