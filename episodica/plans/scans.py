@@ -149,11 +149,11 @@ def written_family(spark, d):
     return writers.meta_family(scratch(spark), parts).select("part", "rows")
 
 
-@query("select 'first' as build, 'written' as said union all select 'same', 'written' union all select 'other', 'refused' union all select 'rows', count(*)::varchar from nation")
+@query("select 'first' as build, 'written' as said union all select 'same', 'written' union all select 'other', 'refused' union all select 'rows', count(*)::varchar from customer")
 def guarded_builds(spark, d):
     """A build of another selection is refused, one of the same written again."""
-    folder, x = f"{scratch(spark)}/build", table(spark, d, "nation")
-    chosen, out = [r.n_name for r in x.select("n_name").collect()], []  # 25 nations
+    folder, x = f"{scratch(spark)}/build", table(spark, d, "customer")
+    chosen, out = [r.c_mktsegment for r in x.select("c_mktsegment").distinct().collect()], []  # a handful of segments
     for build, selection in (("first", chosen), ("same", chosen[::-1]), ("other", chosen[1:])):
         try:
             writers.guarded(x, folder, selection)
