@@ -33,7 +33,9 @@ from .pattern import PATTERN, Distinct, Powers, Splitter, joined
 
 LONG, DEPTH, BLOCK = 256, 16, 20_000
 #: Entries of a worker's memos of words and of runs of ids.
-WORDS, RUNS = 400_000, 250_000
+WORDS, RUNS = 100_000, 50_000
+#: Characters that are split at a time, if no text is longer; new words of many such parts are encoded together.
+PART = 1 << 18
 #: Texts that are taken at a time, at most.
 ROWS = 2048
 
@@ -74,6 +76,18 @@ select w, i, tok from t where (w, step) in (select w, max(step) from t group by
 DECODE = "select string_agg(piece, '' order by i) as text from flat join vocab using (id)"
 
 
+def _parts(texts: list[str]):
+    """Runs of the texts with up to PART characters in all (one text at least)."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t) > PART:
+            yield texts[start:k]
+            start, held = k, 0
+        held += len(t)
+    if texts:
+        yield texts[start:]
+
+
 class Codec:
     """The encoder and decoder of one Python worker."""
 
@@ -81,9 +95,9 @@ class Codec:
         import duckdb
         import regex
 
-        self.find = None if pattern == PATTERN else regex.compile(pattern).findall
-        self.split = Splitter().words if pattern == PATTERN else self._found
-        self.words, self.runs, self.powers = Memo(WORDS), Memo(RUNS), Powers()
+        self.find, own = (None, Splitter()) if pattern == PATTERN else (regex.compile(pattern).findall, None)
+        self.split = own.words if own else self._found
+        self.words, self.runs, self.powers = Memo(WORDS), Memo(RUNS), own.powers if own else Powers()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
         pairs, new, first = [], [], {}
         for x, r in ranks.items():
@@ -154,8 +168,13 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        words, codes, ends = self.split([t or "" for t in texts])
-        return joined(self.words.values(words, self.encode_words), codes, ends)
+        number, codes, ends, n = {}, [], [], 0
+        for part in _parts([t or "" for t in texts]):
+            words, own, upto = self.split(part)
+            codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64)[own])
+            ends.append(upto + n)
+            n += len(own)
+        return joined(self.words.values(list(number), self.encode_words), np.concatenate(codes), np.concatenate(ends)) if codes else []
 
     def _decode_runs(self, keys: list[bytes]) -> list[bytes]:
         ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int32)

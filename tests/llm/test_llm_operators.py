@@ -49,6 +49,45 @@ def test_bpe_is_tiktoken(spark, docs):
     assert codec.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_in_parts(monkeypatch):
+    import public_tokenizers as P
+
+    ranks, texts = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), ["", "a b" * 40, *odd_texts(300), "", "it's" * 30, "end"]
+    for pattern in (P.PATTERN, r"\S+|\s+"):
+        whole = bpe.Codec(ranks, pattern).encode(texts)
+        monkeypatch.setattr(bpe, "PART", 50)
+        split, codec = [], bpe.Codec(ranks, pattern)
+        own = codec.split
+        codec.split = lambda part: split.append(part) or own(part)  # noqa: B023
+        assert codec.encode(texts) == whole and codec.encode([]) == []
+        assert [t for part in split for t in part] == texts and all(len(part) == 1 or sum(map(len, part)) <= 50 for part in split)
+        monkeypatch.undo()
+
+
+def test_bpe_memory():
+    """What a worker holds and keeps, over pieces of new words and words met again."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import random, re
+import duckdb, numpy, pandas, public_tokenizers as P, pyarrow
+from episodica.llm import bpe
+own = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+before, r = own(), random.Random(0)
+codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+for _ in range(6):
+    texts = [" ".join("".join(r.choices("etaoinshrdlucmfw", k=6)) for _ in range(700)) for _ in range(200)]
+    assert codec.decode(codec.encode(texts)) == [t.encode() for t in texts]
+print(own() - before)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": here}, cwd=here)
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout) < 222
+
+
 def test_bpe_frames(spark):
     import public_tokenizers as P
 
