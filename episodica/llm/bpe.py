@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memo, added, arrow_schema, batch_of, col, runs, spark_schema, table
+from .common import Memo, added, arrow_schema, batch_of, col, runs, spark_schema, table, trimmed
 from .pattern import PATTERN, Distinct, Powers, Splitter, joined
 
 LONG, DEPTH, BLOCK = 256, 16, 20_000
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         for b, texts in runs(batches, at, rows=ROWS):
             yield added(b, schema, codec.encode(texts))
 
-    return docs.mapInArrow(run, spark_schema(docs, (ids, "binary")))
+    return docs.mapInArrow(trimmed(run), spark_schema(docs, (ids, "binary")))
 
 
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -233,7 +233,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", dec
         for b, values in runs(batches, at, rows=ROWS):
             yield added(b, schema, codec.decode([v or b"" for v in values]))
 
-    return docs.mapInArrow(run, spark_schema(docs, (decoded, "binary")))
+    return docs.mapInArrow(trimmed(run), spark_schema(docs, (decoded, "binary")))
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -259,7 +259,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
             own = [c.cast(f.type) for c, f in zip(own, schema)]
             yield batch_of(schema, *own, [len(x) // 4 for x in ids], list(map(digest, ids)), list(map(digest, raw)))
 
-    return kept.mapInArrow(run, spark_schema(shape, *more))
+    return kept.mapInArrow(trimmed(run), spark_schema(shape, *more))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
+from functools import wraps
 from itertools import islice
 
 import pyarrow as pa
@@ -125,6 +128,19 @@ def runs(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20, ro
         yield b.slice(start), values[start:]
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, which gives free memory back to the system at the end of a task: its worker may stay idle for long."""
+
+    @wraps(run)
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # other C libraries than glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def added(b: pa.RecordBatch, schema: pa.Schema, *columns) -> pa.RecordBatch:
     n = len(schema) - len(columns)
     return batch_of(schema, *[b.column(k).cast(schema.field(k).type) for k in range(n)], *columns)

@@ -88,6 +88,33 @@ print(own() - before)
     assert int(run.stdout) < 222
 
 
+def test_trimmed():
+    """Memory that a task has freed between what its worker keeps goes back."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+from episodica.llm.common import trimmed
+own = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+kept, before = [], own()
+def run(batches):
+    for b in batches:
+        freed = []
+        for _ in range(2000):
+            freed.append(bytearray(50_000))
+            kept.append(bytearray(600))
+        yield b
+assert list(trimmed(run)(iter([1, 2]))) == [1, 2] and len(kept) == 4000
+print(own() - before)
+"""
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": here}, cwd=here)
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout) < 40
+
+
 def test_bpe_frames(spark):
     import public_tokenizers as P
 
