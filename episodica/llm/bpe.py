@@ -33,7 +33,7 @@ from .pattern import PATTERN, Distinct, Powers, Splitter, joined
 
 LONG, DEPTH, BLOCK = 256, 16, 20_000
 #: Entries of a worker's memos of words and of runs of ids.
-WORDS, RUNS = 100_000, 50_000
+WORDS, RUNS = 200_000, 100_000
 #: Characters that are split at a time, if no text is longer; new words of many such parts are encoded together.
 PART = 1 << 18
 #: Texts that are taken at a time, at most.
